@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimloom.llm import decontaminate, simhash
+from claimloom.llm import decontaminate, simhash, warc
 from claimloom.llm.common import table
 
 
@@ -14,13 +14,17 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(table(spark, sf_dir, "documents"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.report(table(spark, sf_dir, "pages"))
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_simhash_near_dedup, op6_benchmark_decontamination)}
+    return {f.__name__: f for f in (op3_simhash_near_dedup, op5_warc, op6_benchmark_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_warc": warc.ORACLE_SQL}
