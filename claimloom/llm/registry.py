@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimloom.llm import decontaminate, fingerprints, simhash, warc
+from claimloom.llm import decontaminate, fingerprints, resharding, simhash, warc
 from claimloom.llm.common import table
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resharding.report(table(spark, sf_dir, "documents"))
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(table(spark, sf_dir, "documents"))
 
@@ -27,7 +31,7 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_simhash_near_dedup, op5_warc, op6_benchmark_decontamination)}
+    return {f.__name__: f for f in (op1_sharding, op3_simhash_near_dedup, op5_warc, op6_benchmark_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
