@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimloom.llm import decontaminate, fingerprints, pii, resharding, simhash, warc
+from claimloom.llm import decontaminate, fingerprints, pii, resharding, simhash, toxicity, warc
 from claimloom.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
@@ -35,7 +39,7 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op3_simhash_near_dedup, op5_warc, op6_benchmark_decontamination, op8_pii, op10_document_fingerprints)}
+    return {f.__name__: f for f in (op1_sharding, op3_simhash_near_dedup, op5_warc, op6_benchmark_decontamination, op7_toxicity, op8_pii, op10_document_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
