@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimloom.llm import decontaminate, fingerprints, pii, resharding, simhash, toxicity, warc
+from claimloom.llm import bpe, decontaminate, fingerprints, pii, resharding, simhash, toxicity, warc
 from claimloom.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(table(spark, sf_dir, "documents"))
 
 
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.report(table(spark, sf_dir, "documents"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.report(table(spark, sf_dir, "pages"))
 
@@ -39,7 +43,7 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op3_simhash_near_dedup, op5_warc, op6_benchmark_decontamination, op7_toxicity, op8_pii, op10_document_fingerprints)}
+    return {f.__name__: f for f in (op1_sharding, op3_simhash_near_dedup, op4_bpe, op5_warc, op6_benchmark_decontamination, op7_toxicity, op8_pii, op10_document_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
