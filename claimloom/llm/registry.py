@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimloom.llm import bpe, decontaminate, fingerprints, pii, resharding, simhash, toxicity, warc
+from claimloom.llm import bpe, decontaminate, fingerprints, pii, resharding, simhash, substrings, toxicity, warc
 from claimloom.llm.common import table
 
 
@@ -38,12 +38,16 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.report(table(spark, sf_dir, "documents"))
+
+
 def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.report(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op3_simhash_near_dedup, op4_bpe, op5_warc, op6_benchmark_decontamination, op7_toxicity, op8_pii, op10_document_fingerprints)}
+    return {f.__name__: f for f in (op1_sharding, op3_simhash_near_dedup, op4_bpe, op5_warc, op6_benchmark_decontamination, op7_toxicity, op8_pii, op9_substring_dedup, op10_document_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
