@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimloom.llm import bpe, decontaminate, fingerprints, pii, resharding, simhash, substrings, toxicity, warc
+import corpus_pipeline
+from claimloom.llm import bpe, decontaminate, fingerprints, pii, resharding, simhash, substrings, suffixes, toxicity, warc
 from claimloom.llm.common import table
 
 
@@ -14,6 +15,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resharding.report(table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.report(table(spark, sf_dir, "documents"))
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(table(spark, sf_dir, "documents"))
 
@@ -47,8 +52,8 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op3_simhash_near_dedup, op4_bpe, op5_warc, op6_benchmark_decontamination, op7_toxicity, op8_pii, op9_substring_dedup, op10_document_fingerprints)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_sharding, op2_suffix_array_dedup, op3_simhash_near_dedup, op4_bpe, op5_warc, op6_benchmark_decontamination, op7_toxicity, op8_pii, op9_substring_dedup, op10_document_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_warc": warc.ORACLE_SQL}
+    return {"op5_warc": warc.ORACLE_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

@@ -25,7 +25,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -186,3 +186,89 @@ def clustered(docs: DataFrame, k: int = SHINGLE, within: int = WITHIN) -> DataFr
 
 def report(docs: DataFrame) -> DataFrame:
     return clustered(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+# Near-duplicates of a stated Jaccard similarity, for pipelines. At 0.8 two full fingerprints differ
+# in ten bits or more of 64, a radius at which no branch of a vantage-point tree can be pruned. So
+# candidates come from SimHashes of small samples of the shingles, which are equal (radius zero) with
+# probability similarity**PER_SAMPLE each, and every candidate is verified on its whole shingle set.
+
+NEAR_SHINGLE, SIMILARITY = 5, 0.8
+SAMPLES, PER_SAMPLE = 20, 3
+#: Neighbours in a candidate group that each member is compared with, besides the group's root; members of a salted part.
+NEIGHBOURS, PART = 3, 512
+
+_MULTIPLIERS = np.random.default_rng(SEED).integers(0, 2**63, SAMPLES * PER_SAMPLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def sampled(h: np.ndarray) -> np.ndarray:
+    """SimHash of each of SAMPLES samples of PER_SAMPLE shingles (bit set if over half of three have it)."""
+    if not len(h):
+        return np.zeros(0, np.uint64)
+    least = np.empty(len(_MULTIPLIERS), np.uint64)
+    for i, m in enumerate(_MULTIPLIERS):
+        v = h * m
+        least[i] = (v ^ (v >> np.uint64(31))).min()
+    a, b, c = least.reshape(SAMPLES, PER_SAMPLE).T
+    return (a & b) | (b & c) | (a & c)
+
+
+def similar_groups(docs: DataFrame, k: int = NEAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """(_t, root) of texts, by hash, that are linked to another text; texts without words are linked to none."""
+    own = plain(docs, "text").withColumn("_t", F.xxhash64("text"))
+
+    def sign(batch: pa.RecordBatch) -> pa.RecordBatch:
+        fps = [sampled(np.unique(hashes(t, k))).view(np.int64) for t in texts_of(batch, "text")]
+        return pa.RecordBatch.from_arrays([batch.column("_t"), pa.array(fps, pa.list_(pa.int64()))], names=["_t", "fps"])
+
+    signed = staged(map_arrow(own, sign, "_t long, fps array<long>").dropDuplicates(["_t"]), "near-signed")
+    entries = signed.select("_t", F.posexplode("fps").alias("g", "fp"))
+    rank = F.xxhash64("_t", "g")
+    shared = entries.groupBy("g", "fp").agg(F.count(F.lit(1)).alias("n"), F.min_by("_t", rank).alias("first")).where("n > 1")
+    members = entries.join(shared, ["g", "fp"]).withColumn("salt", F.pmod(F.xxhash64("g", "_t"), F.floor(F.col("n") / PART) + 1))
+    w = Window.partitionBy("g", "fp", "salt").orderBy(rank, "_t")
+    ends = F.array(F.col("first"), *[F.lead("_t", i).over(w) for i in range(1, NEIGHBOURS + 1)])
+    pairs = members.select("_t", F.explode(ends).alias("o")).where("o is not null and o <> _t")
+    pairs = staged(pairs.select(F.least("_t", "o").alias("a"), F.greatest("_t", "o").alias("b")).distinct(), "near-pairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("_t")).distinct()
+
+    def whole(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [np.unique(hashes(t, k)).tobytes() for t in texts_of(batch, "text")]
+        return pa.RecordBatch.from_arrays([batch.column("_t"), pa.array(sets, pa.binary())], names=["_t", "set"])
+
+    sets = staged(map_arrow(own.join(wanted, "_t", "left_semi"), whole, "_t long, set binary").dropDuplicates(["_t"]), "near-sets")
+    left, right = (sets.select(F.col("_t").alias(c), F.col("set").alias(f"set_{c}")) for c in ("a", "b"))
+    sized = sets.select("_t", F.octet_length("set").alias("n"))
+    close = pairs.join(sized.selectExpr("_t as a", "n as na"), "a").join(sized.selectExpr("_t as b", "n as nb"), "b").where(F.least("na", "nb") >= similarity * F.greatest("na", "nb")).select("a", "b")
+
+    def verify(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keep = []
+        for x, y in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist()):
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            at = np.searchsorted(y, x)
+            both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
+            keep.append(both >= similarity * (len(x) + len(y) - both))
+        mask = pa.array(keep, pa.bool_())
+        return pa.RecordBatch.from_arrays([batch.column(c).filter(mask) for c in ("a", "b")], names=["a", "b"])
+
+    links_ = map_arrow(close.join(left, "a").join(right, "b"), verify, "a long, b long")
+    return connected_components(links_).select(F.col("v").alias("_t"), "root")
+
+
+def near_deduplicated(docs: DataFrame, k: int = NEAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """docs with one document, the one of least doc_id, of each group of equal or similar texts; columns unchanged.
+
+    Texts without a shingle are equal to each other only if they are the same string; null texts are one group.
+    """
+    cols = [F.col(f"d.`{c}`") for c in docs.columns]
+    keys = plain(docs, "doc_id", "text").select("doc_id", F.xxhash64("text").alias("_t"))
+    groups = staged(similar_groups(docs, k, similarity), "near-groups")
+    named = keys.join(groups, "_t", "left").withColumn("root", F.coalesce("root", "_t"))
+    # one row per group: the least id (null last), and of rows with that id the text of least hash
+    stays = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "_t")).alias("m")).select(F.col("m.doc_id").alias("_d"), F.col("m._t").alias("_t"))
+    kept = docs.alias("d").join(stays.alias("s"), F.col("d.doc_id").eqNullSafe(F.col("s._d")) & (F.xxhash64("d.text") == F.col("s._t")))
+    key = "_key"
+    while key in docs.columns:
+        key += "_"
+    once = kept.select(*cols, F.struct("s._d", "s._t").alias(key))
+    return once.dropDuplicates([key]).drop(key)
