@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from claimloom.llm.common import BATCH_ROWS, plain
+from claimloom.llm.common import BATCH_ROWS, input_bytes, plain
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 #: Text of a block, and input of which one hash bucket is made.
@@ -173,8 +173,7 @@ def encoded(docs: DataFrame, path: str = TOKENIZER, output: str = "digests", blo
         shared = spark.sparkContext.broadcast(f.read())
     own = plain(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     if buckets is None:
-        size = int(str(own._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-        buckets = max(16, min(MOST_BUCKETS, size // BUCKET_BYTES))
+        buckets = max(16, min(MOST_BUCKETS, input_bytes(own) // BUCKET_BYTES))
 
     def table_of(block: pa.Table):
         return [words_of(t or "") for t in block.column("text").to_pylist()]

@@ -93,3 +93,9 @@ def sha(data: bytes) -> str:
 def plain(df: DataFrame, *columns: str) -> DataFrame:
     """Only the named columns: extra columns, whatever their names, never reach an operator's joins."""
     return df.select(*[F.col(f"`{c}`") for c in columns])
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Catalyst's size estimate (256 MB where it has none); widths and bucket counts follow from it, never results."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else 256 << 20

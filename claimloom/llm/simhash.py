@@ -228,7 +228,7 @@ def similar_groups(docs: DataFrame, k: int = NEAR_SHINGLE, similarity: float = S
     members = entries.join(shared, ["g", "fp"]).withColumn("salt", F.pmod(F.xxhash64("g", "_t"), F.floor(F.col("n") / PART) + 1))
     w = Window.partitionBy("g", "fp", "salt").orderBy(rank, "_t")
     ends = F.array(F.col("first"), *[F.lead("_t", i).over(w) for i in range(1, NEIGHBOURS + 1)])
-    pairs = members.select("_t", F.explode(ends).alias("o")).where("o is not null and o <> _t")
+    pairs = members.select("_t", ends.alias("ends")).select("_t", F.explode("ends").alias("o")).where("o is not null and o <> _t")
     pairs = staged(pairs.select(F.least("_t", "o").alias("a"), F.greatest("_t", "o").alias("b")).distinct(), "near-pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("_t")).distinct()
 

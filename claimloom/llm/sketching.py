@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from claimloom.llm.common import BATCH_ROWS, plain, scratch_path
+from claimloom.llm.common import BATCH_ROWS, input_bytes, plain, scratch_path  # noqa: F401
 
 PIECES = "kind int, block long, bucket int, data binary"
 PIECES_ARROW = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("bucket", pa.int32()), ("data", pa.binary())])
@@ -49,11 +49,6 @@ def piece(kind: int, block: int, bucket: int, data: bytes) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([block], pa.int64()), pa.array([bucket], pa.int32()), pa.array([data], pa.binary())], schema=PIECES_ARROW)
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate; only widths and bucket counts follow from it, never results."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
 def bucket_count(size: int) -> int:
     return max(16, min(MOST_BUCKETS, size // BUCKET_BYTES))
 
