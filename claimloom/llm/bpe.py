@@ -175,15 +175,15 @@ def encoded(docs: DataFrame, path: str = TOKENIZER, output: str = "digests", blo
     if buckets is None:
         buckets = max(16, min(MOST_BUCKETS, input_bytes(own) // BUCKET_BYTES))
 
-    def table_of(block: pa.Table):
-        return [words_of(t or "") for t in block.column("text").to_pylist()]
+    def keys_of(block: pa.Table) -> set[str]:
+        keys: set[str] = set()
+        for t in block.column("text").to_pylist():  # no more than one text is held split
+            keys.update(words_of(t or ""))
+        return keys
 
     def list_words(batches):
         for number, block in _blocks(batches, block_bytes):
-            keys: set[str] = set()
-            for t in block.column("text").to_pylist():
-                keys.update(words_of(t or ""))
-            lists = [(b, _squeeze(_pack(ws))) for b, ws in enumerate(_lists(keys, buckets)) if ws]
+            lists = [(b, _squeeze(_pack(ws))) for b, ws in enumerate(_lists(keys_of(block), buckets)) if ws]
             yield pa.RecordBatch.from_arrays([pa.array([number] * len(lists), pa.int64()), pa.array([b for b, _ in lists], pa.int32()), pa.array([d for _, d in lists], pa.binary())], schema=_PIECES_ARROW)
 
     def encode_once(batches):
@@ -209,8 +209,7 @@ def encoded(docs: DataFrame, path: str = TOKENIZER, output: str = "digests", blo
         codec = _codec_of(shared)
         rows = dict(zip(group.column("bucket").to_pylist(), group.column("data").to_pylist()))
         block = pa.ipc.open_stream(rows.pop(_DOCS)).read_all()
-        texts = table_of(block)
-        lists = _lists({w for ws in texts for w in ws}, buckets)
+        lists = _lists(keys_of(block), buckets)
         at, counts, flats = {}, [], []
         for b, words in enumerate(lists):
             if words:
@@ -228,20 +227,19 @@ def encoded(docs: DataFrame, path: str = TOKENIZER, output: str = "digests", blo
         decoded, listed, spans = [], flat.tolist(), zip(start.tolist(), (start + count).tolist())
         for a, z in spans:  # each distinct word is decoded once
             decoded.append(b"".join([pieces[i] for i in listed[a:z]]))
-        out = []
-        for ws in texts:
+        n_tokens, first, second = [], [], []
+        for t in block.column("text").to_pylist():
+            ws = words_of(t or "")
             place = np.fromiter((at[w] for w in ws), np.int64, len(ws))
             n = count[place]
             step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             ids = flat[np.repeat(start[place], n) + step].astype("<u4")
             text = b"".join([decoded[p] for p in place.tolist()]).decode("utf-8", "replace")
-            out.append((ids, text))
-        doc_id = block.column("doc_id")
-        n_tokens = pa.array([len(i) for i, _ in out], pa.int64())
-        if output == "digests":
-            shas = [pa.array([hashlib.sha256(x).hexdigest() for x in xs]) for xs in ((i.tobytes() for i, _ in out), (t.encode() for _, t in out))]
-            return pa.table({"doc_id": doc_id, "n_tokens": n_tokens, "ids_sha256": shas[0], "decoded_sha256": shas[1]})
-        return pa.table({"doc_id": doc_id, "n_tokens": n_tokens, "ids": pa.array([i.astype(np.int32) for i, _ in out], pa.list_(pa.int32())), "decoded": pa.array([t for _, t in out], pa.string())})
+            n_tokens.append(len(ids))
+            first.append(hashlib.sha256(ids.tobytes()).hexdigest() if output == "digests" else ids.astype(np.int32))
+            second.append(hashlib.sha256(text.encode()).hexdigest() if output == "digests" else text)
+        kinds = (pa.string(), pa.string()) if output == "digests" else (pa.list_(pa.int32()), pa.string())
+        return pa.Table.from_arrays([block.column("doc_id"), pa.array(n_tokens, pa.int64()), pa.array(first, kinds[0]), pa.array(second, kinds[1])], names=["doc_id", "n_tokens", *(("ids_sha256", "decoded_sha256") if output == "digests" else ("ids", "decoded"))])
 
     lists = own.mapInArrow(list_words, _PIECES)
     answers = lists.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(encode_once, _PIECES)
