@@ -30,7 +30,7 @@ MOST_BITS = 28
 #: Text of a block.
 BLOCK_BYTES = 32 << 20
 #: Documents hashed together, in bytes: bounds the arrays of one step.
-GROUP_BYTES = 2 << 20
+GROUP_BYTES = 1 << 20
 BUCKET_BYTES = 8 << 20
 MOST_BUCKETS = 65_536
 

@@ -12,7 +12,7 @@ bytes; its least doc_id answers all of them. No suffix is sorted again across sh
 
 Every block gets, for each window of its spans, the least document that has it, and removes the
 bytes of windows that also start in a smaller document. Spans that several documents of a block, or
-several blocks, have in common are merged once.
+several blocks, have in common are merged once, and an anchor's only span isn't merged at all.
 
 Defined cases: null text is empty; texts under WINDOW bytes lose nothing; a null doc_id is larger
 than any other; documents with one id aren't smaller than each other; repeats within one document
@@ -33,6 +33,8 @@ from claimloom.llm.common import plain
 WINDOW = 50
 GRAM = 20
 LAST = np.iinfo(np.int64).max
+#: Text of a block: smaller than elsewhere, since a block's spans are held as strings.
+BLOCK_BYTES = 12 << 20
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
@@ -86,7 +88,7 @@ def _spans(texts: list[bytes], repeated: K.Repeated) -> tuple[np.ndarray, np.nda
 
 
 def _listed(ids: list[int | None], texts: list[bytes], repeated: K.Repeated, buckets: int) -> tuple[list[dict[bytes, list[int]]], list]:
-    """Distinct spans of a block by bucket, span → [number, least doc_id], and each group's occurrences."""
+    """Distinct spans of a block by bucket, span → [number, least doc_id, anchor], and each group's occurrences."""
     lists: list[dict[bytes, list[int]]] = [{} for _ in range(buckets)]
     groups = []
     for lo, hi in K.groups(texts):
@@ -94,10 +96,10 @@ def _listed(ids: list[int | None], texts: list[bytes], repeated: K.Repeated, buc
         doc = np.searchsorted(begin, start, "right") - 1
         bucket, number = (anchor % np.uint64(buckets)).astype(np.int64), np.zeros(len(start), np.int64)
         raw = buffer.tobytes()
-        for i, (a, n, b, d) in enumerate(zip(start.tolist(), size.tolist(), bucket.tolist(), doc.tolist())):
+        for i, (a, n, b, d, h) in enumerate(zip(start.tolist(), size.tolist(), bucket.tolist(), doc.tolist(), anchor.tolist())):
             held = ids[lo + d]
             held = LAST if held is None else held
-            entry = lists[b].setdefault(raw[a : a + n + WINDOW - 1], [len(lists[b]), held])
+            entry = lists[b].setdefault(raw[a : a + n + WINDOW - 1], [len(lists[b]), held, h])
             entry[1] = min(entry[1], held)
             number[i] = entry[0]
         groups.append((lo, hi, buffer, begin, start, size, doc, bucket, number))
@@ -105,14 +107,14 @@ def _listed(ids: list[int | None], texts: list[bytes], repeated: K.Repeated, buc
 
 
 def _pack(spans: dict[bytes, list[int]]) -> bytes:
-    return len(spans).to_bytes(4, "little") + np.array(list(map(len, spans)), "<u4").tobytes() + np.array([d for _, d in spans.values()], "<i8").tobytes() + b"".join(spans)
+    return len(spans).to_bytes(4, "little") + np.array(list(map(len, spans)), "<u4").tobytes() + np.array([d for _, d, _ in spans.values()], "<i8").tobytes() + np.array([h for _, _, h in spans.values()], "<u8").tobytes() + b"".join(spans)
 
 
-def _unpack(data: bytes) -> tuple[list[bytes], np.ndarray]:
+def _unpack(data: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     n = int.from_bytes(data[:4], "little")
     ends = np.frombuffer(data, "<u4", n, 4).cumsum().tolist()
-    body = data[4 + 12 * n :]
-    return [body[a:z] for a, z in zip([0, *ends], ends)], np.frombuffer(data, "<i8", n, 4 + 4 * n)
+    body = data[4 + 20 * n :]
+    return [body[a:z] for a, z in zip([0, *ends], ends)], np.frombuffer(data, "<i8", n, 4 + 4 * n), np.frombuffer(data, "<u8", n, 4 + 12 * n)
 
 
 class Transform:
@@ -135,19 +137,27 @@ class Transform:
         tie = np.where(left < 8, string + 1, 0)
         order = np.lexsort((tie, eight))
         new = np.append(True, (eight[order][1:] != eight[order][:-1]) | (tie[order][1:] != tie[order][:-1]))
+        start = np.flatnonzero(new)
+        size = np.diff(np.append(start, len(text)))
+        rank = np.empty(len(text), np.int64)  # a group's first place
+        rank[order] = np.repeat(start, size)
+        open_ = order[np.repeat(size > 1, size)]
         done = 8
-        while True:
-            rank = np.empty(len(text), np.int64)
-            rank[order] = np.cumsum(new) - 1
-            if new.all():
-                break
-            after = np.zeros(len(text), np.int64)
-            after[: max(0, len(text) - done)] = rank[done:] + 1
-            after[left < done] = 0
-            key = rank * (len(text) + 1) + after
-            order = np.argsort(key, kind="stable")
-            new = np.append(True, key[order][1:] != key[order][:-1])
+        while len(open_):  # only groups of several are sorted on, by the rank of what follows
+            after = rank[np.minimum(open_ + done, len(text) - 1)] + 1
+            key = rank[open_] * (len(text) + 1) + after
+            by = np.argsort(key)
+            open_, key = open_[by], key[by]
+            held = rank[open_]
+            group = np.flatnonzero(np.append(True, held[1:] != held[:-1]))
+            run = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            size = np.diff(np.append(run, len(key)))
+            inside = run - group[np.searchsorted(group, run, "right") - 1]
+            rank[open_] = np.repeat(held[run] + inside, size)
+            open_ = open_[np.repeat(size > 1, size)]
             done *= 2
+        order = np.empty(len(text), np.int64)
+        order[rank] = np.arange(len(text))
         self.text_start = ends - lengths
         self.rank = rank
         before = np.roll(text, 1)
@@ -209,19 +219,29 @@ def _merge_bucket(batches):
     def answers(bucket, held):
         spans: dict[bytes, int] = {}
         shards, places = [], []
-        for _, strings, docs in held:  # a span that an earlier shard has isn't merged again
+        for _, strings, _, anchors in held:  # a span that an earlier shard has isn't merged again
             new = [i for i, s in enumerate(strings) if s not in spans]
             spans.update(zip((strings[i] for i in new), range(len(spans), len(spans) + len(new))))
-            places.append(np.array([spans[s] for s in strings], np.int64))
+            places.append(np.fromiter((spans[s] for s in strings), np.int64, len(strings)))
             if new:
-                shards.append([strings[i] for i in new])
+                shards.append(([strings[i] for i in new], anchors[new]))
         least = np.full(len(spans), LAST)
-        for place, (_, _, docs) in zip(places, held):
+        for place, (_, _, docs, _) in zip(places, held):
             np.minimum.at(least, place, docs)
-        cut = np.cumsum([0, *map(len, shards)])
-        windows = [w for shard in least_documents([(s, least[a:z]) for s, a, z in zip(shards, cut, cut[1:])]) for w in shard]
-        for place, (block, _, docs) in zip(places, held):
-            gain = [d - windows[p] for p, d in zip(place.tolist(), docs.tolist())]
+        # the windows of an anchor's only span are nowhere else: equal spans were one string already
+        _, kind, count = np.unique(np.concatenate([h for _, h in shards]), return_inverse=True, return_counts=True)
+        several = count[kind] > 1
+        merged: dict[int, np.ndarray] = {}
+        parts, at = [], 0
+        for strings, _ in shards:
+            own = np.flatnonzero(several[at : at + len(strings)])
+            if len(own):
+                parts.append(([strings[i] for i in own.tolist()], least[at + own], (at + own).tolist()))
+            at += len(strings)
+        for (_, _, numbers), windows in zip(parts, least_documents([p[:2] for p in parts]) if parts else []):
+            merged.update(zip(numbers, windows))
+        for place, (block, strings, docs, _) in zip(places, held):
+            gain = [d - (merged[p] if p in merged else np.full(len(s) - WINDOW + 1, least[p])) for p, d, s in zip(place.tolist(), docs.tolist(), strings)]
             yield K.piece(K.ANSWER, block, bucket, K.squeeze(np.concatenate(gain).astype("<i8").tobytes()))
 
     bucket, held = None, []
@@ -236,7 +256,7 @@ def _merge_bucket(batches):
         yield from answers(bucket, held)
 
 
-def removed(docs: DataFrame, finish, schema: str, buckets: int | None = None, block_bytes: int = K.BLOCK_BYTES) -> DataFrame:
+def removed(docs: DataFrame, finish, schema: str, buckets: int | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """finish(doc_ids, texts, masks) → Arrow table, for each block; a mask says which bytes of a text go."""
     spark = docs.sparkSession
     own = plain(docs, "doc_id", "text")
@@ -264,7 +284,7 @@ def removed(docs: DataFrame, finish, schema: str, buckets: int | None = None, bl
             sizes = np.array([len(s) - WINDOW + 1 for s in spans], np.int64)
             begin.append(at + np.cumsum(sizes) - sizes)
             if len(sizes):
-                docs_of = np.repeat(np.array([d for _, d in spans.values()], np.int64), sizes)
+                docs_of = np.repeat(np.array([d for _, d, _ in spans.values()], np.int64), sizes)
                 least.append(docs_of - np.frombuffer(K.swell(rows[k]), "<i8"))
                 at += int(sizes.sum())
         least = np.concatenate(least) if least else np.zeros(0, np.int64)
