@@ -1,19 +1,424 @@
-"""Catalogue of the engine's queries and their SQL."""
+"""Catalogue of the engine's queries, each with SQL for the same rows."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from claimloom.functions import periods, text, units
+from claimloom.operators import read, reconcile
+from claimloom.sources import claims
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None):
+    """Registers a query under its function's name, with its SQL."""
+
+    def keep(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _step(v: str) -> str:
+    whole, dec = f"floor(abs({v}))", f"length(rtrim(split_part(printf('%.10f', abs({v}) - floor(abs({v}))), '.', 2), '0'))"
+    zeros = f"CASE WHEN printf('%.0f', {whole}) = '0' THEN 0 ELSE length(printf('%.0f', {whole})) - length(rtrim(printf('%.0f', {whole}), '0')) END"
+    return f"CASE WHEN {dec} > 0 THEN CAST('5e-' || ({dec} + 1) AS DOUBLE) ELSE CAST('5e' || ({zeros} - 1) AS DOUBLE) END"
+
+
+_FWD, _BWD = ", ".join(f"'{x}'" for x in reconcile.FORWARD), ", ".join(f"'{x}'" for x in reconcile.BACKWARD)
+
+
+def _rank(b: str) -> str:
+    return "CASE " + b + " " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in reconcile.RANK.items()) + " END"
+
+
+FACTS = f"facts AS ({claims.FACTS_SQL})"
+_SIDES = ", ".join(f"{s}.{c} AS {s}_{c}" for s in "lr" for c in claims.COLUMNS)
+PAIRS = FACTS + f""", pairs AS (SELECT {_SIDES} FROM facts l JOIN facts r ON l.measure_id = r.measure_id
+  WHERE l.id < r.id AND NOT (l.document_id = r.document_id AND l.page_id = r.page_id))"""
+VERDICTS = PAIRS + f""", p1 AS (SELECT *,
+  CASE WHEN l_period_start IS NULL OR r_period_start IS NULL OR l_period_end IS NULL OR r_period_end IS NULL THEN 'unknown'
+       WHEN l_period_start = r_period_start AND l_period_end = r_period_end THEN 'identical'
+       WHEN l_period_start <= r_period_start AND l_period_end >= r_period_end THEN 'contains'
+       WHEN r_period_start <= l_period_start AND r_period_end >= l_period_end THEN 'contained_by'
+       WHEN l_period_start <= r_period_end AND r_period_start <= l_period_end THEN 'partial' ELSE 'disjoint' END AS pr,
+  CASE WHEN l_value_base = r_value_base THEN 0.0 ELSE abs(l_value_base - r_value_base) / CASE WHEN l_value_base IS NULL OR r_value_base IS NULL THEN NULL ELSE greatest(abs(l_value_base), abs(r_value_base)) END END AS delta,
+  greatest(CAST(5e-4 AS DOUBLE), least(greatest({_step("l_value_base")}, {_step("r_value_base")}) / greatest(abs(l_value_base), abs(r_value_base)), CAST(0.05 AS DOUBLE))) AS tol,
+  coalesce(l_basis, '') AS lb, coalesce(r_basis, '') AS rb FROM pairs),
+p2 AS (SELECT *, lb <> rb AS bd, delta <= tol AS agrees, {_rank("lb")} AS lk, {_rank("rb")} AS rk,
+  ((lb IN ({_FWD}) AND rb IN ({_BWD})) OR (rb IN ({_FWD}) AND lb IN ({_BWD})) OR lb IN ('revised', 'restated') OR rb IN ('revised', 'restated')) AS vint FROM p1),
+verdicts AS (SELECT *, l_document_id <> r_document_id AS cross_document,
+  CASE WHEN l_entity <> r_entity THEN 'entity' WHEN l_value_base IS NULL OR r_value_base IS NULL THEN CASE WHEN pr IN ('disjoint', 'partial') THEN 'period-differs-textual' ELSE 'textual' END
+       WHEN l_currency <> r_currency THEN 'currency-differs' WHEN l_unit_class <> r_unit_class THEN 'unit-class-differs' WHEN pr = 'unknown' THEN 'period-unknown'
+       WHEN pr IN ('contains', 'contained_by') THEN 'period-containment' WHEN pr IN ('disjoint', 'partial') THEN 'period-differs' WHEN l_segment IS DISTINCT FROM r_segment THEN 'qualifier-differs'
+       WHEN bd AND NOT agrees AND lk <> rk THEN 'basis-supersedes' WHEN bd AND NOT agrees THEN 'basis-differs' WHEN agrees THEN 'values-agree'
+       WHEN delta >= 0.5 OR l_confidence < 0.7 OR r_confidence < 0.7 THEN 'too-far-apart' ELSE 'values-disagree' END AS rule_id FROM p2),
+relations AS (SELECT *, CASE rule_id WHEN 'entity' THEN 'dropped' WHEN 'textual' THEN 'escalate' WHEN 'period-unknown' THEN 'escalate' WHEN 'too-far-apart' THEN 'escalate' WHEN 'period-containment' THEN 'refines'
+       WHEN 'basis-supersedes' THEN 'supersedes' WHEN 'values-agree' THEN 'corroborates' WHEN 'values-disagree' THEN 'contradicts' ELSE 'reconciled' END AS relation_type,
+  CASE WHEN rule_id IN ('period-differs-textual', 'period-containment', 'period-differs') THEN 'period' WHEN rule_id = 'currency-differs' THEN 'currency' WHEN rule_id = 'unit-class-differs' THEN 'definition' WHEN rule_id = 'qualifier-differs' THEN 'segment'
+       WHEN rule_id = 'basis-supersedes' THEN 'vintage' WHEN rule_id = 'basis-differs' OR (rule_id = 'values-agree' AND bd) THEN CASE WHEN vint THEN 'vintage' ELSE 'basis' END
+       WHEN rule_id = 'values-agree' THEN CASE WHEN l_unit_scale <> r_unit_scale THEN 'unit_scale' ELSE 'none' END WHEN rule_id = 'values-disagree' THEN 'none' END AS dimension,
+  CASE rule_id WHEN 'period-differs-textual' THEN 0.8 WHEN 'currency-differs' THEN 0.9 WHEN 'unit-class-differs' THEN 0.85 WHEN 'period-containment' THEN 0.9 WHEN 'period-differs' THEN 0.92 WHEN 'qualifier-differs' THEN 0.88
+       WHEN 'basis-supersedes' THEN 0.88 WHEN 'basis-differs' THEN 0.87 WHEN 'values-agree' THEN CASE WHEN delta = 0 THEN 0.95 ELSE 0.9 END WHEN 'values-disagree' THEN 0.82 END::DOUBLE AS rule_confidence FROM verdicts),
+decided AS (SELECT * FROM relations WHERE relation_type NOT IN ('escalate', 'dropped') AND (cross_document OR NOT (relation_type = 'reconciled' AND dimension = 'period')))"""
+
+
+def _facts(spark, sf):
+    return claims.facts(spark, sf)
+
+
+def _classified(spark, sf):
+    return reconcile.classify(reconcile.measure_pairs(_facts(spark, sf)))
+
+
+def _decided(spark, sf):
+    return reconcile.relations(_facts(spark, sf))
+
+
+def _count():
+    return F.count(F.lit(1)).alias("n")
+
+
+@query(f"WITH {VERDICTS} SELECT relation_type, dimension, rule_id, count(*) AS n FROM relations GROUP BY ALL")
+def reconcile_verdicts(spark, sf):
+    """REC-1..9, AGG-3, AGG-16: every pair of one measure, counted by outcome."""
+    return _classified(spark, sf).groupBy("relation_type", "dimension", "rule_id").agg(_count())
+
+
+@query(f"WITH {VERDICTS} SELECT l_id, r_id, relation_type, dimension, rule_id, rule_confidence, cross_document FROM decided")
+def relations_decided(spark, sf):
+    """REC-1, FLT-13: decided, informative relations."""
+    return _decided(spark, sf).select("l_id", "r_id", "relation_type", "dimension", "rule_id", "rule_confidence", "cross_document")
+
+
+@query(f"WITH {VERDICTS} SELECT l_id, r_id, CASE WHEN lk < rk THEN l_id ELSE r_id END AS superseded_id FROM decided WHERE relation_type = 'supersedes'")
+def supersedes(spark, sf):
+    """REC-7: which fact is superseded."""
+    return _decided(spark, sf).where("relation_type = 'supersedes'").select("l_id", "r_id", "superseded_id")
+
+
+@query(f"""WITH {VERDICTS} SELECT l_id, r_id, round(least(1.0, least(delta, 1.0) * 0.55::DOUBLE + (l_evidence_score + r_evidence_score) / 200 * 0.2::DOUBLE + (l_confidence + r_confidence) / 2 * 0.25::DOUBLE) * CASE WHEN cross_document THEN 1.0::DOUBLE ELSE 0.75::DOUBLE END, 9) AS severity
+FROM decided WHERE relation_type = 'contradicts'""")
+def reconcile_severity(spark, sf):
+    """REC-10."""
+    return _decided(spark, sf).where("relation_type = 'contradicts'").select("l_id", "r_id", F.round("severity", 9).alias("severity"))
+
+
+@query(f"WITH {PAIRS} SELECT l_id, r_id, l_measure_id AS measure_id FROM pairs")
+def measure_pairs(spark, sf):
+    """JON-6, FLT-14."""
+    return reconcile.measure_pairs(_facts(spark, sf)).select("l_id", "r_id", F.col("l_measure_id").alias("measure_id"))
+
+
+@query(f"WITH {PAIRS} SELECT l_id, r_id FROM pairs WHERE l_document_id IN (3, 4) OR r_document_id IN (3, 4)")
+def incremental_pairs(spark, sf):
+    """STR-1: only pairs that a newly ingested document takes part in."""
+    return reconcile.measure_pairs(_facts(spark, sf), F.col("document_id").isin(3, 4)).select("l_id", "r_id")
+
+
+@query(f"WITH {PAIRS}, k AS (SELECT l_id, r_id, row_number() OVER (PARTITION BY l_id ORDER BY r_id, l_id) AS a, row_number() OVER (PARTITION BY r_id ORDER BY r_id, l_id) AS b FROM pairs) SELECT l_id, r_id FROM k WHERE a <= 5 AND b <= 5")
+def pair_cap(spark, sf):
+    """WIN-2: at most so many pairs at either end."""
+    pairs = reconcile.measure_pairs(_facts(spark, sf)).select("l_id", "r_id")
+    return read.cap_pairs(pairs, "l_id", "r_id", [F.col("r_id"), F.col("l_id")], 5).select("l_id", "r_id")
+
+
+@query(f"""WITH {PAIRS}, u AS (SELECT l_id, r_id, 1 AS p, 'measure' AS source FROM pairs UNION ALL SELECT l.id, r.id, 2, 'period' FROM facts l JOIN facts r ON l.document_id = r.document_id AND l.measure_id = r.measure_id WHERE l.id < r.id)
+SELECT l_id, r_id, arg_min(source, p) AS source FROM u GROUP BY ALL""")
+def pair_union_first_wins(spark, sf):
+    """SET-2, WIN-4: routes united, the first route names the pair."""
+    facts = _facts(spark, sf).select("id", "document_id", "measure_id")
+    one = reconcile.measure_pairs(_facts(spark, sf)).select("l_id", "r_id", F.lit(1).alias("p"), F.lit("measure").alias("source"))
+    two = facts.alias("l").join(facts.alias("r"), ["document_id", "measure_id"]).where("l.id < r.id").select(F.col("l.id").alias("l_id"), F.col("r.id").alias("r_id"), F.lit(2).alias("p"), F.lit("period").alias("source"))
+    return one.unionByName(two).groupBy("l_id", "r_id").agg(F.min_by("source", "p").alias("source"))
+
+
+@query(f"WITH {FACTS} SELECT id, measure_id, value_base FROM facts WHERE currency = 'USD' AND period_end >= DATE '1997-01-01' AND period_start <= DATE '1997-06-30' AND confidence >= 0.7")
+def fact_filter_period_overlap(spark, sf):
+    """FLT-1, FLT-2, FLT-3."""
+    return read.filter_facts(_facts(spark, sf), "1997-01-01", "1997-06-30", 0.7, currency="USD", basis="").select("id", "measure_id", "value_base")
+
+
+@query(f"WITH {VERDICTS} SELECT id FROM facts WHERE id IN (SELECT l_id FROM decided UNION SELECT r_id FROM decided)")
+def fact_has_relations_semi(spark, sf):
+    """FLT-4, SET-1."""
+    return read.with_relations(_facts(spark, sf), _decided(spark, sf)).select("id")
+
+
+@query(f"WITH {VERDICTS} SELECT id FROM facts WHERE id NOT IN (SELECT l_id FROM decided UNION SELECT r_id FROM decided)")
+def fact_no_relations_anti(spark, sf):
+    """FLT-4."""
+    return read.with_relations(_facts(spark, sf), _decided(spark, sf), False).select("id")
+
+
+@query("SELECT doc_id FROM documents WHERE list_has_all(string_split_regex(lower(text), '[^a-z0-9]+'), ['the', 'tion', 'and'])")
+def fact_search_fts_and(spark, sf):
+    """FLT-5."""
+    return read.search_all(_t(spark, sf, "documents"), "text", "The, tion AND").select("doc_id")
+
+
+@query("SELECT doc_id FROM documents WHERE text ILIKE '%tioning%' OR source ILIKE '%src1%'")
+def fact_search_like(spark, sf):
+    """FLT-6, FLT-8, FLT-9."""
+    return _t(spark, sf, "documents").where(F.col("text").ilike("%tioning%") | F.col("source").ilike("%src1%")).select("doc_id")
+
+
+@query(f"WITH {FACTS} SELECT id, value_base FROM facts WHERE value_base IS NOT NULL ORDER BY value_base DESC, id LIMIT 50 OFFSET 20")
+def fact_sort_page(spark, sf):
+    """SRT-1, a page of 50."""
+    return _facts(spark, sf).where("value_base is not null").select("id", "value_base").orderBy(F.desc("value_base"), "id").offset(20).limit(50)
+
+
+@query(f"WITH {VERDICTS} SELECT l_id, r_id, relation_type FROM decided WHERE rule_confidence >= 0.88 AND cross_document AND (l_document_id = 7 OR r_document_id = 7)")
+def relations_filter_either_side(spark, sf):
+    """FLT-7."""
+    return _decided(spark, sf).where("rule_confidence >= 0.88 and cross_document and (l_document_id = 7 or r_document_id = 7)").select("l_id", "r_id", "relation_type")
+
+
+@query(f"""WITH {VERDICTS}, e AS (SELECT l_document_id AS document_id FROM decided UNION ALL SELECT r_document_id FROM decided WHERE r_document_id <> l_document_id), f AS (SELECT document_id, count(*) AS facts, count(value_base) AS numeric_facts FROM facts GROUP BY 1)
+SELECT f.document_id, f.facts, f.numeric_facts, (SELECT count(*) FROM e WHERE e.document_id = f.document_id) AS relations, round(f.facts / 7.0::DOUBLE, 2) AS facts_per_page FROM f""")
+def coverage_by_document(spark, sf):
+    """JON-1, JON-2, AGG-4, AGG-9: pre-aggregated sides, so nothing fans out."""
+    own = _facts(spark, sf).groupBy("document_id").agg(F.count(F.lit(1)).alias("facts"), F.count("value_base").alias("numeric_facts"))
+    ends = _decided(spark, sf).select(F.explode(F.array_distinct(F.array("l_document_id", "r_document_id"))).alias("document_id")).groupBy("document_id").agg(F.count(F.lit(1)).alias("relations"))
+    return own.join(ends, "document_id", "left").select("document_id", "facts", "numeric_facts", F.coalesce("relations", F.lit(0)).alias("relations"), F.round(F.col("facts") / 7.0, 2).alias("facts_per_page"))
+
+
+@query(f"WITH {FACTS} SELECT count(*) AS facts, count(value_base) AS numeric_facts, count(*) FILTER (period_start IS NOT NULL) AS with_period, round(count(value_base) / count(*), 4) AS numeric_rate, round(count(*) FILTER (evidence_score >= 100) / count(*), 4) AS exact_rate FROM facts")
+def evaluation_rates(spark, sf):
+    """AGG-1, AGG-2, one pass."""
+    n = F.count(F.lit(1))
+    return _facts(spark, sf).agg(n.alias("facts"), F.count("value_base").alias("numeric_facts"), F.count_if(F.col("period_start").isNotNull()).alias("with_period"), F.round(F.count("value_base") / n, 4).alias("numeric_rate"), F.round(F.count_if(F.col("evidence_score") >= 100) / n, 4).alias("exact_rate"))
+
+
+@query("SELECT event_type, list_sort(list(value))[count(value) // 2 + 1] AS median_value, count(*) AS calls, round(sum(value), 4) AS total FROM events GROUP BY 1")
+def median_latency_upper(spark, sf):
+    """AGG-3, AGG-7, AGG-8."""
+    return _t(spark, sf, "events").groupBy("event_type").agg(read.upper_median("value").alias("median_value"), F.count(F.lit(1)).alias("calls"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query("""WITH p AS (SELECT DISTINCT source, sha256(text) AS h FROM documents WHERE n_chars >= 400), s AS (SELECT source, count(*) AS size FROM p GROUP BY 1),
+j AS (SELECT a.source, b.source AS other, count(*) AS shared FROM p a JOIN p b ON a.h = b.h AND b.source < a.source GROUP BY ALL), r AS (SELECT j.source, other, shared, size, round(shared / size, 4) AS overlap, row_number() OVER (PARTITION BY j.source ORDER BY round(shared / size, 4) DESC, other) AS rn FROM j JOIN s ON s.source = j.source)
+SELECT source, other, shared, size, overlap FROM r WHERE rn = 1""")
+def near_duplicate_containment(spark, sf):
+    """FLT-12, JON-9, SET-4, AGG-15, DUP-1."""
+    return read.containment(_t(spark, sf, "documents").where("n_chars >= 400").select("source", F.sha2("text", 256).alias("h")), "source", "h")
+
+
+@query(f"WITH {VERDICTS}, e AS (SELECT l_id AS id FROM decided UNION ALL SELECT r_id FROM decided) SELECT id, count(*) AS degree FROM e GROUP BY 1")
+def graph_nodes(spark, sf):
+    """PRJ-8, AGG-18."""
+    return _decided(spark, sf).select(F.explode(F.array("l_id", "r_id")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
+
+
+@query(f"WITH {VERDICTS} SELECT l_id, r_id, relation_type FROM decided ORDER BY rule_confidence DESC, l_id, r_id LIMIT 200")
+def graph_edges(spark, sf):
+    """SRT-2, SRT-3: the strongest edges."""
+    return _decided(spark, sf).orderBy(F.desc("rule_confidence"), "l_id", "r_id").limit(200).select("l_id", "r_id", "relation_type")
+
+
+_CASES = {"corroborates": ("rule_confidence + CASE WHEN cross_document THEN 1.5 ELSE 0.0 END + CASE WHEN l_unit_scale <> r_unit_scale THEN 1.2 ELSE 0.0 END", "corroboration"), "reconciled": ("rule_confidence + CASE WHEN cross_document THEN 1.0 ELSE 0.0 END + CASE WHEN delta_relative IS NULL THEN 0.0 ELSE 2 * least(delta_relative, 1.0) END", "reconciled")}
+
+
+def _case_sql(kind: str) -> str:
+    score = _CASES[kind][0].replace("delta_relative", "delta")
+    return f"WITH {VERDICTS} SELECT l_id, r_id, round({score}, 6) AS case_score FROM decided WHERE relation_type = '{kind}' ORDER BY case_score DESC, cross_document DESC, rule_confidence DESC, l_id, r_id LIMIT 3"
+
+
+@query(_case_sql("corroborates"))
+def cases_corroboration(spark, sf):
+    """CAS-1, WIN-5, SRT-11."""
+    return read.top_cases(_decided(spark, sf).where("relation_type = 'corroborates'"), F.expr(_CASES["corroborates"][0].replace("1.5", "1.5D").replace("1.2", "1.2D"))).select("l_id", "r_id", "case_score")
+
+
+@query(_case_sql("reconciled"))
+def cases_reconciled(spark, sf):
+    """CAS-3, SET-5."""
+    return read.top_cases(_decided(spark, sf).where("relation_type = 'reconciled'"), F.expr(_CASES["reconciled"][0].replace("1.0", "1.0D").replace("0.0", "0.0D"))).select("l_id", "r_id", "case_score")
+
+
+@query("""WITH r AS (SELECT d.doc_id, CASE WHEN toxic = 1 THEN 'toxic' WHEN lang = 'en' THEN 'low_quality_en' ELSE 'low_quality' END AS reason FROM labels l JOIN documents d ON d.doc_id = l.doc_id WHERE quality = 0)
+SELECT reason, count(*) AS n, max(doc_id) AS newest FROM r GROUP BY 1 ORDER BY n DESC, reason LIMIT 4""")
+def cases_failure(spark, sf):
+    """CAS-4, WIN-6, FLT-10, AGG-3: rejections by reason with the newest sample."""
+    rows = _t(spark, sf, "labels").where("quality = 0").join(_t(spark, sf, "documents").select("doc_id", "lang"), "doc_id")
+    reason = F.when(F.col("toxic") == 1, "toxic").when(F.col("lang") == "en", "low_quality_en").otherwise("low_quality")
+    return rows.groupBy(reason.alias("reason")).agg(_count(), F.max("doc_id").alias("newest")).orderBy(F.desc("n"), "reason").limit(4)
+
+
+@query(f"WITH {FACTS} SELECT id, document_id, n_name AS document, value_base, round(confidence, 3) AS confidence, CASE WHEN segment IS NULL THEN '' ELSE 'segment=' || segment END AS qualifiers, strftime(period_start, '%Y-%m-%d') AS period_start FROM facts LEFT JOIN nation ON n_nationkey = document_id")
+def export_facts(spark, sf):
+    """SNK-1, PRJ-3, JON-3: a flat export row per fact; documents are a fixed 25-row dimension, left to the optimiser."""
+    q = F.array_join(F.transform(F.array_sort(F.map_entries(F.map_filter(F.create_map(F.lit("segment"), "segment"), lambda k, v: v.isNotNull()))), lambda e: F.concat(e["key"], F.lit("="), e["value"])), "; ")
+    rows = _facts(spark, sf).join(_t(spark, sf, "nation"), F.col("n_nationkey") == F.col("document_id"), "left")
+    return rows.select("id", "document_id", F.col("n_name").alias("document"), "value_base", F.round("confidence", 3).alias("confidence"), q.alias("qualifiers"), F.date_format("period_start", "yyyy-MM-dd").alias("period_start"))
+
+
+@query(f"WITH {VERDICTS} SELECT l_id, r_id, a.n_name AS left_document, b.n_name AS right_document, relation_type, rule_id FROM decided LEFT JOIN nation a ON a.n_nationkey = l_document_id LEFT JOIN nation b ON b.n_nationkey = r_document_id WHERE l_document_id = 5 OR r_document_id = 5")
+def export_relations(spark, sf):
+    """SNK-2, JON-4."""
+    n = _t(spark, sf, "nation")
+    one, two = (n.select(F.col("n_nationkey").alias(f"k{s}"), F.col("n_name").alias(f"{s}_document")) for s in ("left", "right"))
+    return _decided(spark, sf).where("l_document_id = 5 or r_document_id = 5").join(one, F.col("kleft") == F.col("l_document_id"), "left").join(two, F.col("kright") == F.col("r_document_id"), "left").select("l_id", "r_id", "left_document", "right_document", "relation_type", "rule_id")
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN o_totalprice WHEN 1 THEN -o_totalprice WHEN 2 THEN -o_totalprice ELSE floor(o_totalprice) END AS value FROM orders""")
+def parse_number(spark, sf):
+    """UNT-1 on surface strings derived from typed values."""
+    k, v = F.col("o_orderkey") % 4, F.col("o_totalprice")
+    s = F.call_function("format_number", v, F.lit("#,##0.00"))
+    surface = F.when(k == 0, F.concat(F.lit("USD "), s, F.lit(" total"))).when(k == 1, F.concat(F.lit("( "), s, F.lit(" )"))).when(k == 2, F.concat(F.lit("−"), s)).otherwise(F.call_function("format_number", F.floor(v), F.lit("#,##0")))
+    return _t(spark, sf, "orders").select("o_orderkey", units.parse_number(surface).alias("value"))
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'INR' WHEN 1 THEN 'USD' WHEN 2 THEN 'EUR' WHEN 3 THEN 'CHF' END AS currency, CASE o_orderkey % 5 WHEN 0 THEN 1e7 WHEN 1 THEN 1e9 WHEN 2 THEN 1e6 WHEN 3 THEN 250.0 END::DOUBLE AS scale, CASE o_orderkey % 3 WHEN 0 THEN 'ratio' WHEN 1 THEN 'mass' ELSE 'duration' END AS unit_class FROM orders")
+def normalize_units(spark, sf):
+    """UNT-2, UNT-3, UNT-6."""
+    pick = lambda xs, n: F.get(F.array(*[F.lit(x) for x in xs]), (F.col("o_orderkey") % n).cast("int"))
+    return _t(spark, sf, "orders").select("o_orderkey", units.normalize_currency(pick([" Rs. ", "US$", "euros", "chf", "??"], 5)).alias("currency"), units.normalize_scale(pick(["Crore", "bn", "Mn", "250 boxes", "none"], 5)).alias("scale"), units.simple_unit(pick(["%", "Tons", "days"], 3))["unit_class"].alias("unit_class"))
+
+
+@query(f"WITH {VERDICTS} SELECT l_id, r_id, pr AS period_relation FROM p1")
+def interval_relate(spark, sf):
+    """PER-17, JON-12."""
+    return _classified(spark, sf).select("l_id", "r_id", "period_relation")
+
+
+@query(f"WITH {VERDICTS} SELECT l_id, r_id, delta AS delta_relative, tol AS tolerance FROM p1 WHERE l_value_base IS NOT NULL AND r_value_base IS NOT NULL")
+def rounding_tolerance(spark, sf):
+    """UNT-10..13."""
+    return _classified(spark, sf).where("l_value_base is not null and r_value_base is not null").select("l_id", "r_id", "delta_relative", "tolerance")
+
+
+@query("""WITH d AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, year(o_orderdate) + CASE WHEN month(o_orderdate) >= 4 THEN 1 ELSE 0 END AS fy, CAST((month(o_orderdate) + 8) % 12 // 3 + 1 AS INT) AS q FROM orders)
+SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'quarter' WHEN 1 THEN 'fiscal_year' WHEN 2 THEN 'point' ELSE 'month' END AS kind,
+  CASE o_orderkey % 4 WHEN 0 THEN CAST(make_date(fy - 1, 4, 1) + to_months(3 * (q - 1)) AS DATE) WHEN 1 THEN make_date(fy - 1, 4, 1) WHEN 2 THEN d ELSE CAST(date_trunc('month', d) AS DATE) END AS period_start,
+  CASE o_orderkey % 4 WHEN 0 THEN CAST(make_date(fy - 1, 4, 1) + to_months(3 * q) - INTERVAL 1 DAY AS DATE) WHEN 1 THEN make_date(fy, 3, 31) WHEN 2 THEN d ELSE last_day(d) END AS period_end FROM d""")
+def parse_period(spark, sf):
+    """PER-1, PER-3, PER-7, PER-13, PER-14, PER-16 on labels derived from dates."""
+    d = F.col("o_orderdate").cast("date")
+    fy = F.year(d) + F.when(F.month(d) >= 4, 1).otherwise(0)
+    q = F.floor((F.month(d) + 8) % 12 / 3) + 1
+    k = F.col("o_orderkey") % 4
+    label = F.when(k == 0, F.format_string("Q%d FY%d", q.cast("int"), fy)).when(k == 1, F.format_string("FY %d-%02d", fy - 1, fy % 100)).when(k == 2, F.date_format(d, "'as at' MMMM d, yyyy")).otherwise(F.date_format(d, "MMM yyyy"))
+    return _t(spark, sf, "orders").select("o_orderkey", periods.parse_period(label).alias("p")).select("o_orderkey", "p.kind", F.col("p.start").alias("period_start"), F.col("p.end").alias("period_end"))
+
+
+@query(f"WITH {FACTS} SELECT id, lower(concat_ws('|', entity, CAST(measure_id AS VARCHAR), 'segment=' || segment, strftime(period_start, '%Y-%m-%d'), basis)) AS claim_key FROM facts")
+def claim_key(spark, sf):
+    """NRM-17."""
+    q = F.map_filter(F.create_map(F.lit("segment"), "segment"), lambda k, v: v.isNotNull())
+    return _facts(spark, sf).select("id", text.claim_key(F.col("entity"), F.col("measure_id").cast("string"), q, F.date_format("period_start", "yyyy-MM-dd"), F.col("basis")).alias("claim_key"))
+
+
+@query("""SELECT s_suppkey, trim(regexp_replace(lower(s_name), '[^a-z0-9]+', ' ', 'g')) AS alias_key, true AS same FROM supplier""")
+def same_organisation(spark, sf):
+    """TXT-10..12, SET-3: legal forms and articles don't tell organisations apart."""
+    n = F.col("s_name")
+    return _t(spark, sf, "supplier").select("s_suppkey", text.entity_alias_key(F.concat(F.lit("The "), n, F.lit(" Pvt. Ltd"))).alias("alias_key"), text.same_organisation(F.concat(n, F.lit(" Limited")), F.concat(n, F.lit(", Inc."))).alias("same"))
+
+
+@query(r"""WITH w AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '[ \t\n\r\f\v]+'), lambda x: x <> '') AS ws FROM documents), m AS (SELECT doc_id, len(ws) AS words, coalesce(round(len(list_filter(ws, lambda x: regexp_matches(x, '^[(+-]?[$€£₹]?[0-9][0-9,.]*[%)]?$'))) / nullif(len(ws), 0), 3), 0.0) AS ns,
+ coalesce(round(len(regexp_extract_all(text, '[.!?]([ \t\n\r\f\v]|$)')) / nullif(len(ws), 0) * 100, 3), 0.0) AS sd FROM w)
+SELECT CASE WHEN words < 6 THEN 'empty' WHEN words < 25 AND sd < 1.0 AND ns < 0.25 THEN 'boilerplate' WHEN ns >= 0.15 AND sd >= 1.2 THEN 'mixed' ELSE 'prose' END AS page_type, count(*) AS n FROM m GROUP BY 1""")
+def classify_page(spark, sf):
+    """CLS-1, CLS-2, AGG-3."""
+    s = text.page_signals(F.col("text"))
+    rows = _t(spark, sf, "documents").select(*[c.alias(k) for k, c in s.items()])
+    return rows.groupBy(text.classify(F.col("words"), F.col("numeric_share"), F.col("sentence_density")).alias("page_type")).agg(_count())
+
+
+@query("""WITH q AS (SELECT doc_id, text, CASE WHEN doc_id % 3 = 0 THEN 'no such quote ' || doc_id ELSE substring(text, 5, 20) END AS quote FROM documents), c AS (SELECT doc_id, CAST((length(text) - length(replace(text, quote, ''))) / length(quote) AS INT) AS n, instr(text, quote) AS pos FROM q WHERE length(quote) > 0)
+SELECT doc_id, CASE WHEN n = 0 THEN 'quote_not_found' WHEN n > 1 THEN 'ambiguous_short_quote' ELSE 'grounded' END AS outcome, pos AS evidence_start FROM c""")
+def ground_exact(spark, sf):
+    """GRD-1, GRD-5, TXT-3 (exact branch)."""
+    d = _t(spark, sf, "documents").withColumn("quote", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("no such quote "), F.col("doc_id").cast("string"))).otherwise(F.substring("text", 5, 20))).where("length(quote) > 0")
+    n = text.occurrences(F.col("text"), F.col("quote"))
+    return d.select("doc_id", F.when(n == 0, "quote_not_found").when(n > 1, "ambiguous_short_quote").otherwise("grounded").alias("outcome"), F.instr("text", F.col("quote")).alias("evidence_start"))
+
+
+@query("""WITH v AS (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'contradicts' WHEN 1 THEN 'reconciled' WHEN 2 THEN 'corroborates' ELSE 'unrelated' END AS f, CASE o_orderkey % 3 WHEN 0 THEN 'contradicts' WHEN 1 THEN 'reconciled' ELSE 'corroborates' END AS s, (o_orderkey % 10)::DOUBLE / 10 AS c1, (o_orderkey % 7)::DOUBLE / 7 AS c2 FROM orders)
+SELECT o_orderkey, CASE WHEN f = s THEN f WHEN f = 'contradicts' THEN s ELSE f END AS relation_type, round(CASE WHEN f = s THEN (c1 + c2) / 2 ELSE least(0.55, CASE WHEN f = 'contradicts' THEN c2 ELSE c1 END) END, 9) AS confidence, f <> s AS order_sensitive FROM v WHERE f <> 'unrelated'""")
+def adjudication_merge(spark, sf):
+    """ADJ-1, ADJ-2, AGG-5."""
+    k = F.col("o_orderkey")
+    pick = lambda xs, n: F.get(F.array(*[F.lit(x) for x in xs]), (k % n).cast("int"))
+    rows = _t(spark, sf, "orders").select("o_orderkey", pick(["contradicts", "reconciled", "corroborates", "unrelated"], 4).alias("first"), pick(["contradicts", "reconciled", "corroborates"], 3).alias("second"), ((k % 10).cast("double") / 10).alias("c1"), ((k % 7).cast("double") / 7).alias("c2"))
+    return read.merge_verdicts(rows).select("o_orderkey", "relation_type", F.round("confidence", 9).alias("confidence"), "order_sensitive")
+
+
+@query(f"WITH {FACTS}, f AS (SELECT measure_id, min(document_id) AS document_id FROM facts GROUP BY 1) SELECT document_id, count(*) AS new_measures, CAST(sum(count(*)) OVER (ORDER BY document_id) AS BIGINT) AS running FROM f GROUP BY 1")
+def running_measures(spark, sf):
+    """AGG-14, WIN-7: over documents, of which there are 25; the running total is over the aggregate."""
+    per = _facts(spark, sf).groupBy("measure_id").agg(F.min("document_id").alias("document_id")).groupBy("document_id").agg(F.count(F.lit(1)).alias("new_measures"))
+    return per.withColumn("running", F.sum("new_measures").over(Window.orderBy("document_id").rowsBetween(Window.unboundedPreceding, 0)))
+
+
+@query(f"WITH {FACTS}, m AS (SELECT measure_id, count(*) AS facts, count(DISTINCT document_id) AS documents FROM facts GROUP BY 1) SELECT count(*) AS measures, count(*) FILTER (documents > 1) AS shared, round(count(*) FILTER (documents > 1) / count(*), 4) AS shared_rate, max(facts) AS most_facts FROM m")
+def registry_stats(spark, sf):
+    """AGG-6, AGG-10, AGG-11."""
+    m = _facts(spark, sf).groupBy("measure_id").agg(F.count(F.lit(1)).alias("facts"), F.count_distinct("document_id").alias("documents"))
+    n = F.count(F.lit(1))
+    return m.agg(n.alias("measures"), F.count_if(F.col("documents") > 1).alias("shared"), F.round(F.count_if(F.col("documents") > 1) / n, 4).alias("shared_rate"), F.max("facts").alias("most_facts"))
+
+
+@query(f"WITH {FACTS} SELECT 'segment' AS key, segment AS value, count(*) AS n FROM facts WHERE segment IS NOT NULL GROUP BY 2")
+def qualifier_values(spark, sf):
+    """AGG-12, JSN-5, SRT-6."""
+    q = F.map_filter(F.create_map(F.lit("segment"), "segment"), lambda k, v: v.isNotNull())
+    return _facts(spark, sf).select(F.explode(q)).groupBy("key", "value").agg(_count())
+
+
+@query(f"WITH {VERDICTS}, o AS (SELECT l_id, r_id, 'old' AS relation_type FROM decided WHERE l_id % 3 = 0), n AS (SELECT l_id, r_id, relation_type FROM decided WHERE l_id % 2 = 0) SELECT * FROM n UNION ALL SELECT * FROM o WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.l_id = o.l_id AND n.r_id = o.r_id)")
+def upsert_relations(spark, sf):
+    """SNK-6."""
+    rows = _decided(spark, sf).select("l_id", "r_id", "relation_type")
+    return read.upsert(rows.where("l_id % 3 = 0").withColumn("relation_type", F.lit("old")), rows.where("l_id % 2 = 0"), ["l_id", "r_id"])
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) || ' | ' || h || ' = ' || v AS line FROM (SELECT p_partkey, 'p_size' AS h, CAST(p_size AS VARCHAR) AS v FROM part UNION ALL SELECT p_partkey, 'p_brand', p_brand FROM part UNION ALL SELECT p_partkey, 'p_type', p_type FROM part) WHERE v IS NOT NULL")
+def unpivot_table(spark, sf):
+    """LAY-6."""
+    return read.unpivot(_t(spark, sf, "part"), "p_partkey", ["p_size", "p_brand", "p_type"])
+
+
+@query("""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), n AS (SELECT vec_id, v, sqrt(list_inner_product(v, v)) AS n FROM v), s AS (SELECT q.vec_id AS q_id, a.vec_id, round(list_inner_product(a.v, q.v) / (a.n * q.n), 6) AS score FROM n q JOIN n a ON a.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0)
+SELECT * FROM (SELECT q_id, vec_id, score, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""")
+def vector_topk(spark, sf):
+    """JON-7, WIN-1, SRT-8, LEX-3: every id divisible by 50 against all vectors."""
+    return read.vector_topk(_t(spark, sf, "embeddings"))
+
+
+_TERMS = ["thonti", "edthe", "anble"]
+
+
+@query(f"""WITH w AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS t FROM documents), s AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM w), p AS (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM w) WHERE term IN ({", ".join(f"'{t}'" for t in _TERMS)}) GROUP BY ALL), d AS (SELECT term, count(*) AS df FROM p GROUP BY 1)
+SELECT doc_id, round(sum(greatest(1e-6, ln((n - df + 0.5) / (df + 0.5))) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 6) AS score FROM p JOIN d USING (term) CROSS JOIN s GROUP BY 1 ORDER BY score DESC, doc_id LIMIT 8""")
+def bm25_topk(spark, sf):
+    """JON-8, LEX-1, LEX-2."""
+    return read.bm25(_t(spark, sf, "documents"), "doc_id", "text", _TERMS, 8)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/nation.parquet")
+    return reconcile_verdicts(spark, sf_dir)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
