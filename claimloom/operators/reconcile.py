@@ -11,6 +11,13 @@ from claimloom.functions import periods, units
 RANK = {"projection": 0, "forecast": 0, "budgeted": 0, "target": 0, "estimate": 1, "provisional": 1, "actual": 2, "revised": 3, "restated": 3}
 FORWARD = ("estimate", "projection", "forecast", "budgeted", "target", "provisional")
 BACKWARD = ("actual", "revised", "restated")
+#: Relation type, dimension, subtype and confidence of each rule.
+OUTCOMES = {
+    "entity": ("dropped", None, None, None), "textual": ("escalate", None, None, None), "period-unknown": ("escalate", None, None, None), "too-far-apart": ("escalate", None, None, None),
+    "period-differs-textual": ("reconciled", "period", None, 0.8), "currency-differs": ("reconciled", "currency", None, 0.9), "unit-class-differs": ("reconciled", "definition", None, 0.85), "period-containment": ("refines", "period", None, 0.9),
+    "period-differs": ("reconciled", "period", None, 0.92), "qualifier-differs": ("reconciled", "segment", "segment_differs", 0.88), "basis-supersedes": ("supersedes", "vintage", "later_statement", 0.88), "basis-differs": ("reconciled", None, "basis_differs", 0.87),
+    "values-agree": ("corroborates", "none", None, 0.9), "values-disagree": ("contradicts", "none", None, 0.82),
+}
 
 
 def measure_pairs(facts: DataFrame, new: Column | None = None) -> DataFrame:
@@ -18,7 +25,9 @@ def measure_pairs(facts: DataFrame, new: Column | None = None) -> DataFrame:
 
     An equi-join on the measure: period and page conditions stay residual, and adaptive execution splits a hot measure.
     """
-    rows = facts if new is None else facts.withColumn("is_new", new)
+    # what depends on one fact alone is computed before the join, once a fact instead of once a pair
+    rows = facts.withColumns({"step": units.rounding_step(F.col("value_base")), "rank": _rank(F.coalesce("basis", F.lit("")))})
+    rows = rows if new is None else rows.withColumn("is_new", new)
     side = lambda p: rows.select(*[F.col(c).alias(f"{p}_{c}") for c in rows.columns])
     pairs = side("l").join(side("r"), F.col("l_measure_id") == F.col("r_measure_id")).where("l_id < r_id and not (l_document_id = r_document_id and l_page_id = r_page_id)")
     return pairs if new is None else pairs.where("l_is_new or r_is_new")
@@ -38,39 +47,42 @@ def classify(pairs: DataFrame) -> DataFrame:
     df = pairs.withColumns({
         "period_relation": periods.relate(c("l_period_start"), c("l_period_end"), c("r_period_start"), c("r_period_end")),
         "delta_relative": units.relative_difference(c("l_value_base"), c("r_value_base")),
-        "tolerance": units.rounding_tolerance(c("l_value_base"), c("r_value_base"), c("l_unit_class")),
+        "tolerance": units.rounding_tolerance(c("l_value_base"), c("r_value_base"), c("l_unit_class"), (c("l_step"), c("r_step"))),
         "basis_differs": lb != rb,
         "vintage": (lb.isin(*FORWARD) & rb.isin(*BACKWARD)) | (rb.isin(*FORWARD) & lb.isin(*BACKWARD)) | lb.isin("revised", "restated") | rb.isin("revised", "restated"),
-        "l_rank": _rank(lb), "r_rank": _rank(rb),
     })
-    agrees = c("delta_relative") <= c("tolerance")
-    ranked = c("l_rank").isNotNull() & c("r_rank").isNotNull() & (c("l_rank") != c("r_rank"))
-    scale_differs = F.coalesce(c("l_unit_scale"), F.lit(1.0)) != F.coalesce(c("r_unit_scale"), F.lit(1.0))
-    vintage_or_basis = F.when(c("vintage"), "vintage").otherwise("basis")
-    verdict = lambda kind, dimension, subtype, rule, confidence: F.struct(F.lit(kind).alias("relation_type"), (dimension if isinstance(dimension, Column) else F.lit(dimension)).alias("dimension"), (subtype if isinstance(subtype, Column) else F.lit(subtype)).alias("subtype"), F.lit(rule).alias("rule_id"), (confidence if isinstance(confidence, Column) else F.lit(confidence)).alias("rule_confidence"))
-    escalate = lambda rule: verdict("escalate", None, None, rule, None)
-    none = F.lit(None).cast("string")
-    chain = (
-        F.when((c("l_entity").isNotNull() & c("r_entity").isNotNull() & (c("l_entity") != c("r_entity"))), verdict("dropped", none, none, "entity", F.lit(None).cast("double")))
-        .when(c("l_value_base").isNull() | c("r_value_base").isNull(), F.when(c("period_relation").isin("disjoint", "partial"), verdict("reconciled", "period", none, "period-differs-textual", 0.8)).otherwise(verdict("escalate", none, none, "textual", F.lit(None).cast("double"))))
-        .when(~c("l_currency").eqNullSafe(c("r_currency")), verdict("reconciled", "currency", none, "currency-differs", 0.9))
-        .when(~c("l_unit_class").eqNullSafe(c("r_unit_class")), verdict("reconciled", "definition", none, "unit-class-differs", 0.85))
-        .when(c("period_relation") == "unknown", verdict("escalate", none, none, "period-unknown", F.lit(None).cast("double")))
-        .when(c("period_relation").isin("contains", "contained_by"), verdict("refines", "period", none, "period-containment", 0.9))
-        .when(c("period_relation").isin("disjoint", "partial"), verdict("reconciled", "period", none, "period-differs", 0.92))
-        .when(~c("l_segment").eqNullSafe(c("r_segment")), verdict("reconciled", "segment", "segment_differs", "qualifier-differs", 0.88))
-        .when(c("basis_differs") & ~agrees & ranked, verdict("supersedes", "vintage", "later_statement", "basis-supersedes", 0.88))
-        .when(c("basis_differs") & ~agrees, verdict("reconciled", vintage_or_basis, "basis_differs", "basis-differs", 0.87))
-        .when(agrees, verdict("corroborates", F.when(c("basis_differs"), vintage_or_basis).when(scale_differs, "unit_scale").otherwise("none"), F.when(c("basis_differs"), "agrees_across_basis").when(scale_differs, "scale_equivalent").when(c("delta_relative") == 0, "exact").otherwise("within_rounding"), "values-agree", F.when(c("delta_relative") == 0, 0.95).otherwise(0.9)))
-        .when((c("delta_relative") >= 0.5) | (c("l_confidence") < 0.7) | (c("r_confidence") < 0.7), verdict("escalate", none, none, "too-far-apart", F.lit(None).cast("double")))
-        .otherwise(verdict("contradicts", "none", none, "values-disagree", 0.82))
+    df = df.withColumn("agrees", c("delta_relative") <= c("tolerance"))
+    rule = (
+        F.when(c("l_entity").isNotNull() & c("r_entity").isNotNull() & (c("l_entity") != c("r_entity")), "entity")
+        .when(c("l_value_base").isNull() | c("r_value_base").isNull(), F.when(c("period_relation").isin("disjoint", "partial"), "period-differs-textual").otherwise("textual"))
+        .when(~c("l_currency").eqNullSafe(c("r_currency")), "currency-differs")
+        .when(~c("l_unit_class").eqNullSafe(c("r_unit_class")), "unit-class-differs")
+        .when(c("period_relation") == "unknown", "period-unknown")
+        .when(c("period_relation").isin("contains", "contained_by"), "period-containment")
+        .when(c("period_relation").isin("disjoint", "partial"), "period-differs")
+        .when(~c("l_segment").eqNullSafe(c("r_segment")), "qualifier-differs")
+        .when(c("basis_differs") & ~c("agrees") & c("l_rank").isNotNull() & c("r_rank").isNotNull() & (c("l_rank") != c("r_rank")), "basis-supersedes")
+        .when(c("basis_differs") & ~c("agrees"), "basis-differs")
+        .when(c("agrees"), "values-agree")
+        .when((c("delta_relative") >= 0.5) | (c("l_confidence") < 0.7) | (c("r_confidence") < 0.7), "too-far-apart")
+        .otherwise("values-disagree")
     )
-    del escalate
+    df = df.withColumn("rule_id", rule)  # the verdict's other parts follow from the rule that fired
+    by_rule = lambda i, kind: F.element_at(F.create_map(*[x for k, v in OUTCOMES.items() if v[i] is not None for x in (F.lit(k), F.lit(v[i]))]), c("rule_id")).cast(kind)
+    scale_differs = F.coalesce(c("l_unit_scale"), F.lit(1.0)) != F.coalesce(c("r_unit_scale"), F.lit(1.0))
+    agree, bases = c("rule_id") == "values-agree", F.when(c("vintage"), "vintage").otherwise("basis")
+    across = agree & c("basis_differs")
     cross = c("l_document_id") != c("r_document_id")
     severity = F.least(F.lit(1.0), (F.least(c("delta_relative"), F.lit(1.0)) * 0.55 + (c("l_evidence_score") + c("r_evidence_score")) / 200 * 0.2 + (c("l_confidence") + c("r_confidence")) / 2 * 0.25)) * F.when(cross, 1.0).otherwise(0.75)
-    stale = F.when(c("l_rank") < c("r_rank"), c("l_id")).otherwise(c("r_id"))
-    df = df.withColumn("v", chain)
-    return df.select("*", "v.*", cross.alias("cross_document"), F.when(c("v.relation_type") == "contradicts", severity).otherwise(0.0).alias("severity"), F.when(c("v.relation_type") == "supersedes", stale).alias("superseded_id")).drop("v")
+    return df.withColumns({
+        "relation_type": by_rule(0, "string"),
+        "dimension": F.when(across | (c("rule_id") == "basis-differs"), bases).when(agree & scale_differs, "unit_scale").otherwise(by_rule(1, "string")),
+        "subtype": F.when(across, "agrees_across_basis").when(agree & scale_differs, "scale_equivalent").when(agree & (c("delta_relative") == 0), "exact").when(agree, "within_rounding").otherwise(by_rule(2, "string")),
+        "rule_confidence": F.when(agree & (c("delta_relative") == 0), 0.95).otherwise(by_rule(3, "double")),
+        "cross_document": cross,
+        "severity": F.when(c("rule_id") == "values-disagree", severity).otherwise(0.0),
+        "superseded_id": F.when(c("rule_id") == "basis-supersedes", F.when(c("l_rank") < c("r_rank"), c("l_id")).otherwise(c("r_id"))),
+    })
 
 
 def relations(facts: DataFrame) -> DataFrame:
