@@ -177,10 +177,15 @@ def encoded(docs: DataFrame, path: str = TOKENIZER, output: str = "digests", blo
 
     def keys_of(block: pa.Table) -> set[str]:
         keys: set[str] = set()
-        for t in block.column("text").to_pylist():  # no more than one text is held split
-            keys.update(words_of(t or ""))
+        for t in texts_in(block):  # no more than one text is held split
+            keys.update(words_of(t))
         return keys
 
+    def texts_in(block: pa.Table) -> Iterator[str]:
+        for chunk in block.column("text").chunks:
+            for i in range(0, len(chunk), 64):
+                yield from (t or "" for t in chunk[i : i + 64].to_pylist())
+
     def list_words(batches):
         for number, block in _blocks(batches, block_bytes):
             lists = [(b, _squeeze(_pack(ws))) for b, ws in enumerate(_lists(keys_of(block), buckets)) if ws]
@@ -220,16 +225,20 @@ def encoded(docs: DataFrame, path: str = TOKENIZER, output: str = "digests", blo
                 at.update(zip((w.decode() for w in words), range(len(at), len(at) + len(words))))
                 counts.append(found[0])
                 flats.append(found[1])
+        del lists, rows
         count = np.concatenate(counts).astype(np.int64) if counts else np.zeros(0, np.int64)
         flat = np.concatenate(flats) if flats else np.zeros(0, "<u4")
         start = np.cumsum(count) - count
         pieces = codec.pieces
-        decoded, listed, spans = [], flat.tolist(), zip(start.tolist(), (start + count).tolist())
-        for a, z in spans:  # each distinct word is decoded once
-            decoded.append(b"".join([pieces[i] for i in listed[a:z]]))
+        decoded = []
+        for lo in range(0, len(count), 10_000):  # each distinct word is decoded once
+            first_id = int(start[lo])
+            last_id = int(start[min(lo + 10_000, len(count)) - 1] + count[min(lo + 10_000, len(count)) - 1])
+            listed, at_ids = flat[first_id:last_id].tolist(), (start[lo : lo + 10_000] - first_id).tolist()
+            decoded += [b"".join([pieces[i] for i in listed[a : a + n]]) for a, n in zip(at_ids, count[lo : lo + 10_000].tolist())]
         n_tokens, first, second = [], [], []
-        for t in block.column("text").to_pylist():
-            ws = words_of(t or "")
+        for t in texts_in(block):
+            ws = words_of(t)
             place = np.fromiter((at[w] for w in ws), np.int64, len(ws))
             n = count[place]
             step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
