@@ -191,12 +191,16 @@ def report(docs: DataFrame) -> DataFrame:
 # Near-duplicates of a stated Jaccard similarity, for pipelines. At 0.8 two full fingerprints differ
 # in ten bits or more of 64, a radius at which no branch of a vantage-point tree can be pruned. So
 # candidates come from SimHashes of small samples of the shingles, which are equal (radius zero) with
-# probability similarity**PER_SAMPLE each, and every candidate is verified on its whole shingle set.
+# probability similarity**PER_SAMPLE each, and candidates are verified on their whole shingle sets. A first
+# pass compares each member of a candidate group with a few others; a second one compares every pair of
+# the group that the links of the first leave unconnected.
 
 NEAR_SHINGLE, SIMILARITY = 5, 0.8
 SAMPLES, PER_SAMPLE = 20, 3
-#: Neighbours in a candidate group that each member is compared with, besides the group's root; members of a salted part.
+#: First pass: neighbours in a candidate group that each member is compared with, besides the group's root; members of a salted part.
 NEIGHBOURS, PART = 3, 512
+#: Second pass, every pair not yet linked: members and bytes of shingle hashes that a block of a candidate group should hold.
+BLOCK, BLOCK_BYTES = 256, 4 << 20
 
 _MULTIPLIERS = np.random.default_rng(SEED).integers(0, 2**63, SAMPLES * PER_SAMPLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -213,6 +217,62 @@ def sampled(h: np.ndarray) -> np.ndarray:
     return (a & b) | (b & c) | (a & c)
 
 
+def cross_links(t: np.ndarray, label: np.ndarray, block: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links (a, b) that join all members of similar sets: pairs of two blocks, or of one where there is only one.
+
+    Every pair is compared unless its two are known to be connected (same label, or linked here before). Sets aren't empty.
+    """
+    order = np.argsort(block, kind="stable")
+    t, sets, label = t[order], [sets[i] for i in order], np.unique(label[order], return_inverse=True)[1]
+    n = np.array([len(x) for x in sets])
+    starts = np.concatenate([[0], np.cumsum(n)])
+    flat = np.concatenate(sets)
+    words = np.unique(flat)
+    at, has, out = np.searchsorted(words, flat).astype(np.int32), np.zeros(len(words), bool), []
+    split = int((block == block.min()).sum())
+    for i in range(split if split < len(t) else len(t) - 1):
+        lo = split if split < len(t) else i + 1
+        open_ = (label[lo:] != label[i]) & (np.minimum(n[lo:], n[i]) >= similarity * np.maximum(n[lo:], n[i]))
+        if not open_.any():
+            continue
+        own = at[starts[i] : starts[i + 1]]
+        has[own] = True
+        both = np.add.reduceat(has[at[starts[lo] :]], starts[lo:-1] - starts[lo], dtype=np.int64)
+        has[own] = False
+        hit = lo + np.flatnonzero(open_ & (both >= similarity * (n[i] + n[lo:] - both)))
+        found, one = np.unique(label[hit], return_index=True)
+        out += [(int(t[i]), int(t[j])) for j in hit[one]]
+        label[np.isin(label, found)] = label[i]
+    return out
+
+
+def remaining_links(entries: DataFrame, sets: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between members of one candidate group (g, fp) that roots (v, root) doesn't connect yet.
+
+    A group whose members are all connected needs no more comparison. Any other is cut into blocks, every two blocks
+    and each block with itself meet in a cell of bounded size, and there every pair is compared.
+    """
+    known = sets.select("_t", F.octet_length("set").alias("bytes")).join(roots.select(F.col("v").alias("_t"), "root"), "_t", "left")
+    labelled = entries.join(known.withColumn("root", F.coalesce("root", "_t")), "_t")
+    groups = labelled.groupBy("g", "fp").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("size"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1")
+    blocks = F.greatest(F.floor((F.col("n") - 1) / BLOCK), F.floor((F.col("size") - 1) / BLOCK_BYTES)) + 1
+    todo = staged(labelled.select("g", "fp", "_t", "root").join(groups.select("g", "fp", blocks.alias("blocks")), ["g", "fp"]), "near-remaining")
+    block = F.pmod(F.xxhash64("g", "_t"), F.col("blocks"))
+    placed = todo.withColumn("block", block).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    cells = placed.select(F.xxhash64("g", "fp", F.least("block", "o"), F.greatest("block", "o")).alias("cell"), (F.col("block") == F.col("o")).alias("alone"), "_t", "root", "block")
+
+    def compare(cell: pa.Table) -> pa.Table:
+        block = cell.column("block").to_numpy()
+        found = []
+        # a block's own cell has its members only; any other has those of two blocks
+        if cell.num_rows > 1 and (len(np.unique(block)) > 1 or cell.column("alone")[0].as_py()):
+            sets = [np.frombuffer(x, np.uint64) for x in cell.column("set").to_pylist()]
+            found = cross_links(cell.column("_t").to_numpy(), cell.column("root").to_numpy(), block, sets, similarity)
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    return cells.join(sets, "_t").groupBy("cell").applyInArrow(compare, "a long, b long")
+
+
 def similar_groups(docs: DataFrame, k: int = NEAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """(_t, root) of texts, by hash, that are linked to another text; texts without words are linked to none."""
     own = plain(docs, "text").withColumn("_t", F.xxhash64("text"))
@@ -252,7 +312,10 @@ def similar_groups(docs: DataFrame, k: int = NEAR_SHINGLE, similarity: float = S
         return pa.RecordBatch.from_arrays([batch.column(c).filter(mask) for c in ("a", "b")], names=["a", "b"])
 
     links_ = map_arrow(close.join(left, "a").join(right, "b"), verify, "a long, b long")
-    return connected_components(links_).select(F.col("v").alias("_t"), "root")
+    roots = staged(connected_components(links_), "near-roots")
+    more = remaining_links(members.select("g", "fp", "_t"), sets, roots, similarity)
+    linked = roots.select(F.col("v").alias("a"), F.col("root").alias("b")).unionByName(more)
+    return connected_components(linked).select(F.col("v").alias("_t"), "root")
 
 
 def near_deduplicated(docs: DataFrame, k: int = NEAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:

@@ -71,3 +71,41 @@ def test_components(spark):
     want = sorted((v, find(v)) for v in list(up))
     got = connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
     assert sorted((r.v, r.root) for r in got) == want
+
+
+def test_cross_links_join_what_brute_force_joins():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.choice(40, rng.integers(1, 30)).astype(np.uint64)) for _ in range(60)]
+    sets += [np.delete(s, 0) for s in sets if len(s) > 8]
+    t, n = np.arange(len(sets)), len(sets)
+    close = lambda x, y: len(np.intersect1d(x, y)) >= 0.8 * len(np.union1d(x, y))
+    for block in (np.zeros(n, int), t % 2):
+        want = connected([(i, j) for i in range(n) for j in range(i) if close(sets[i], sets[j]) and (block.max() == 0 or block[i] != block[j])], n)
+        found = S.cross_links(t, t, block, sets, 0.8)
+        assert connected(found, n) == want and all(close(sets[i], sets[j]) for i, j in found)
+
+
+def connected(edges, n):
+    root = list(range(n))
+    for i, j in edges:
+        a, b = root[i], root[j]
+        root = [min(a, b) if r in (a, b) else r for r in root]
+    return root
+
+
+def test_original_with_many_copies_that_are_unlike_each_other(spark):
+    rng = random.Random(4)
+    original = [f"w{i}" for i in range(400)]
+    rows = [(0, " ".join(original))]
+    for d in range(1, 2001):
+        words = list(original)
+        for i in rng.sample(range(5, 395), 6):
+            words[i] = f"x{d}.{i}"
+        rows.append((d, " ".join(words)))
+    sets = [set(S.shingles(t.encode(), S.NEAR_SHINGLE)) for _, t in rows]
+    share = lambda x, y: len(x & y) / len(x | y)
+    assert min(share(sets[0], s) for s in sets) > 0.82
+    assert sum(share(sets[i], sets[i + 1]) < 0.8 for i in range(1, 2000)) > 1900
+    other = [(5000 + i, " ".join(f"y{i}.{j}" for j in range(40))) for i in range(20)]
+    docs = spark.createDataFrame(rows + other, "doc_id long, text string").repartition(4)
+    assert sorted(r.doc_id for r in S.near_deduplicated(docs).select("doc_id").collect()) == [0] + [d for d, _ in other]
