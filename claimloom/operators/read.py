@@ -85,7 +85,8 @@ def vector_topk(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
 
 
 def cap_pairs(pairs: DataFrame, a: str, b: str, order: list[Column], cap: int = 40) -> DataFrame:
-    """WIN-2 by rank at both endpoints: never more than cap pairs at an id, always a subset of the greedy choice."""
+    """An approximation of WIN-2 by rank at each endpoint: at most cap pairs with an id on the same side. It isn't the
+    greedy choice, which counts an id on both sides: in a large group ids late in the order lose every pair."""
     ranked = pairs
     for side in (a, b):
         ranked = ranked.withColumn(f"rank_{side}", F.row_number().over(Window.partitionBy(side).orderBy(*order)))
