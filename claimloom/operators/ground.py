@@ -1,4 +1,5 @@
-"""Grounding: candidates are kept only with evidence found in their page (GRD-1..9, TXT-1..4).
+"""Grounding: candidates are kept only with evidence found in their page (GRD-1, 2, 5, 7, TXT-1..4;
+parts of GRD-3, 4, 8 and 9; GRD-6 isn't built).
 
 Exact work is Columns; only candidates whose quote isn't found exactly go through the fuzzy search,
 an Arrow-batched function.
