@@ -28,15 +28,18 @@ def create(unresolved: DataFrame, taken: DataFrame, entity: bool = False) -> Dat
 def nearest(surfaces: DataFrame, registry: DataFrame, least: float = 0.94, most_rows: int = 100_000) -> DataFrame:
     """JON-11, REG-1, REG-2: the registry row of compatible unit class with the highest cosine, if high enough.
 
-    The registry is a dimension; it is broadcast only while it has at most most_rows rows, else joined by unit class.
+    The registry is a dimension; it is broadcast in blocks of about most_rows rows, the condition is the same at every size.
+    A class that is unknown on either side is compatible with all.
     """
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     reg = registry.select(F.col("id").alias("measure_id"), F.col("vector").alias("rv"), F.col("unit_class").alias("rc"))
     fits = F.col("rc").isNull() | F.col("unit_class").isNull() | (F.col("rc") == F.col("unit_class"))
-    if registry.count() <= most_rows:
-        pairs = surfaces.join(F.broadcast(reg), fits)
-    else:
-        pairs = surfaces.join(reg, F.col("rc").eqNullSafe(F.col("unit_class")))
-    scored = pairs.withColumn("cosine", dot("vector", "rv") / F.sqrt(dot("vector", "vector") * dot("rv", "rv")))
-    best = scored.groupBy("surface").agg(F.max_by(F.struct("measure_id", "cosine"), F.struct("cosine", -F.col("measure_id"))).alias("b"))
+    blocks = (registry.count() - 1) // most_rows + 1 or 1
+    best = None
+    for i in range(blocks):
+        some = reg.where(F.pmod(F.xxhash64("measure_id"), F.lit(blocks)) == i)
+        scored = surfaces.join(F.broadcast(some), fits).withColumn("cosine", dot("vector", "rv") / F.sqrt(dot("vector", "vector") * dot("rv", "rv")))
+        part = scored.groupBy("surface").agg(F.max_by(F.struct("measure_id", "cosine"), F.struct("cosine", -F.col("measure_id"))).alias("b"))
+        best = part if best is None else best.unionByName(part)
+    best = best.groupBy("surface").agg(F.max_by("b", F.struct("b.cosine", -F.col("b.measure_id"))).alias("b"))
     return best.where(F.col("b.cosine") >= least).select("surface", "b.measure_id", "b.cosine")

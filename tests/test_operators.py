@@ -97,3 +97,10 @@ def test_vector_blocks_and_search(spark, monkeypatch):
     monkeypatch.setattr(read, "QUERY_BLOCK", 3)
     assert sorted(map(tuple, read.vector_topk(rows).collect())) == one
     assert pytest.approx(1.0) == max(r[2] for r in one) or max(r[2] for r in one) <= 1.0
+
+
+def test_nearest_is_the_same_at_every_registry_size(spark):
+    reg = spark.createDataFrame([(1, [1.0, 0.0], "money"), (2, [0.0, 1.0], None), (3, [0.6, 0.8], "count"), (4, [1.0, 0.0], "count")], "id long, vector array<double>, unit_class string")
+    near = spark.createDataFrame([("a", [1.0, 0.0], None), ("b", [0.0, 1.0], "money"), ("c", [1.0, 0.0], "count"), ("d", [1.0, 0.0], "share")], "surface string, vector array<double>, unit_class string")
+    for most in (100_000, 2, 1):
+        assert sorted((r.surface, r.measure_id) for r in registry.nearest(near, reg, most_rows=most).collect()) == [("a", 1), ("b", 2), ("c", 4)]
