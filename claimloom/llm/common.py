@@ -95,6 +95,13 @@ def plain(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in columns])
 
 
+def shielded(docs: DataFrame, *own: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs with every column but `own` under a number (no name of an operator's can clash), and what gives the columns back."""
+    names = {c: c if c in own else f"c{i}" for i, c in enumerate(docs.columns)}
+    quoted = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    return docs.select(*[quoted(c).alias(n) for c, n in names.items()]), lambda df: df.select(*[F.col(n).alias(c) for c, n in names.items()])
+
+
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate (256 MB where it has none); widths and bucket counts follow from it, never results."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

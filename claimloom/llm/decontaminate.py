@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from claimloom.llm.common import extended, map_arrow, plain, sha, staged, texts_of
+from claimloom.llm.common import extended, map_arrow, plain, shielded, staged, texts_of
 
 WINDOW = 13
 #: Most benchmark text (bytes) that one pass sends to the tasks.
@@ -53,7 +53,6 @@ class BenchmarkSuffixes:
         texts = [(item, words_of(text)) for item, text in items]
         self.vocabulary = {w: i for i, w in enumerate(sorted({w for _, ws in texts for w in ws}))}
         self.base = len(self.vocabulary) + 2
-        assert self.base < 2_000_000, "gram keys must fit 63 bits"
         self.sequences = [(item, np.array([self.vocabulary[w] for w in ws], np.int32)) for item, ws in texts]
         spots: dict[tuple[int, ...], list[tuple[int, int]]] = {}
         for i, (_, codes) in enumerate(self.sequences):
@@ -73,10 +72,11 @@ class BenchmarkSuffixes:
             self.grams.append((keys, bits))
 
     def _key(self, gram) -> int:
+        """A gram's key. It may wrap around with a huge vocabulary: keys only say which suffixes needn't be sorted."""
         key = 0
         for c in gram:
-            key = key * self.base + c + 1
-        return key
+            key = (key * self.base + int(c) + 1) % 2**64
+        return key - 2**64 if key >= 2**63 else key
 
     def _packed(self, rows) -> np.ndarray:
         """Rows of codes as byte strings in the same order (-2 stands below every code)."""
@@ -231,9 +231,10 @@ def judged(matched: DataFrame) -> DataFrame:
     return matched.withColumn("_n_hit", n_hit).withColumn("_contaminated", (F.col("_n_hit") > 0) & (20 * F.col("_n_hit") >= F.col("_n_words")))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the contaminated documents, columns unchanged."""
-    return judged(match(docs, benchmark)).where(~F.col("_contaminated")).select(*[F.col(f"`{c}`") for c in docs.columns])
+def decontaminate(docs: DataFrame, benchmark: DataFrame, least_share: float = 0.0) -> DataFrame:
+    """docs without those that have a hit, if hits cover `least_share` of their words or more; columns unchanged."""
+    held, restored = shielded(docs, "text")
+    return restored(judged(match(held, benchmark)).where((F.col("_n_hit") == 0) | (F.col("_n_hit") < least_share * F.col("_n_words"))))
 
 
 def longest_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

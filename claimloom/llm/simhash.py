@@ -25,11 +25,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from claimloom.llm.common import extended, map_arrow, plain, staged, texts_of
+from claimloom.llm.common import extended, map_arrow, plain, shielded, staged, texts_of
 from claimloom.llm.components import connected_components
 
 SHINGLE = 3
@@ -191,16 +191,20 @@ def report(docs: DataFrame) -> DataFrame:
 # Near-duplicates of a stated Jaccard similarity, for pipelines. At 0.8 two full fingerprints differ
 # in ten bits or more of 64, a radius at which no branch of a vantage-point tree can be pruned. So
 # candidates come from SimHashes of small samples of the shingles, which are equal (radius zero) with
-# probability similarity**PER_SAMPLE each, and candidates are verified on their whole shingle sets. A first
-# pass compares each member of a candidate group with a few others; a second one compares every pair of
-# the group that the links of the first leave unconnected.
+# probability similarity**PER_SAMPLE each: a pair of 0.8 shares one of SAMPLES with 0.99999. They are
+# verified on whole shingle sets. Stars first: every text is compared once, with the most central
+# partner it has (the one that shares samples with most texts, as an original does with its copies).
+# Then, in groups which that leaves in several pieces, every text outside the largest piece is
+# compared with all members, so no pair of a group that isn't connected is left out.
 
 NEAR_SHINGLE, SIMILARITY = 5, 0.8
 SAMPLES, PER_SAMPLE = 20, 3
-#: First pass: neighbours in a candidate group that each member is compared with, besides the group's root; members of a salted part.
-NEIGHBOURS, PART = 3, 512
-#: Second pass, every pair not yet linked: members and bytes of shingle hashes that a block of a candidate group should hold.
+#: Members and bytes of shingle hashes that one comparison task's block of a candidate group should hold.
 BLOCK, BLOCK_BYTES = 256, 4 << 20
+#: Groups up to this size are compared once, however many samples bring the same members together.
+SAME_MEMBERS = 64
+#: Most bits of the filter that picks the texts to be read again (2 MB); past some 2 million of them more pass.
+MOST_FILTER_BITS = 24
 
 _MULTIPLIERS = np.random.default_rng(SEED).integers(0, 2**63, SAMPLES * PER_SAMPLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -217,21 +221,20 @@ def sampled(h: np.ndarray) -> np.ndarray:
     return (a & b) | (b & c) | (a & c)
 
 
-def cross_links(t: np.ndarray, label: np.ndarray, block: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
-    """Links (a, b) that join all members of similar sets: pairs of two blocks, or of one where there is only one.
+def cross_links(v: np.ndarray, label: np.ndarray, probe: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links (a, b) that join every probe to all similar members of other labels.
 
-    Every pair is compared unless its two are known to be connected (same label, or linked here before). Sets aren't empty.
+    A pair isn't compared if its two are known to be connected (same label, or linked here before). Sets aren't empty.
     """
-    order = np.argsort(block, kind="stable")
-    t, sets, label = t[order], [sets[i] for i in order], np.unique(label[order], return_inverse=True)[1]
+    order = np.argsort(~probe, kind="stable")  # probes first: two of them are compared once
+    v, sets, label = v[order], [sets[i] for i in order], np.unique(label[order], return_inverse=True)[1]
     n = np.array([len(x) for x in sets])
     starts = np.concatenate([[0], np.cumsum(n)])
     flat = np.concatenate(sets)
     words = np.unique(flat)
     at, has, out = np.searchsorted(words, flat).astype(np.int32), np.zeros(len(words), bool), []
-    split = int((block == block.min()).sum())
-    for i in range(split if split < len(t) else len(t) - 1):
-        lo = split if split < len(t) else i + 1
+    for i in range(min(int(probe.sum()), len(v) - 1)):
+        lo = i + 1
         open_ = (label[lo:] != label[i]) & (np.minimum(n[lo:], n[i]) >= similarity * np.maximum(n[lo:], n[i]))
         if not open_.any():
             continue
@@ -241,81 +244,133 @@ def cross_links(t: np.ndarray, label: np.ndarray, block: np.ndarray, sets: list[
         has[own] = False
         hit = lo + np.flatnonzero(open_ & (both >= similarity * (n[i] + n[lo:] - both)))
         found, one = np.unique(label[hit], return_index=True)
-        out += [(int(t[i]), int(t[j])) for j in hit[one]]
+        out += [(int(v[i]), int(v[j])) for j in hit[one]]
         label[np.isin(label, found)] = label[i]
     return out
 
 
-def remaining_links(entries: DataFrame, sets: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) between members of one candidate group (g, fp) that roots (v, root) doesn't connect yet.
+def _compare(similarity: float):
+    """applyInArrow over a cell's (v, label, probe, set) → links."""
 
-    A group whose members are all connected needs no more comparison. Any other is cut into blocks, every two blocks
-    and each block with itself meet in a cell of bounded size, and there every pair is compared.
-    """
-    known = sets.select("_t", F.octet_length("set").alias("bytes")).join(roots.select(F.col("v").alias("_t"), "root"), "_t", "left")
-    labelled = entries.join(known.withColumn("root", F.coalesce("root", "_t")), "_t")
-    groups = labelled.groupBy("g", "fp").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("size"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1")
-    blocks = F.greatest(F.floor((F.col("n") - 1) / BLOCK), F.floor((F.col("size") - 1) / BLOCK_BYTES)) + 1
-    todo = staged(labelled.select("g", "fp", "_t", "root").join(groups.select("g", "fp", blocks.alias("blocks")), ["g", "fp"]), "near-remaining")
-    block = F.pmod(F.xxhash64("g", "_t"), F.col("blocks"))
-    placed = todo.withColumn("block", block).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    cells = placed.select(F.xxhash64("g", "fp", F.least("block", "o"), F.greatest("block", "o")).alias("cell"), (F.col("block") == F.col("o")).alias("alone"), "_t", "root", "block")
-
-    def compare(cell: pa.Table) -> pa.Table:
-        block = cell.column("block").to_numpy()
-        found = []
-        # a block's own cell has its members only; any other has those of two blocks
-        if cell.num_rows > 1 and (len(np.unique(block)) > 1 or cell.column("alone")[0].as_py()):
+    def run(cell: pa.Table) -> pa.Table:
+        found: list[tuple[int, int]] = []
+        probe = cell.column("probe").to_numpy()
+        if cell.num_rows > 1 and probe.any():
             sets = [np.frombuffer(x, np.uint64) for x in cell.column("set").to_pylist()]
-            found = cross_links(cell.column("_t").to_numpy(), cell.column("root").to_numpy(), block, sets, similarity)
+            found = cross_links(cell.column("v").to_numpy(), cell.column("label").to_numpy(), probe, sets, similarity)
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-    return cells.join(sets, "_t").groupBy("cell").applyInArrow(compare, "a long, b long")
+    return run
+
+
+def _stars(members: DataFrame) -> DataFrame:
+    """members (g, fp, v, n: size of the group) → (v, root): the most central text that shares a group with v."""
+    central = members.groupBy("v").agg(F.sum("n").alias("score"))
+    scored = members.select("g", "fp", "v").join(central, "v").withColumn("rank", F.struct("score", F.xxhash64("v"), "v"))
+    best = scored.groupBy("g", "fp").agg(F.max("rank").alias("best"))
+    return scored.select("g", "fp", "v").join(best, ["g", "fp"]).groupBy("v").agg(F.max("best").alias("b")).select("v", F.col("b.v").alias("root")).where("v <> root")
 
 
-def similar_groups(docs: DataFrame, k: int = NEAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """(_t, root) of texts, by hash, that are linked to another text; texts without words are linked to none."""
-    own = plain(docs, "text").withColumn("_t", F.xxhash64("text"))
+def _star_links(stars: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Verified (a, b) of stars: a root's members come in cells of bounded size, each with a copy of the root's set."""
+    sized = sets.select("v", F.octet_length("set").alias("bytes"))
+    pairs = stars.join(sized, "v").join(sized.select(F.col("v").alias("root"), F.col("bytes").alias("root_bytes")), "root")
+    pairs = staged(pairs.where(F.least("bytes", "root_bytes") >= similarity * F.greatest("bytes", "root_bytes")).select("v", "root", "bytes"), "near-stars")
+    parts = F.greatest(F.floor((F.count(F.lit(1)) - 1) / BLOCK), F.floor((F.sum("bytes") - 1) / BLOCK_BYTES)) + 1
+    roots = pairs.groupBy("root").agg(parts.alias("parts"))
+    cell = F.pmod(F.xxhash64("root", "v"), "parts").alias("cell")
+    rows = pairs.join(roots, "root").select("root", cell, "v", F.lit(False).alias("probe"))
+    heads = roots.select("root", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("cell"), F.col("root").alias("v"), F.lit(True).alias("probe"))
+    cells = rows.unionByName(heads).join(sets.select("v", "set"), "v").withColumn("label", F.col("v"))
+    return cells.groupBy("root", "cell").applyInArrow(_compare(similarity), "a long, b long")
+
+
+def _remaining_links(members: DataFrame, sets: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between members of one candidate group (g, fp) that roots (v, root) leaves in several pieces.
+
+    Members of the group's largest piece are only compared with, all others are compared with every member. Large
+    groups are cut into blocks of both, which meet in cells of bounded size.
+    """
+    known = sets.select("v", F.octet_length("set").alias("bytes")).join(roots, "v", "left").select("v", "bytes", F.coalesce("root", "v").alias("label"))
+    labelled = staged(members.select("g", "fp", "v").join(known, "v"), "near-labelled")
+    pieces = labelled.groupBy("g", "fp", "label").agg(F.count(F.lit(1)).alias("m"), F.sum("bytes").alias("size"))
+    groups = pieces.groupBy("g", "fp").agg(F.sum("m").alias("n"), F.sum("size").alias("size"), F.max(F.struct("m", "label")).alias("main"), F.count(F.lit(1)).alias("k")).where("k > 1").select("g", "fp", "n", "size", F.col("main.label").alias("main"), F.col("main.m").alias("m"))
+    blocks = (F.greatest(F.floor((F.col("n") - 1) / BLOCK), F.floor((F.col("size") - 1) / BLOCK_BYTES)) + 1).alias("blocks")
+    probes = F.floor((F.col("n") - F.col("m") - 1) / BLOCK) + 1
+    # a group of one block is one cell; of more, probes are cut as well and every two blocks meet
+    groups = groups.select("g", "fp", "n", "main", blocks, probes.alias("probes")).withColumn("probes", F.when(F.col("blocks") == 1, F.lit(1).cast("long")).otherwise(F.col("probes")))
+    todo = staged(labelled.select("g", "fp", "v", "label").join(groups, ["g", "fp"]).withColumn("probe", F.col("label") != F.col("main")).drop("main"), "near-remaining")
+
+    small = todo.where((F.col("n") <= SAME_MEMBERS) & (F.col("blocks") == 1)).groupBy("g", "fp").agg(F.sort_array(F.collect_list(F.struct("v", "label", "probe"))).alias("all"))
+    once = small.groupBy(F.md5(F.to_json("all").cast("binary")).alias("cell")).agg(F.first("all").alias("all")).select("cell", F.explode("all").alias("x")).select("cell", "x.v", "x.label", "x.probe")
+    rest = todo.where((F.col("n") > SAME_MEMBERS) | (F.col("blocks") > 1))
+    own, every = (lambda c: F.pmod(F.xxhash64("g", "v"), F.col(c))), (lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1)))
+    at = ["g", "fp", "v", "label", "probe", "blocks"]
+    as_probe = rest.where("probe").withColumn("i", own("probes")).withColumn("j", every("blocks")).select(*at, "i", "j")
+    as_member = rest.withColumn("j", own("blocks")).withColumn("i", every("probes")).select(*at, "i", "j").where(~F.col("probe") | (F.col("blocks") > 1))
+    large = as_probe.unionByName(as_member.withColumn("probe", F.col("probe") & (F.col("blocks") == 1)))
+    large = large.groupBy(F.concat_ws(":", "g", "fp", "i", "j").alias("cell"), "v").agg(F.first("label").alias("label"), F.max("probe").alias("probe")).select("cell", "v", "label", "probe")
+    return once.unionByName(large).join(sets.select("v", "set"), "v").groupBy("cell").applyInArrow(_compare(similarity), "a long, b long")
+
+
+def _filter(wanted: DataFrame, key: str) -> np.ndarray:
+    """Bits of the wanted keys (hashes), 8 cells a key up to MOST_FILTER_BITS; the driver gets no more than those bits."""
+    bits = max(10, min(MOST_FILTER_BITS, (8 * max(1, wanted.count())).bit_length()))
+    cell = F.shiftrightunsigned(F.col(key), 64 - bits)
+    words = wanted.select(F.shiftright(cell, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(cell, F.lit(64)).cast("int")).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+    out = np.zeros(1 << (bits - 6), np.int64)
+    for r in words.toLocalIterator():
+        out[r["w"]] = r["b"]
+    return np.unpackbits(out.view(np.uint8), bitorder="little")
+
+
+def _identity() -> list:
+    """128 bits that stand for a text."""
+    return [F.xxhash64("text").alias("_h1"), F.xxhash64(F.lit(SEED), "text").alias("_h2")]
+
+
+def _row_key() -> Column:
+    """Hash of a row's text and id, by which the rows to be read again are picked."""
+    return F.xxhash64("_h1", "_h2", F.col("doc_id").isNull(), "doc_id")
+
+
+def _signed(docs: DataFrame, k: int) -> DataFrame:
+    """(v, _h1, _h2, doc_id: the least, fps) of each distinct text; v is unique and no hash."""
+    own = plain(docs, "doc_id", "text").select("doc_id", "text", *_identity())
 
     def sign(batch: pa.RecordBatch) -> pa.RecordBatch:
         fps = [sampled(np.unique(hashes(t, k))).view(np.int64) for t in texts_of(batch, "text")]
-        return pa.RecordBatch.from_arrays([batch.column("_t"), pa.array(fps, pa.list_(pa.int64()))], names=["_t", "fps"])
-
-    signed = staged(map_arrow(own, sign, "_t long, fps array<long>").dropDuplicates(["_t"]), "near-signed")
-    entries = signed.select("_t", F.posexplode("fps").alias("g", "fp"))
-    rank = F.xxhash64("_t", "g")
-    shared = entries.groupBy("g", "fp").agg(F.count(F.lit(1)).alias("n"), F.min_by("_t", rank).alias("first")).where("n > 1")
-    members = entries.join(shared, ["g", "fp"]).withColumn("salt", F.pmod(F.xxhash64("g", "_t"), F.floor(F.col("n") / PART) + 1))
-    w = Window.partitionBy("g", "fp", "salt").orderBy(rank, "_t")
-    ends = F.array(F.col("first"), *[F.lead("_t", i).over(w) for i in range(1, NEIGHBOURS + 1)])
-    pairs = members.select("_t", ends.alias("ends")).select("_t", F.explode("ends").alias("o")).where("o is not null and o <> _t")
-    pairs = staged(pairs.select(F.least("_t", "o").alias("a"), F.greatest("_t", "o").alias("b")).distinct(), "near-pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("_t")).distinct()
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "_h1", "_h2")), pa.array(fps, pa.list_(pa.int64()))], names=["doc_id", "_h1", "_h2", "fps"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = map_arrow(own, sign, f"doc_id {kind}, _h1 long, _h2 long, fps array<long>")
+    texts = rows.groupBy("_h1", "_h2").agg(F.min("doc_id").alias("doc_id"), F.first("fps").alias("fps"))
+    return staged(texts.withColumn("v", F.monotonically_increasing_id()), "near-signed")
+
+
+def similar_groups(docs: DataFrame, k: int = NEAR_SHINGLE, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """(texts (v, _h1, _h2, doc_id), links (v, root) of those that are like another); texts without words are linked to none."""
+    signed = _signed(docs, k)
+    entries = signed.select("v", F.posexplode("fps").alias("g", "fp"))
+    shared = entries.groupBy("g", "fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = staged(entries.join(shared, ["g", "fp"]), "near-members")
+    wanted = staged(members.select("v").distinct().join(signed.select("v", "_h1", "_h2", "doc_id"), "v").withColumn("key", _row_key()), "near-wanted")
+    held = docs.sparkSession.sparkContext.broadcast(_filter(wanted, "key"))
+    rows = plain(docs, "doc_id", "text").select("doc_id", "text", *_identity()).withColumn("key", _row_key())
 
     def whole(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [np.unique(hashes(t, k)).tobytes() for t in texts_of(batch, "text")]
-        return pa.RecordBatch.from_arrays([batch.column("_t"), pa.array(sets, pa.binary())], names=["_t", "set"])
-
-    sets = staged(map_arrow(own.join(wanted, "_t", "left_semi"), whole, "_t long, set binary").dropDuplicates(["_t"]), "near-sets")
-    left, right = (sets.select(F.col("_t").alias(c), F.col("set").alias(f"set_{c}")) for c in ("a", "b"))
-    sized = sets.select("_t", F.octet_length("set").alias("n"))
-    close = pairs.join(sized.selectExpr("_t as a", "n as na"), "a").join(sized.selectExpr("_t as b", "n as nb"), "b").where(F.least("na", "nb") >= similarity * F.greatest("na", "nb")).select("a", "b")
-
-    def verify(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keep = []
-        for x, y in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist()):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            at = np.searchsorted(y, x)
-            both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-            keep.append(both >= similarity * (len(x) + len(y) - both))
-        mask = pa.array(keep, pa.bool_())
-        return pa.RecordBatch.from_arrays([batch.column(c).filter(mask) for c in ("a", "b")], names=["a", "b"])
-
-    links_ = map_arrow(close.join(left, "a").join(right, "b"), verify, "a long, b long")
-    roots = staged(connected_components(links_), "near-roots")
-    more = remaining_links(members.select("g", "fp", "_t"), sets, roots, similarity)
-    linked = roots.select(F.col("v").alias("a"), F.col("root").alias("b")).unionByName(more)
-    return connected_components(linked).select(F.col("v").alias("_t"), "root")
+        bits = held.value
+        key = batch.column("key").to_numpy(zero_copy_only=False).view(np.uint64)
+        pick = batch.filter(pa.array(bits[(key >> np.uint64(64 - int(len(bits)).bit_length() + 1)).astype(np.int64)] > 0))
+        sets = [np.unique(hashes(t, k)).tobytes() for t in texts_of(pick, "text")]
+        return pa.RecordBatch.from_arrays([*(pick.column(c) for c in ("_h1", "_h2")), pa.array(sets, pa.binary())], names=["_h1", "_h2", "set"])
+
+    # few other rows pass the filter, and of repeated rows all: the join drops the former, dropDuplicates the latter
+    passed = map_arrow(rows, whole, "_h1 long, _h2 long, set binary").join(wanted.select("v", "_h1", "_h2"), ["_h1", "_h2"])
+    sets = staged(passed.select("v", "set").dropDuplicates(["v"]), "near-sets")
+    roots = staged(connected_components(_star_links(_stars(members), sets, similarity)), "near-roots")
+    more = _remaining_links(members, sets, roots, similarity)
+    return signed.drop("fps"), connected_components(roots.select(F.col("v").alias("a"), F.col("root").alias("b")).unionByName(more))
 
 
 def near_deduplicated(docs: DataFrame, k: int = NEAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
@@ -323,15 +378,12 @@ def near_deduplicated(docs: DataFrame, k: int = NEAR_SHINGLE, similarity: float
 
     Texts without a shingle are equal to each other only if they are the same string; null texts are one group.
     """
-    cols = [F.col(f"d.`{c}`") for c in docs.columns]
-    keys = plain(docs, "doc_id", "text").select("doc_id", F.xxhash64("text").alias("_t"))
-    groups = staged(similar_groups(docs, k, similarity), "near-groups")
-    named = keys.join(groups, "_t", "left").withColumn("root", F.coalesce("root", "_t"))
-    # one row per group: the least id (null last), and of rows with that id the text of least hash
-    stays = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "_t")).alias("m")).select(F.col("m.doc_id").alias("_d"), F.col("m._t").alias("_t"))
-    kept = docs.alias("d").join(stays.alias("s"), F.col("d.doc_id").eqNullSafe(F.col("s._d")) & (F.xxhash64("d.text") == F.col("s._t")))
-    key = "_key"
-    while key in docs.columns:
-        key += "_"
-    once = kept.select(*cols, F.struct("s._d", "s._t").alias(key))
-    return once.dropDuplicates([key]).drop(key)
+    texts, links_ = similar_groups(docs, k, similarity)
+    named = texts.join(links_, "v", "left").withColumn("root", F.coalesce("root", "v"))
+    # one row per group: the least id (null last), and of texts with that id the one of least hash
+    stays = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "_h1", "_h2")).alias("m"))
+    mine = ["_d", "_no", "_h1", "_h2"]
+    stays = staged(stays.select(F.coalesce("m.doc_id", F.lit(0)).alias("_d"), F.col("m.no").alias("_no"), "m._h1", "m._h2"), "near-stays")
+    held, restored = shielded(docs, "doc_id", "text")
+    keyed = held.withColumns({"_d": F.coalesce("doc_id", F.lit(0)), "_no": F.col("doc_id").isNull()}).select("*", *_identity())
+    return restored(keyed.join(stays, mine, "left_semi").dropDuplicates(mine))

@@ -1,6 +1,7 @@
 import hashlib
 import re
 
+import numpy as np
 import pytest
 
 from claimloom.llm import decontaminate as D
@@ -53,7 +54,31 @@ def test_real_rows(spark):
     assert sorted(rows, key=str) == brute([(r.doc_id, r.text) for r in docs.collect()], [(r.item_id, r.text) for r in bench.collect()])
     kept = D.decontaminate(docs, bench)
     assert kept.columns == docs.columns
-    assert kept.count() == sum(not r[5] for r in rows)
+    assert kept.count() == sum(not r[2] for r in rows)
+    assert D.decontaminate(docs, bench, 0.05).count() == sum(not r[5] for r in rows)
+
+
+def test_clashing_columns_pass_through(spark):
+    docs = spark.createDataFrame(DOCS, "doc_id long, text string").selectExpr("*", "'keep' as _n_hit", "1 as _spans", "2 as _items", "3 as _n_words", "4 as _contaminated", "5 as c0", "6 as `x.y`")
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
+    kept = D.decontaminate(docs, bench)
+    rows = kept.collect()
+    assert kept.columns == docs.columns and {tuple(r)[2:] for r in rows} == {("keep", 1, 2, 3, 4, 5, 6)}
+    assert sorted(r.doc_id for r in rows) == [2, 3, 7, 8, 9]
+    assert D.decontaminate(docs.limit(0), bench).count() == 0
+
+
+def test_huge_vocabulary_wraps_keys_only(spark):
+    index = D.BenchmarkSuffixes([("1", b" ".join(b"w%d" % i for i in range(20)))])
+    index.base = 2**40 + 1
+    index.grams = []
+    for k in (1, 2, 3):
+        keys = np.unique(np.array([index._key(w[:k]) for w in index.windows if (len(w) == k if k < 3 else len(w) >= k)], np.int64))
+        bits = np.zeros(1 << D._HASH_BITS, bool)
+        bits[D._mix(keys)] = True
+        index.grams.append((keys, bits))
+    codes = np.append(index.sequences[0][1], np.int32(-2))
+    assert len(index.search(codes)[0]) == 8
 
 
 def test_longest_match_and_empty_tables(spark):

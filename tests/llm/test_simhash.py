@@ -77,11 +77,11 @@ def test_cross_links_join_what_brute_force_joins():
     rng = np.random.default_rng(2)
     sets = [np.unique(rng.choice(40, rng.integers(1, 30)).astype(np.uint64)) for _ in range(60)]
     sets += [np.delete(s, 0) for s in sets if len(s) > 8]
-    t, n = np.arange(len(sets)), len(sets)
+    v, n = np.arange(len(sets)), len(sets)
     close = lambda x, y: len(np.intersect1d(x, y)) >= 0.8 * len(np.union1d(x, y))
-    for block in (np.zeros(n, int), t % 2):
-        want = connected([(i, j) for i in range(n) for j in range(i) if close(sets[i], sets[j]) and (block.max() == 0 or block[i] != block[j])], n)
-        found = S.cross_links(t, t, block, sets, 0.8)
+    for probe in (np.ones(n, bool), v % 3 == 0, np.zeros(n, bool)):
+        want = connected([(i, j) for i in range(n) for j in range(i) if close(sets[i], sets[j]) and (probe[i] or probe[j])], n)
+        found = S.cross_links(v, v, probe, sets, 0.8)
         assert connected(found, n) == want and all(close(sets[i], sets[j]) for i, j in found)
 
 
@@ -109,3 +109,48 @@ def test_original_with_many_copies_that_are_unlike_each_other(spark):
     other = [(5000 + i, " ".join(f"y{i}.{j}" for j in range(40))) for i in range(20)]
     docs = spark.createDataFrame(rows + other, "doc_id long, text string").repartition(4)
     assert sorted(r.doc_id for r in S.near_deduplicated(docs).select("doc_id").collect()) == [0] + [d for d, _ in other]
+
+
+def components_by_brute_force(sets):
+    """Least index of each set's component, every pair that has a shingle in common compared."""
+    holders = {}
+    for i, own in enumerate(sets):
+        for x in own:
+            holders.setdefault(x, []).append(i)
+    root = list(range(len(sets)))
+
+    def find(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for i, own in enumerate(sets):
+        both = Counter(j for x in own for j in holders[x] if j < i)
+        for j, n in both.items():
+            if n >= 0.8 * (len(own) + len(sets[j]) - n):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(sets))]
+
+
+def test_no_near_copy_is_missed(spark):
+    """Recall and precision of 1 on real rows and on clusters of many edited copies, all sizes of groups and blocks."""
+    rng = random.Random(8)
+    rows = [(r.doc_id, r.text or "") for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    for c in range(6):
+        base = [f"c{c}.{i}" for i in range(rng.randint(80, 300))]
+        for d in range(rng.choice([3, 40, 700])):
+            words = list(base)
+            for i in rng.sample(range(len(words)), rng.randint(0, len(words) // 40)):
+                words[i] = f"e{c}.{d}.{i}"
+            rows.append((100_000 + 1_000 * c + d, " ".join(words)))
+    rows.sort()
+    sets = [set(S.shingles(t.encode(), S.NEAR_SHINGLE)) for _, t in rows]
+    root = components_by_brute_force(sets)
+    want = sorted({rows[k][0] for k in root})
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as v", "2 as g", "3 as _h1", "4 as `a b`", "5 as _row")
+    kept = S.near_deduplicated(docs.repartition(5))
+    assert kept.columns == docs.columns
+    same_words = {i for i, s in enumerate(sets) if not s}
+    assert sorted(r.doc_id for r in kept.select("doc_id").collect() if r.doc_id not in {rows[i][0] for i in same_words}) == [d for d in want if d not in {rows[i][0] for i in same_words}]
