@@ -5,8 +5,8 @@ beginnings; a document's is the noisy-or of its sentences, 1 - prod(1 - p). Weig
 maximising the likelihood of the document labels, so the gradient itself decides which sentences of
 a toxic document carry the blame; the same sentence scores then locate offending sentences.
 
-Fitting uses at most TRAIN_POSITIVE and TRAIN_NEGATIVE labelled documents (whole texts, the least
-by a hash of the id), weighted back to the labels' true ratio; rows of the held-out fold never enter.
+Fitting uses at most TRAIN_POSITIVE and TRAIN_NEGATIVE labelled documents of TRAIN_BYTES in all (whole
+texts, the least by a hash of the id), weighted back to the labels' true ratio; rows of the held-out fold never enter.
 Scoring is one narrow pass over all documents with the model, whose size is bounded by the sample,
 sent to the tasks. Labels, language, source and id are never inputs of a score.
 
@@ -28,11 +28,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from claimloom.llm.common import extended, map_arrow, plain
+from claimloom.llm.common import extended, map_arrow, plain, shielded
 
 THRESHOLD = 0.3
 FOLDS, HELD_OUT = 4, 2
 TRAIN_POSITIVE, TRAIN_NEGATIVE = 2_000, 3_000
+#: Most text of them in bytes; beyond it, the documents of largest hash don't train.
+TRAIN_BYTES = 64 << 20
 #: A feature must occur in so many training documents; and the most features kept (by count in toxic documents).
 LEAST_DOCUMENTS, MOST_FEATURES = 3, 200_000
 #: Words whose weight a task remembers.
@@ -54,13 +56,14 @@ def features(word: str) -> list[str]:
 
 
 def sentences(text: str) -> list[tuple[int, int, frozenset[str]]]:
-    """(start, end, distinct words) of each sentence that has a word; equal sentences share one set."""
-    out, seen = [], {}
+    """(start, end, distinct words) of each sentence that has a word; sentences of the same words share one set."""
+    out, seen, same = [], {}, {}
     for m in _SENTENCE.finditer(text):
         s = m[0].lower()
         words = seen.get(s)
         if words is None:
-            words = seen[s] = frozenset(_WORD.findall(s))
+            words = frozenset(_WORD.findall(s))
+            words = seen[s] = same.setdefault(words, words)
         if words:
             out.append((m.start(), m.end(), words))
     return out
@@ -135,16 +138,24 @@ def train(rows: list[tuple[str, int, float]]) -> Model:
     return Model(float(b), {f: float(w[i]) for f, i in number.items() if w[i]})
 
 
-def fit(docs: DataFrame, labels: DataFrame, positives: int = TRAIN_POSITIVE, negatives: int = TRAIN_NEGATIVE) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, positives: int = TRAIN_POSITIVE, negatives: int = TRAIN_NEGATIVE, most_bytes: int = TRAIN_BYTES) -> Model:
     known = plain(labels, "doc_id", "toxic").where("doc_id is not null and toxic is not null").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = {int(r["toxic"] > 0): r["n"] for r in known.groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts.get(0) or not counts.get(1):
         return Model()
     order = F.xxhash64("doc_id", F.lit(11))
     picked = known.where("toxic > 0").orderBy(order, "doc_id").limit(positives).unionByName(known.where("toxic <= 0").orderBy(order, "doc_id").limit(negatives))
-    # at most positives + negatives rows, by the limits
-    rows = plain(docs, "doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic").collect()
-    rows = sorted((r["doc_id"], r["text"] or "", int(r["toxic"] > 0)) for r in rows)
+    # at most positives + negatives ids, by the limits
+    own = plain(docs, "doc_id", "text").join(F.broadcast(picked), "doc_id")
+    sizes = own.groupBy("doc_id").agg(F.sum(F.octet_length("text")).alias("bytes"), F.max(order).alias("o")).collect()
+    total, ids = 0, []
+    for r in sorted(sizes, key=lambda r: (r["o"], r["doc_id"])):
+        total += r["bytes"] or 0
+        if total <= most_bytes:
+            ids.append(r["doc_id"])
+    if len(ids) < len(sizes):
+        own = own.join(F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in ids], "doc_id long")), "doc_id", "left_semi")
+    rows = sorted((r["doc_id"], r["text"] or "", int(r["toxic"] > 0)) for r in own.select("doc_id", "text", "toxic").collect())
     share = {k: counts[k] / max(1, sum(r[2] == k for r in rows)) for k in (0, 1)}
     return train([(t, y, share[y]) for _, t, y in rows])
 
@@ -180,7 +191,8 @@ def offending(docs: DataFrame, model: Model, least: float = THRESHOLD) -> DataFr
 
 def clean(docs: DataFrame, model: Model) -> DataFrame:
     """docs without those that are predicted toxic, columns unchanged."""
-    return score(docs, model).where(F.col("_score") < THRESHOLD).select(*[F.col(f"`{c}`") for c in docs.columns])
+    held, restored = shielded(docs, "text")
+    return restored(score(held, model).where(F.col("_score") < THRESHOLD))
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:

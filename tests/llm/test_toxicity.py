@@ -1,3 +1,5 @@
+import math
+import re
 import zlib
 
 import numpy as np
@@ -37,12 +39,15 @@ def test_sentences_located_and_odd_rows(spark):
     bad = X.offending(docs, model).collect()
     assert {r.doc_id for r in bad} == set(range(0, 80, 2)) and all("idiot" in r.sentence for r in bad)
     odd = [(1, None), (2, ""), (3, " .!\n"), (4, "idiot fool " * 30000), (5, "fine. " * 20000), (None, "you idiot fool"), (6, "You idiot fool"), (6, "You idiot fool")]
-    df = spark.createDataFrame(odd, "doc_id long, text string").selectExpr("*", "1 as _x", "2.0D as score")
+    df = spark.createDataFrame(odd, "doc_id long, text string").selectExpr("*", "1 as _x", "2.0D as score", "3 as c0")
     got = [(r.doc_id, r._score) for r in X.score(df, model).collect()]
     assert [s for d, s in got if d in (1, 2, 3)] == [0, 0, 0]
     assert all(s > 0.5 for d, s in got if d in (None, 6, 4)) and len(got) == len(odd)
+    df = df.selectExpr("*", "7 as _score", "8 as _offending")
     kept = X.clean(df, model)
-    assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {1, 2, 3, 5}
+    rows = kept.collect()
+    assert kept.columns == df.columns and {r.doc_id for r in rows} == {1, 2, 3, 5} and {(r._score, r._offending) for r in rows} == {(7, 8)}
+    assert X.clean(df.limit(0), model).count() == 0
     assert X.report(docs.limit(0), labels).count() == 0
 
 
@@ -52,3 +57,25 @@ def test_no_labels_scores_zero_and_fold_is_kept_out(spark):
     flipped = labels.withColumn("toxic", F.when(X.held_out(), 1 - F.col("toxic")).otherwise(F.col("toxic")))
     a, b = (sorted(map(tuple, X.report(docs, x).collect())) for x in (labels, flipped))
     assert a == b
+
+
+def test_score_equals_the_formula(spark):
+    """Brute force: the noisy-or of the sentences, word by word from the model's weights."""
+    docs, labels = small(spark)
+    model = X.fit(docs, labels)
+    rows = [*((r.doc_id, r.text) for r in docs.collect()), (900, "Idiot. idiot! IDIOT?\nfool of a fool"), (901, "nothing known here")]
+    got = {r.doc_id: r._score for r in X.score(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    for d, text in rows:
+        none = 1.0
+        for s in {frozenset(re.findall(r"\w+", x.lower())) for x in re.split(r"[.!?\n]", text)}:
+            if s:
+                z = model.bias + sum(model.weights.get(w, 0) + sum(model.weights.get(w[:k] + "*", 0) for k in (4, 5, 6) if len(w) > k) for w in s)
+                none *= 1 - 1 / (1 + math.exp(-z))
+        assert abs(got[d] - (1 - none)) < 1e-9
+
+
+def test_bytes_of_the_sample_are_bounded(spark):
+    docs, labels = small(spark)
+    some = X.fit(docs, labels, most_bytes=3_000)
+    assert some.weights and some.weights != X.fit(docs, labels).weights
+    assert not X.fit(docs, labels, most_bytes=10).weights
