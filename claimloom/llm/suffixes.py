@@ -2,17 +2,18 @@
 
 A sketch of anchors (see sketching) first rules out windows whose anchor occurs once in the whole
 corpus. What remains is cut into spans, runs of windows with one anchor, and spans go to the bucket
-of their anchor, so equal windows of any two documents meet. In a bucket the spans of each block are
-a shard with a suffix order and a Burrows-Wheeler transform of its own. The transforms are merged
-by iterative interleave refinement: beginning with the shards one after the other, each round
-carries the interleave through the last-to-first mapping, a stable distribution by the preceding
-symbol, after which it is right to one symbol more and group borders tell where common prefixes
-end. After WINDOW rounds every group is an interval of suffixes with a common prefix of WINDOW
-bytes; its least doc_id answers all of them. No suffix is sorted again across shards.
+of their anchor, so equal windows of any two documents meet. A bucket drops windows whose hash no other
+window has. The rest of its spans makes shards, each with a suffix order and a Burrows-Wheeler
+transform of its own. The transforms are merged by iterative interleave refinement: beginning with the
+shards one after the other, each round carries the interleave through the last-to-first mapping, a stable
+distribution by the preceding symbol, after which it is right to one symbol more and group borders
+tell where common prefixes end. After WINDOW rounds every group is an interval of suffixes with a common
+prefix of WINDOW bytes; its least doc_id answers all of them. No suffix is sorted again across shards,
+and no equality is decided by a hash.
 
 Every block gets, for each window of its spans, the least document that has it, and removes the
-bytes of windows that also start in a smaller document. Spans that several documents of a block, or
-several blocks, have in common are merged once, and an anchor's only span isn't merged at all.
+bytes of windows that also start in a smaller document. Equal spans of a block are sent once, equal
+strings of a bucket (compared byte by byte) are merged once.
 
 Defined cases: null text is empty; texts under WINDOW bytes lose nothing; a null doc_id is larger
 than any other; documents with one id aren't smaller than each other; repeats within one document
@@ -35,6 +36,8 @@ GRAM = 20
 LAST = np.iinfo(np.int64).max
 #: Text of a block: smaller than elsewhere, since a block's spans are held as strings.
 BLOCK_BYTES = 12 << 20
+#: Text of a shard in a bucket, at least (the last one excepted), and windows that one step takes up.
+SHARD_BYTES, STEP = 128 << 10, 1 << 20
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
@@ -87,34 +90,103 @@ def _spans(texts: list[bytes], repeated: K.Repeated) -> tuple[np.ndarray, np.nda
     return buffer, begin, at[first], np.diff(np.append(first, len(at))), own[first]
 
 
-def _listed(ids: list[int | None], texts: list[bytes], repeated: K.Repeated, buckets: int) -> tuple[list[dict[bytes, list[int]]], list]:
-    """Distinct spans of a block by bucket, span → [number, least doc_id, anchor], and each group's occurrences."""
-    lists: list[dict[bytes, list[int]]] = [{} for _ in range(buckets)]
-    groups = []
-    for lo, hi in K.groups(texts):
-        buffer, begin, start, size, anchor = _spans(texts[lo:hi], repeated)
-        doc = np.searchsorted(begin, start, "right") - 1
-        bucket, number = (anchor % np.uint64(buckets)).astype(np.int64), np.zeros(len(start), np.int64)
-        raw = buffer.tobytes()
-        for i, (a, n, b, d, h) in enumerate(zip(start.tolist(), size.tolist(), bucket.tolist(), doc.tolist(), anchor.tolist())):
-            held = ids[lo + d]
-            held = LAST if held is None else held
-            entry = lists[b].setdefault(raw[a : a + n + WINDOW - 1], [len(lists[b]), held, h])
-            entry[1] = min(entry[1], held)
-            number[i] = entry[0]
-        groups.append((lo, hi, buffer, begin, start, size, doc, bucket, number))
-    return lists, groups
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All places of the ranges, one after the other."""
+    return np.arange(size.sum()) + np.repeat(start - np.cumsum(size) + size, size)
 
 
-def _pack(spans: dict[bytes, list[int]]) -> bytes:
-    return len(spans).to_bytes(4, "little") + np.array(list(map(len, spans)), "<u4").tobytes() + np.array([d for _, d, _ in spans.values()], "<i8").tobytes() + np.array([h for _, _, h in spans.values()], "<u8").tobytes() + b"".join(spans)
+def _prefix(buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What hashes of substrings are made of: (sums, factors), the hash of a to z being (sums[z] - sums[a]) * factors[a]."""
+    up, down = np.full(len(buffer), _C[0]), np.full(len(buffer) + 1, np.uint64(pow(int(_C[0]), -1, 1 << 64)))
+    up[:1], down[:1] = 1, 1
+    sums = np.cumsum((buffer + np.uint64(1)) * np.multiply.accumulate(up), dtype=np.uint64)
+    return np.concatenate([np.zeros(1, np.uint64), sums]), np.multiply.accumulate(down)
 
 
-def _unpack(data: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+class Distinct:
+    """Which of the substrings of a buffer are equal: each one's entry, and each entry's first substring.
+
+    Substrings are put in order of a key, hash and length; neighbours of one hash are compared byte by byte.
+    """
+
+    def __init__(self, buffer: np.ndarray, start: np.ndarray, length: np.ndarray, hashed: np.ndarray, key: np.ndarray):
+        order = np.lexsort((length, hashed, key))
+        k, h, n = key[order], hashed[order], length[order]
+        new = np.append(True, (k[1:] != k[:-1]) | (h[1:] != h[:-1]) | (n[1:] != n[:-1])) if len(k) else np.zeros(0, bool)
+        repeats = np.flatnonzero(~new)
+        heads = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))[repeats]
+        some, others = order[repeats], order[heads]
+        for lo, hi in _steps(np.cumsum(length[some])):
+            n = length[some[lo:hi]]
+            equal = buffer[_ranges(start[some[lo:hi]], n)] == buffer[_ranges(start[others[lo:hi]], n)]
+            new[repeats[lo:hi]] = ~np.logical_and.reduceat(equal, np.cumsum(n) - n)
+        self.order, self.first = order, order[new]
+        self.entry = np.empty(len(order), np.int64)
+        self.entry[order] = np.cumsum(new) - 1
+        self._starts = np.flatnonzero(new)
+
+    def least(self, values: np.ndarray) -> np.ndarray:
+        """Each entry's least value."""
+        return np.minimum.reduceat(values[self.order], self._starts) if len(values) else values
+
+
+class Listed:
+    """The spans of a block: distinct ones as entries in the order of their buckets, and where each of them occurs."""
+
+    def __init__(self, ids: list[int | None], texts: list[bytes], repeated: K.Repeated, buckets: int):
+        none = np.zeros(0, np.int64)
+        parts, base = [(none, none, none, none, none.astype(np.uint64))], 0
+        for lo, hi in K.groups(texts):
+            buffer, begin, start, size, anchor = _spans(texts[lo:hi], repeated)
+            sums, factors = _prefix(buffer)
+            parts.append((base + start, size, lo + np.searchsorted(begin, start, "right") - 1, (anchor % np.uint64(buckets)).astype(np.int64), (sums[start + size + WINDOW - 1] - sums[start]) * factors[start]))
+            base += len(buffer)
+        self.buffer = np.frombuffer(b"".join(texts), np.uint8)
+        self.edges = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+        self.start, self.size, self.doc, bucket, hashed = map(np.concatenate, zip(*parts))
+        self.ids = np.array([LAST if i is None else i for i in ids], np.int64)
+        spans = Distinct(self.buffer, self.start, self.size + WINDOW - 1, hashed, bucket)
+        self.entry, first = spans.entry, spans.first
+        self.entry_start, self.entry_size, self.entry_doc = self.start[first], self.size[first], spans.least(self.ids[self.doc])
+        self.cut = np.searchsorted(bucket[first], np.arange(buckets + 1))
+
+    def packed(self, bucket: int) -> bytes:
+        own = slice(self.cut[bucket], self.cut[bucket + 1])
+        n = self.entry_size[own] + WINDOW - 1
+        return len(n).to_bytes(4, "little") + n.astype("<u4").tobytes() + self.entry_doc[own].astype("<i8").tobytes() + self.buffer[_ranges(self.entry_start[own], n)].tobytes()
+
+    def masks(self, gains: np.ndarray) -> list[np.ndarray]:
+        """Which bytes of each text go. gains: of each entry's windows, how much less their least document is than the entry's."""
+        least = np.repeat(self.entry_doc, self.entry_size)
+        least -= gains
+        del gains
+        begin = np.cumsum(self.entry_size) - self.entry_size
+        change = np.zeros(len(self.buffer) + 1, np.int32)
+        for lo, hi in _steps(np.cumsum(self.size)):
+            n = self.size[lo:hi]
+            hit = least[_ranges(begin[self.entry[lo:hi]], n)] < np.repeat(self.ids[self.doc[lo:hi]], n)
+            gone = _ranges(self.start[lo:hi], n)[hit]
+            np.add.at(change, gone, 1)
+            np.add.at(change, gone + WINDOW, -1)
+        del least
+        mask = np.cumsum(change, out=change)[:-1] > 0
+        return [mask[a:z] for a, z in zip(self.edges[:-1], self.edges[1:])]
+
+
+def _steps(ends: np.ndarray):
+    """Ranges of items that hold about STEP each; ends: running total of what they hold."""
+    lo = 0
+    while lo < len(ends):
+        done = ends[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, done + STEP, "right")))
+        yield lo, hi
+        lo = hi
+
+
+def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(lengths, documents, bytes) of a bucket's strings of one block."""
     n = int.from_bytes(data[:4], "little")
-    ends = np.frombuffer(data, "<u4", n, 4).cumsum().tolist()
-    body = data[4 + 20 * n :]
-    return [body[a:z] for a, z in zip([0, *ends], ends)], np.frombuffer(data, "<i8", n, 4 + 4 * n), np.frombuffer(data, "<u8", n, 4 + 12 * n)
+    return np.frombuffer(data, "<u4", n, 4).astype(np.int64), np.frombuffer(data, "<i8", n, 4 + 4 * n), np.frombuffer(data, np.uint8, -1, 4 + 12 * n)
 
 
 class Transform:
@@ -124,11 +196,12 @@ class Transform:
     string, so the order of suffixes is strict.
     """
 
-    def __init__(self, strings: list[bytes]):
-        lengths = np.array([len(s) for s in strings], np.int64)
-        text = np.frombuffer(b"\xff".join(strings) + b"\xff", np.uint8) + np.uint8(1)
+    def __init__(self, body: np.ndarray, lengths: np.ndarray):
+        """body: the strings' bytes, one after the other."""
         ends = np.cumsum(lengths + 1) - 1
-        string = np.repeat(np.arange(len(strings)), lengths + 1)
+        text = np.zeros(len(body) + len(lengths), np.uint8)
+        text[_ranges(ends - lengths, lengths)] = body + np.uint8(1)
+        string = np.repeat(np.arange(len(lengths)), lengths + 1)
         left = ends[string] - np.arange(len(text))  # symbols before the closing one
         # rank by eight symbols: what follows a closing symbol is blanked, and ties there go by string
         eight = np.ndarray((len(text),), ">u8", text.tobytes() + bytes(7), strides=(1,)).astype(np.uint64)
@@ -167,13 +240,14 @@ class Transform:
         back[self.text_start] = ends  # the symbol before a string's first closes that string
         self.last_to_first = rank[back[order]]
         self.string = string[order]
-        self.strings = len(strings)
+        self.strings = len(lengths)
 
 
 def merge(shards: list[Transform], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(interleave: places in the shards' orders one after the other, group number of each) after depth rounds.
+    """(interleave: places in the shards' orders one after the other, group number of each) after depth symbols.
 
-    Suffixes of a group share their first depth symbols; suffixes shorter than that are alone.
+    Suffixes of a group share their first depth symbols; suffixes shorter than that are alone. A round takes two
+    symbols at once, through the last-to-first mapping applied twice; an odd depth begins with a round of one.
     """
     offset = np.cumsum([0, *(len(s.bwt) for s in shards)])
     symbol = np.concatenate([s.bwt for s in shards])
@@ -181,68 +255,87 @@ def merge(shards: list[Transform], depth: int) -> tuple[np.ndarray, np.ndarray]:
     closing = np.concatenate([np.arange(s.strings) + o for s, o in zip(shards, offset)]).astype(np.int32)
     now, group = np.arange(len(symbol), dtype=np.int32), np.zeros(len(symbol), np.int32)
     m = len(closing)
-    for _ in range(depth):
-        order = np.argsort(symbol[now], kind="stable")
+    pair, twice = (symbol[back].astype(np.uint16) << 8) | symbol, back[back]
+    last = back[closing][np.lexsort((back[closing], symbol[closing]))]  # suffixes of one symbol, in order
+    for step in [1] * (depth % 2) + [2] * (depth // 2):
+        key, to = (symbol, back) if step == 1 else (pair, twice)
+        order = np.argsort(key[now], kind="stable")
         moved = now[order]
-        lead, held = symbol[moved], group[order]
-        now = back[moved]
+        lead, held = key[moved], group[order]
+        now = to[moved]
         now[:m] = closing  # closing symbols stand first, in the order of the strings
         border = np.empty(len(now), bool)
-        border[:m], border[m : m + 1] = True, True
-        border[m + 1 :] = (lead[m + 1 :] != lead[m:-1]) | (held[m + 1 :] != held[m:-1])
+        border[:1] = True
+        border[1:] = (lead[1:] != lead[:-1]) | (held[1:] != held[:-1])
+        border[: m + 1] = True
+        if step == 2:
+            ended = m + np.flatnonzero((lead[m:] & 255) == 0)
+            now[ended] = last
+            border[ended] = True
         group = np.cumsum(border, dtype=np.int32)
         if group[-1] == len(group):
             break
     return now, group
 
 
-def least_documents(shards: list[tuple[list[bytes], np.ndarray]]) -> list[list[np.ndarray]]:
-    """For each shard's strings, the least document that has each of their windows; shards: (strings, documents)."""
-    transforms = [Transform(strings) for strings, _ in shards]
-    now, group = merge(transforms, WINDOW)
-    doc = np.concatenate([d[t.string] for t, (_, d) in zip(transforms, shards)])
+def least_documents(body: np.ndarray, lengths: np.ndarray, docs: np.ndarray, shard_bytes: int = SHARD_BYTES) -> np.ndarray:
+    """For each window of the strings, one after the other, the least document that has it, by merging shards' transforms."""
+    cut = [0, *(int(i) for i in np.flatnonzero(np.diff(np.cumsum(lengths) // shard_bytes)) + 1), len(lengths)]
+    begin = np.concatenate([[0], np.cumsum(lengths)])
+    shards = [Transform(body[begin[a] : begin[z]], lengths[a:z]) for a, z in zip(cut, cut[1:]) if z > a]
+    now, group = merge(shards, WINDOW)
+    firsts = [a for a, z in zip(cut, cut[1:]) if z > a]
+    doc = np.concatenate([docs[a + t.string] for a, t in zip(firsts, shards)])
     start = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
-    least = np.minimum.reduceat(doc[now], start)
     found = np.empty(len(doc), np.int64)
-    found[now] = np.repeat(least, np.diff(np.append(start, len(now))))
+    found[now] = np.repeat(np.minimum.reduceat(doc[now], start), np.diff(np.append(start, len(now))))
     out, o = [], 0
-    for t, (strings, _) in zip(transforms, shards):
-        own = found[o + t.rank]
-        out.append([own[a : a + len(s) - WINDOW + 1] for a, s in zip(t.text_start.tolist(), strings)])
+    for (a, z), t in zip([(a, z) for a, z in zip(cut, cut[1:]) if z > a], shards):
+        out.append(found[o + t.rank[_ranges(t.text_start, lengths[a:z] - WINDOW + 1)]])
         o += len(t.bwt)
-    return out
+    return np.concatenate(out)
+
+
+def resolved(body: np.ndarray, lengths: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """least_documents() of all windows; those that share their hash with no other are their own document's."""
+    n = lengths - WINDOW + 1
+    at = _ranges(np.cumsum(lengths) - lengths, n)
+    sums, factors = _prefix(body)
+    hashed = (sums[at + WINDOW] - sums[at]) * factors[at]
+    del sums, factors
+    order = np.argsort(hashed)
+    same = np.append(False, hashed[order][1:] == hashed[order][:-1])
+    several = np.empty(len(at), bool)
+    several[order] = same | np.append(same[1:], False)
+    least = np.repeat(docs, n)
+    own = np.flatnonzero(several)
+    if len(own):
+        string = np.repeat(np.arange(len(n)), n)[own]
+        first = np.flatnonzero(np.append(True, (own[1:] != own[:-1] + 1) | (string[1:] != string[:-1])))
+        size = np.diff(np.append(first, len(own))) + WINDOW - 1
+        least[own] = least_documents(body[_ranges(at[own[first]], size)], size, docs[string[first]])
+    return least
 
 
 def _merge_bucket(batches):
     """Answers each block's list with the least document of every window; rows come sorted by bucket."""
 
     def answers(bucket, held):
-        spans: dict[bytes, int] = {}
-        shards, places = [], []
-        for _, strings, _, anchors in held:  # a span that an earlier shard has isn't merged again
-            new = [i for i, s in enumerate(strings) if s not in spans]
-            spans.update(zip((strings[i] for i in new), range(len(spans), len(spans) + len(new))))
-            places.append(np.fromiter((spans[s] for s in strings), np.int64, len(strings)))
-            if new:
-                shards.append(([strings[i] for i in new], anchors[new]))
-        least = np.full(len(spans), LAST)
-        for place, (_, _, docs, _) in zip(places, held):
-            np.minimum.at(least, place, docs)
-        # the windows of an anchor's only span are nowhere else: equal spans were one string already
-        _, kind, count = np.unique(np.concatenate([h for _, h in shards]), return_inverse=True, return_counts=True)
-        several = count[kind] > 1
-        merged: dict[int, np.ndarray] = {}
-        parts, at = [], 0
-        for strings, _ in shards:
-            own = np.flatnonzero(several[at : at + len(strings)])
-            if len(own):
-                parts.append(([strings[i] for i in own.tolist()], least[at + own], (at + own).tolist()))
-            at += len(strings)
-        for (_, _, numbers), windows in zip(parts, least_documents([p[:2] for p in parts]) if parts else []):
-            merged.update(zip(numbers, windows))
-        for place, (block, strings, docs, _) in zip(places, held):
-            gain = [d - (merged[p] if p in merged else np.full(len(s) - WINDOW + 1, least[p])) for p, d, s in zip(place.tolist(), docs.tolist(), strings)]
-            yield K.piece(K.ANSWER, block, bucket, K.squeeze(np.concatenate(gain).astype("<i8").tobytes()))
+        lengths, docs, body = (np.concatenate([h[i] for h in held]) for i in (1, 2, 3))
+        start = np.cumsum(lengths) - lengths
+        sums, factors = _prefix(body)
+        strings = Distinct(body, start, lengths, (sums[start + lengths] - sums[start]) * factors[start], np.zeros(len(start), np.int8))
+        del sums, factors
+        one = lengths[strings.first]
+        least = resolved(body[_ranges(start[strings.first], one)], one, strings.least(docs))
+        n, begin = lengths - WINDOW + 1, np.cumsum(one - WINDOW + 1) - one + WINDOW - 1
+        gain = np.repeat(docs, n) - least[_ranges(begin[strings.entry], n)]
+        at = 0
+        for block, own, _, _ in held:
+            n = int((own - WINDOW + 1).sum())
+            # neighbouring windows mostly gain alike: differences compress well
+            yield K.piece(K.ANSWER, block, bucket, K.squeeze(np.diff(gain[at : at + n], prepend=0).astype("<i8").tobytes()))
+            at += n
 
     bucket, held = None, []
     for batch in batches:
@@ -269,39 +362,16 @@ def removed(docs: DataFrame, finish, schema: str, buckets: int | None = None, bl
     def lists(batches):
         for batch in batches:
             for block, data in zip(batch.column("block").to_pylist(), batch.column("data").to_pylist()):
-                found, _ = _listed(*K.opened(data), repeated.value, buckets)
-                for k, spans in enumerate(found):
-                    if spans:
-                        yield K.piece(K.ANSWER, block, k, K.squeeze(_pack(spans)))
+                found = Listed(*K.opened(data), repeated.value, buckets)
+                for k in np.flatnonzero(np.diff(found.cut)).tolist():
+                    yield K.piece(K.ANSWER, block, k, K.squeeze(found.packed(k)))
 
     def apply(group: pa.Table) -> pa.Table:
         rows = dict(zip(group.column("bucket").to_pylist(), group.column("data").to_pylist()))
         ids, texts = K.opened(rows.pop(-1))
-        found, parts = _listed(ids, texts, repeated.value, buckets)
-        least, begin = [], []  # of every bucket, window by window; where each span's windows begin
-        at = 0
-        for k, spans in enumerate(found):
-            sizes = np.array([len(s) - WINDOW + 1 for s in spans], np.int64)
-            begin.append(at + np.cumsum(sizes) - sizes)
-            if len(sizes):
-                docs_of = np.repeat(np.array([d for _, d, _ in spans.values()], np.int64), sizes)
-                least.append(docs_of - np.frombuffer(K.swell(rows[k]), "<i8"))
-                at += int(sizes.sum())
-        least = np.concatenate(least) if least else np.zeros(0, np.int64)
-        edge = np.cumsum([0, *map(len, begin)])
-        begin = np.concatenate(begin) if begin else np.zeros(0, np.int64)
-        masks = []
-        for lo, hi, buffer, edges, start, size, doc, bucket, number in parts:
-            step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            held = np.array([LAST if i is None else i for i in ids[lo:hi]], np.int64)
-            hit = least[np.repeat(begin[edge[bucket] + number], size) + step] < np.repeat(held[doc], size)
-            gone = (np.repeat(start, size) + step)[hit]
-            change = np.zeros(len(buffer) + 1, np.int32)
-            np.add.at(change, gone, 1)
-            np.add.at(change, gone + WINDOW, -1)
-            mask = np.cumsum(change[:-1]) > 0
-            masks += [mask[a:z] for a, z in zip(edges[:-1], edges[1:])]
-        return finish(ids, texts, masks)
+        found = Listed(ids, texts, repeated.value, buckets)
+        gains = [np.cumsum(np.frombuffer(K.swell(rows[k]), "<i8")) for k in np.flatnonzero(np.diff(found.cut)).tolist()]
+        return finish(ids, texts, found.masks(np.concatenate([np.zeros(0, np.int64), *gains])))
 
     answers = blocks.mapInArrow(lists, K.PIECES).repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_merge_bucket, K.PIECES)
     return blocks.unionByName(answers).groupBy("block").applyInArrow(apply, schema)

@@ -55,7 +55,7 @@ def test_transform_and_merge_equal_a_plain_sort():
     random.seed(1)
     for _ in range(40):
         shards = [[bytes(random.choice(b"ab\x00c") for _ in range(random.randint(1, 40))) for _ in range(random.randint(1, 6))] for _ in range(random.randint(1, 4))]
-        ts = [S.Transform(x) for x in shards]
+        ts = [S.Transform(np.frombuffer(b"".join(x), np.uint8), np.array([len(s) for s in x])) for x in shards]
         for t, x in zip(ts, shards):
             suffixes = sorted((([c + 1 for c in s[i:]] + [0], k) for k, s in enumerate(x) for i in range(len(s) + 1)), key=lambda p: (p[0], p[1]))
             assert t.string.tolist() == [k for _, k in suffixes]
@@ -70,3 +70,32 @@ def test_transform_and_merge_equal_a_plain_sort():
             assert got == sorted(got)
             for a, b, g, h in zip(got, got[1:], group.tolist(), group.tolist()[1:]):
                 assert (g == h) == (a == b and 0 not in a)
+
+
+def test_kept_bytes_and_shards_of_any_size(spark):
+    rows = made()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = Counter((r.doc_id, hashlib.sha256(bytes(r.bytes)).hexdigest()) for r in S.deduplicated(docs).collect())
+    assert left == Counter({(d, h): n for (d, _, _, _, h), n in brute(rows).items()})
+    assert S.deduplicated(docs.limit(0)).count() == 0
+    random.seed(2)
+    strings = [bytes(random.choice(b"ab") for _ in range(random.randint(50, 90))) for _ in range(300)]
+    strings += [s[3:60] + b"x" for s in strings[:100] if len(s) > 60]
+    body, lengths = np.frombuffer(b"".join(strings), np.uint8), np.array(list(map(len, strings)))
+    owners = np.array([random.randrange(50) for _ in strings])
+    least = {}
+    for s, d in zip(strings, owners.tolist()):
+        for i in range(len(s) - 49):
+            least[s[i : i + 50]] = min(d, least.get(s[i : i + 50], d))
+    want = [least[s[i : i + 50]] for s in strings for i in range(len(s) - 49)]
+    for size in (64, 1000, 1 << 20):
+        assert S.least_documents(body, lengths, owners, size).tolist() == want
+    assert S.resolved(body, lengths, owners).tolist() == want
+
+
+def test_spans_of_one_hash_stay_apart_if_their_bytes_differ(monkeypatch):
+    monkeypatch.setattr(S, "_prefix", lambda b: (np.zeros(len(b) + 1, np.uint64), np.ones(len(b) + 1, np.uint64)))
+    texts = [b"a" * 60, b"b" * 60, b"a" * 60, b"c" * 60]
+    found = S.Listed([1, 2, 3, None], texts, lambda anchors: np.ones(len(anchors), bool), 1)
+    taken = {found.buffer[a : a + n + 49].tobytes() for a, n in zip(found.entry_start.tolist(), found.entry_size.tolist())}
+    assert taken == {b"a" * 60, b"b" * 60, b"c" * 60} and len(found.masks(np.zeros(int(found.entry_size.sum()), np.int64))) == 4
