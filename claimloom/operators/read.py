@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,46 +62,62 @@ def bm25(df: DataFrame, key: str, text: str, query: list[str], k: int, k1: float
     return rows.groupBy(key).agg(F.round(F.sum(part), 6).alias("score")).orderBy(F.desc("score"), key).limit(k)
 
 
-#: Most query vectors compared in one pass; more are taken in blocks.
-QUERY_BLOCK = 2_000
+#: Query vectors that a pass sends to the tasks, in bytes.
+QUERY_BYTES = 32 << 20
 
 
-def vector_topk(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
-    """JON-7, WIN-1: for each vector whose id is divisible by `every`, its k nearest others by cosine.
+def vector_topk(vectors: DataFrame, every: int = 50, k: int = 5, least: float = -1.0, query_bytes: int = QUERY_BYTES) -> DataFrame:
+    """JON-7, WIN-1: for each vector whose id is divisible by `every`, its k nearest others of cosine `least` or more.
 
-    The query set is broadcast in blocks of a checked size, all vectors are compared with it where they lie.
+    A stated query set against all vectors, in blocks of checked size: a task multiplies its batches with a block's matrix and
+    keeps each query's best rows of a batch, so that little is shuffled to the final ranking.
     """
-    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    own = vectors.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v")).withColumn("n", norm("v"))
-    asked = own.where(F.col("vec_id") % every == 0)
-    blocks = asked.count() // QUERY_BLOCK + 1
+    spark = vectors.sparkSession
+    asked = vectors.where(F.col("vec_id") % every == 0).select("vec_id", "embedding")
+    n, width = asked.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
+    blocks = max(1, -(-int(n) * 8 * int(width or 1) // query_bytes))
     out = None
     for i in range(blocks):
-        some = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == i).select(F.col("vec_id").alias("q_id"), F.col("v").alias("qv"), F.col("n").alias("qn"))
-        dot = F.aggregate(F.zip_with("v", "qv", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-        scored = own.join(F.broadcast(some), F.col("vec_id") != F.col("q_id")).select("q_id", "vec_id", F.round(dot / (F.col("n") * F.col("qn")), 6).alias("score"))
-        best = F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc("score"), "vec_id"))
-        part = scored.withColumn("rank", best).where(F.col("rank") <= k)
+        rows = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == i).collect() if n else []  # query_bytes at most, but for the hash's spread
+        if not rows:
+            continue
+        ids = np.array([r["vec_id"] for r in rows], np.int64)
+        matrix = np.array([r["embedding"] for r in rows], np.float64)
+        held = spark.sparkContext.broadcast((ids, matrix / np.maximum(np.sqrt((matrix**2).sum(axis=1, keepdims=True)), 1e-300)))
+
+        def best(batches, held=held):
+            ids, matrix = held.value
+            for b in batches:
+                own = b.column("vec_id").to_numpy(zero_copy_only=False)
+                if not len(own):
+                    continue
+                v = np.array(b.column("embedding").to_pylist(), np.float64)
+                score = np.round(matrix @ (v / np.maximum(np.sqrt((v**2).sum(axis=1, keepdims=True)), 1e-300)).T, 6)
+                score[ids[:, None] == own[None, :]] = -np.inf
+                # ties at the edge of a batch's best are all kept: the final ranking decides by id
+                edge = np.partition(score, -min(k, len(own)), axis=1)[:, -min(k, len(own))]
+                q, at = np.nonzero((score >= edge[:, None]) & (score >= least))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(own[at]), pa.array(score[q, at])], names=["q_id", "vec_id", "score"])
+
+        part = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(best, "q_id long, vec_id long, score double")
         out = part if out is None else out.unionByName(part)
-    return out
-
-
-def cap_pairs(pairs: DataFrame, a: str, b: str, order: list[Column], cap: int = 40) -> DataFrame:
-    """An approximation of WIN-2 by rank at each endpoint: at most cap pairs with an id on the same side. It isn't the
-    greedy choice, which counts an id on both sides: in a large group ids late in the order lose every pair."""
-    ranked = pairs
-    for side in (a, b):
-        ranked = ranked.withColumn(f"rank_{side}", F.row_number().over(Window.partitionBy(side).orderBy(*order)))
-    return ranked.where((F.col(f"rank_{a}") <= cap) & (F.col(f"rank_{b}") <= cap))
+    if out is None:
+        out = spark.createDataFrame([], "q_id long, vec_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc("score"), "vec_id"))
+    return out.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def upper_median(values: str) -> Column:
-    """AGG-8: the element at n // 2 of the sorted values."""
-    return F.element_at(F.array_sort(F.collect_list(values)), (F.count(values) / 2).cast("int") + 1)
+    """AGG-8: the element at n // 2 of the sorted values: the lower median of the negated ones, negated. Nothing is collected."""
+    return -F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY -`{values}`)")
 
 
 def containment(pages: DataFrame, group: str, item: str) -> DataFrame:
-    """JON-9, AGG-15, DUP-1: for each group the earlier group that holds the largest share of its items."""
+    """JON-9, AGG-15, DUP-1: for each group the earlier group that holds the largest share of its items.
+
+    An equi-join on the item, which adaptive execution splits where one item is common; pairs of groups are counted before
+    anything else joins them. Its size is the number of pairs of groups that share an item, item by item.
+    """
     own = pages.select(group, item).distinct()
     sizes = own.groupBy(group).agg(F.count(F.lit(1)).alias("size"))
     other = own.select(F.col(group).alias("other"), item)
@@ -115,11 +133,6 @@ def unpivot(table: DataFrame, label: str, columns: list[str]) -> DataFrame:
     return table.select(label, F.explode(cells).alias("c")).where("c.value is not null").select(F.concat(F.col(label).cast("string"), F.lit(" | "), F.col("c.header"), F.lit(" = "), F.col("c.value")).alias("line"))
 
 
-def top_cases(relations: DataFrame, score: Column, k: int = 3) -> DataFrame:
-    """WIN-5, CAS-1..3: the k highest scores, ties by cross-document, confidence and ids."""
-    return relations.withColumn("case_score", F.round(score, 6)).orderBy(F.desc("case_score"), F.desc("cross_document"), F.desc("rule_confidence"), "l_id", "r_id").limit(k)
-
-
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """SNK-6: new rows replace old ones of the same key."""
     return old.join(new.select(*keys), keys, "left_anti").unionByName(new)

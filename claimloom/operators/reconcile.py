@@ -1,66 +1,127 @@
-"""Candidate pairs and their deterministic classification (JON-6, FLT-14, CND-1, REC-1..12, FLT-13)."""
+"""Candidate pairs and their deterministic classification (JON-6, FLT-14, CND-1, CND-2, REC-1..12, FLT-13)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimloom.functions import periods, units
+from claimloom.functions.binding import lookup
 
-# Bases by rank in the reporting cycle, and by outlook.
+# Bases by rank in the reporting cycle, and by outlook; qualifiers that tell claims apart, in order.
 RANK = {"projection": 0, "forecast": 0, "budgeted": 0, "target": 0, "estimate": 1, "provisional": 1, "actual": 2, "revised": 3, "restated": 3}
 FORWARD = ("estimate", "projection", "forecast", "budgeted", "target", "provisional")
 BACKWARD = ("actual", "revised", "restated")
+QUALIFIERS = ("segment", "scope", "geography", "definition", "counterparty", "product", "channel", "category", "sector", "instrument", "maturity", "tenor")
+#: Dimension of a differing qualifier, where it isn't scope.
+QUALIFIER_DIMENSION = {"segment": "segment", "definition": "definition"}
 #: Relation type, dimension, subtype and confidence of each rule.
 OUTCOMES = {
-    "entity": ("dropped", None, None, None), "textual": ("escalate", None, None, None), "period-unknown": ("escalate", None, None, None), "too-far-apart": ("escalate", None, None, None),
-    "period-differs-textual": ("reconciled", "period", None, 0.8), "currency-differs": ("reconciled", "currency", None, 0.9), "unit-class-differs": ("reconciled", "definition", None, 0.85), "period-containment": ("refines", "period", None, 0.9),
-    "period-differs": ("reconciled", "period", None, 0.92), "qualifier-differs": ("reconciled", "segment", "segment_differs", 0.88), "basis-supersedes": ("supersedes", "vintage", "later_statement", 0.88), "basis-differs": ("reconciled", None, "basis_differs", 0.87),
-    "values-agree": ("corroborates", "none", None, 0.9), "values-disagree": ("contradicts", "none", None, 0.82),
+    "not-comparable": ("dropped", None, None, None), "no-measure": ("escalate", None, None, None), "textual": ("escalate", None, None, None), "period-unknown": ("escalate", None, None, None), "too-far-apart": ("escalate", None, None, None),
+    "period-differs-textual": ("reconciled", "period", "different_period", 0.8), "currency-differs": ("reconciled", "currency", "different_currency", 0.9), "unit-class-differs": ("reconciled", "definition", "different_unit_class", 0.85),
+    "period-containment": ("refines", "period", "sub_period", 0.9), "period-differs": ("reconciled", "period", "different_period", 0.92), "qualifier-differs": ("reconciled", None, None, 0.88),
+    "basis-supersedes": ("supersedes", "vintage", "later_statement", 0.88), "basis-differs": ("reconciled", None, "basis_differs", 0.87), "values-agree": ("corroborates", "none", None, 0.9), "values-disagree": ("contradicts", "none", "value_conflict", 0.82),
 }
+#: CND-2: partners that a fact is compared with at most; neighbours of the vector and lexical routes; least cosine.
+MOST_PARTNERS, VECTOR_NEIGHBOURS, LEXICAL_NEIGHBOURS, LEAST_COSINE = 40, 12, 8, 0.82
+#: Ids that one task ranks within a measure.
+RANK_IDS = 65_536
 
 
-def measure_pairs(facts: DataFrame, new: Column | None = None) -> DataFrame:
+def prepared(facts: DataFrame) -> DataFrame:
+    """What depends on one fact alone, computed once a fact instead of once a pair."""
+    c = F.col
+    own = F.array(*[F.lower(F.trim(F.coalesce(F.try_element_at("qualifiers", F.lit(k)), F.lit("")))) for k in QUALIFIERS])
+    label = F.coalesce(F.nullif("period_label", F.lit("")), F.concat(F.date_format("period_start", "yyyy-MM-dd"), F.lit(" to "), F.date_format("period_end", "yyyy-MM-dd")), F.lit("an unstated period"))
+    basis = F.lower(F.trim(F.coalesce("basis", F.lit(""))))
+    return facts.withColumns({"step": units.rounding_step(c("value_base")), "basis": basis, "rank": lookup(RANK, basis), "own": own, "period_text": label})
+
+
+def _sides(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    rows = prepared(facts)
+    return tuple(rows.select(*[F.col(c).alias(f"{p}_{c}") for c in rows.columns]) for p in "lr")
+
+
+_APART = "l_id < r_id and not (l_document_id = r_document_id and l_page_id = r_page_id)"
+
+
+def measure_pairs(facts: DataFrame, new: Column | None = None, cap: int | None = None) -> DataFrame:
     """JON-6: pairs with one measure, l the smaller id, not of one page; with `new`, at least one of them new.
 
-    An equi-join on the measure: period and page conditions stay residual, and adaptive execution splits a hot measure.
+    An equi-join: period and page conditions stay residual, and adaptive execution splits a hot measure. With `cap`, a
+    measure's facts are cut into runs of cap + 1 in the order of their ids and only pairs within a run are made: what
+    taking pairs in order while both ends have room comes to, and linear in the facts of a measure.
     """
-    # what depends on one fact alone is computed before the join, once a fact instead of once a pair
-    rows = facts.withColumns({"step": units.rounding_step(F.col("value_base")), "rank": _rank(F.coalesce("basis", F.lit("")))})
+    rows = facts if cap is None else in_runs(facts, cap + 1)
     rows = rows if new is None else rows.withColumn("is_new", new)
-    side = lambda p: rows.select(*[F.col(c).alias(f"{p}_{c}") for c in rows.columns])
-    pairs = side("l").join(side("r"), F.col("l_measure_id") == F.col("r_measure_id")).where("l_id < r_id and not (l_document_id = r_document_id and l_page_id = r_page_id)")
+    left, right = _sides(rows)
+    same = F.col("l_measure_id") == F.col("r_measure_id")
+    pairs = left.join(right, same if cap is None else same & (F.col("l_run") == F.col("r_run"))).where(_APART)
     return pairs if new is None else pairs.where("l_is_new or r_is_new")
 
 
-def _rank(basis: Column) -> Column:
-    out = F.lit(None).cast("int")
-    for k, v in RANK.items():
-        out = F.when(basis == k, v).otherwise(out)
-    return out
+def in_runs(facts: DataFrame, size: int) -> DataFrame:
+    """facts with run: the number of each run of so many facts of a measure, by id.
+
+    Facts are ranked within stretches of ids, and stretches by their counts, so no task ranks a whole hot measure.
+    """
+    rows = facts.where("measure_id is not null").withColumn("stretch", F.floor(F.col("id") / RANK_IDS))
+    before = F.sum("n").over(Window.partitionBy("measure_id").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1))
+    counts = rows.groupBy("measure_id", "stretch").agg(F.count(F.lit(1)).alias("n")).select("measure_id", "stretch", F.coalesce(before, F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy("measure_id", "stretch").orderBy("id")) - 1
+    ranked = rows.withColumn("place", place).join(counts, ["measure_id", "stretch"])
+    return ranked.withColumn("run", F.floor((F.col("place") + F.col("before")) / size)).drop("stretch", "place", "before")
+
+
+def united(facts: DataFrame, routes: list[DataFrame], cap: int = MOST_PARTNERS) -> DataFrame:
+    """CND-1, WIN-4: pairs of several routes (l_id, r_id, similarity, source), the first route that has a pair names it.
+
+    Pairs of one page drop out. Of the others a fact keeps `cap` at either end, by similarity, then the measure route.
+    """
+    every = None
+    for i, route in enumerate(routes):
+        part = route.select(F.least("l_id", "r_id").alias("l_id"), F.greatest("l_id", "r_id").alias("r_id"), F.struct(F.lit(i).alias("route"), "similarity", "source").alias("first")).where("l_id <> r_id")
+        every = part if every is None else every.unionByName(part)
+    named = every.groupBy("l_id", "r_id").agg(F.min("first").alias("f")).select("l_id", "r_id", "f.similarity", "f.source")
+    place = facts.select("id", "document_id", "page_id")
+    left, right = (place.select(*[F.col(c).alias(f"{p}_{c}") for c in place.columns]) for p in "lr")
+    apart = named.join(left, "l_id").join(right, "r_id").where(_APART).select("l_id", "r_id", "similarity", "source")
+    order = (F.desc("similarity"), F.col("source") != "measure", "l_id", "r_id")
+    for side in ("l_id", "r_id"):
+        apart = apart.withColumn("place", F.row_number().over(Window.partitionBy(side).orderBy(*order))).where(F.col("place") <= cap).drop("place")
+    return apart
+
+
+def with_facts(pairs: DataFrame, facts: DataFrame) -> DataFrame:
+    """Pairs (l_id, r_id, …) with both facts' columns, ready for classify()."""
+    left, right = _sides(facts)
+    return pairs.join(left, "l_id").join(right, "r_id")
 
 
 def classify(pairs: DataFrame) -> DataFrame:
     """REC-1: one ordered chain of conditions gives each pair its verdict; no row leaves the JVM."""
     c = F.col
-    lb, rb = F.coalesce(c("l_basis"), F.lit("")), F.coalesce(c("r_basis"), F.lit(""))
+    lb, rb = c("l_basis"), c("r_basis")
     df = pairs.withColumns({
         "period_relation": periods.relate(c("l_period_start"), c("l_period_end"), c("r_period_start"), c("r_period_end")),
-        "delta_relative": units.relative_difference(c("l_value_base"), c("r_value_base")),
+        "delta_relative": units.relative_difference(c("l_value_base"), c("r_value_base")), "delta_absolute": F.abs(c("l_value_base") - c("r_value_base")),
         "tolerance": units.rounding_tolerance(c("l_value_base"), c("r_value_base"), c("l_unit_class"), (c("l_step"), c("r_step"))),
         "basis_differs": lb != rb,
         "vintage": (lb.isin(*FORWARD) & rb.isin(*BACKWARD)) | (rb.isin(*FORWARD) & lb.isin(*BACKWARD)) | lb.isin("revised", "restated") | rb.isin("revised", "restated"),
     })
     df = df.withColumn("agrees", c("delta_relative") <= c("tolerance"))
+    lc, rc, lu, ru = (F.nullif(c(x), F.lit("")) for x in ("l_currency", "r_currency", "l_unit_class", "r_unit_class"))
+    # classes must be equal; if known, currencies as well
+    comparable = lu.eqNullSafe(ru) & (lu.isNull() | lc.eqNullSafe(rc))
     rule = (
-        F.when(c("l_entity").isNotNull() & c("r_entity").isNotNull() & (c("l_entity") != c("r_entity")), "entity")
+        F.when(c("l_measure_id").isNull() | c("r_measure_id").isNull(), "no-measure")
+        .when((c("l_measure_id") != c("r_measure_id")) | F.coalesce(c("l_entity") != c("r_entity"), F.lit(False)), "not-comparable")
         .when(c("l_value_base").isNull() | c("r_value_base").isNull(), F.when(c("period_relation").isin("disjoint", "partial"), "period-differs-textual").otherwise("textual"))
-        .when(~c("l_currency").eqNullSafe(c("r_currency")), "currency-differs")
-        .when(~c("l_unit_class").eqNullSafe(c("r_unit_class")), "unit-class-differs")
+        .when(~comparable, F.when(F.coalesce(lc != rc, F.lit(False)), "currency-differs").otherwise("unit-class-differs"))
         .when(c("period_relation") == "unknown", "period-unknown")
         .when(c("period_relation").isin("contains", "contained_by"), "period-containment")
         .when(c("period_relation").isin("disjoint", "partial"), "period-differs")
-        .when(~c("l_segment").eqNullSafe(c("r_segment")), "qualifier-differs")
+        .when(c("l_own") != c("r_own"), "qualifier-differs")
         .when(c("basis_differs") & ~c("agrees") & c("l_rank").isNotNull() & c("r_rank").isNotNull() & (c("l_rank") != c("r_rank")), "basis-supersedes")
         .when(c("basis_differs") & ~c("agrees"), "basis-differs")
         .when(c("agrees"), "values-agree")
@@ -68,24 +129,60 @@ def classify(pairs: DataFrame) -> DataFrame:
         .otherwise("values-disagree")
     )
     df = df.withColumn("rule_id", rule)  # the verdict's other parts follow from the rule that fired
-    by_rule = lambda i, kind: F.element_at(F.create_map(*[x for k, v in OUTCOMES.items() if v[i] is not None for x in (F.lit(k), F.lit(v[i]))]), c("rule_id")).cast(kind)
-    scale_differs = F.coalesce(c("l_unit_scale"), F.lit(1.0)) != F.coalesce(c("r_unit_scale"), F.lit(1.0))
+    differs = F.array_position(F.zip_with("l_own", "r_own", lambda a, b: a != b), F.lit(True)).cast("int")
+    df = df.withColumn("qualifier", F.when(c("rule_id") == "qualifier-differs", F.get(F.array(*map(F.lit, QUALIFIERS)), differs - 1)))
+    by_rule = lambda i, kind: lookup({k: v[i] for k, v in OUTCOMES.items() if v[i] is not None}, c("rule_id")).cast(kind)
+    scale_differs = F.coalesce(F.nullif(c("l_unit_scale"), F.lit(0.0)), F.lit(1.0)) != F.coalesce(F.nullif(c("r_unit_scale"), F.lit(0.0)), F.lit(1.0))
     agree, bases = c("rule_id") == "values-agree", F.when(c("vintage"), "vintage").otherwise("basis")
-    across = agree & c("basis_differs")
+    across, exact = agree & c("basis_differs"), c("delta_relative") == 0
     cross = c("l_document_id") != c("r_document_id")
+    by_qualifier = F.coalesce(lookup(QUALIFIER_DIMENSION, c("qualifier")), F.when(c("qualifier").isNotNull(), "scope"))
     severity = F.least(F.lit(1.0), (F.least(c("delta_relative"), F.lit(1.0)) * 0.55 + (c("l_evidence_score") + c("r_evidence_score")) / 200 * 0.2 + (c("l_confidence") + c("r_confidence")) / 2 * 0.25)) * F.when(cross, 1.0).otherwise(0.75)
-    return df.withColumns({
+    judged = c("rule_id").isin(*[k for k, v in OUTCOMES.items() if k not in ("textual", "no-measure", "not-comparable", "period-differs-textual", "currency-differs", "unit-class-differs")])
+    df = df.withColumns({
         "relation_type": by_rule(0, "string"),
-        "dimension": F.when(across | (c("rule_id") == "basis-differs"), bases).when(agree & scale_differs, "unit_scale").otherwise(by_rule(1, "string")),
-        "subtype": F.when(across, "agrees_across_basis").when(agree & scale_differs, "scale_equivalent").when(agree & (c("delta_relative") == 0), "exact").when(agree, "within_rounding").otherwise(by_rule(2, "string")),
-        "rule_confidence": F.when(agree & (c("delta_relative") == 0), 0.95).otherwise(by_rule(3, "double")),
-        "cross_document": cross,
-        "severity": F.when(c("rule_id") == "values-disagree", severity).otherwise(0.0),
+        "dimension": F.coalesce(by_qualifier, F.when(across | (c("rule_id") == "basis-differs"), bases), F.when(agree & scale_differs, "unit_scale"), by_rule(1, "string")),
+        "subtype": F.coalesce(F.concat(c("qualifier"), F.lit("_differs")), F.when(across, "agrees_across_basis").when(agree & scale_differs, "scale_equivalent").when(agree & exact, "exact").when(agree, "within_rounding").otherwise(by_rule(2, "string"))),
+        "rule_confidence": F.when(agree & exact, 0.95).otherwise(by_rule(3, "double")),
+        "cross_document": cross, "scale_differs": scale_differs,
+        "delta_relative": F.when(judged, c("delta_relative")), "delta_absolute": F.when(judged, c("delta_absolute")),
+        "severity": F.when(c("rule_id") == "values-disagree", F.round(severity, 3)).otherwise(0.0),
         "superseded_id": F.when(c("rule_id") == "basis-supersedes", F.when(c("l_rank") < c("r_rank"), c("l_id")).otherwise(c("r_id"))),
     })
+    return df
+
+
+def explained(relations: DataFrame) -> DataFrame:
+    """REC-11, REC-12: classify()'s rows with explanation, for verdicts, and note, for escalations; in words of our own."""
+    c, say = F.col, F.format_string
+    l_value, r_value, l_time, r_time = (F.coalesce(c(x), F.lit("no value")) for x in ("l_value_text", "r_value_text", "l_period_text", "r_period_text"))
+    named = lambda b: F.coalesce(F.nullif(b, F.lit("")), F.lit("not stated"))
+    share = say("%.1f%%", c("delta_relative") * 100)
+    stale_left = c("superseded_id") == c("l_id")
+    quoted = lambda side: F.concat(F.lit("'"), F.coalesce(F.nullif(F.try_element_at(f"{side}_qualifiers", "qualifier"), F.lit("")), F.lit("not stated")), F.lit("'"))
+    same = F.when(c("scale_differs"), say("%s and %s for %s are one amount at two scales.", l_value, r_value, l_time)).when(c("delta_relative") == 0, say("Both give %s for %s.", l_value, l_time)).otherwise(say("%s and %s for %s agree to the precision given.", l_value, r_value, l_time))
+    texts = {
+        "period-differs-textual": say("The periods differ: %s and %s.", l_time, r_time),
+        "currency-differs": say("One value is in %s, the other in %s; nothing is converted.", c("l_currency"), c("r_currency")),
+        "unit-class-differs": say("Different kinds of unit: %s and %s.", F.coalesce(c("l_unit_class"), F.lit("unknown")), F.coalesce(c("r_unit_class"), F.lit("unknown"))),
+        "period-containment": say("One period lies within the other: %s and %s.", l_time, r_time),
+        "period-differs": say("The periods differ: %s and %s.", l_time, r_time),
+        "qualifier-differs": say("For %s, %s is %s in one and %s in the other.", l_time, c("qualifier"), quoted("l"), quoted("r")),
+        "basis-supersedes": say("For %s, %s (%s) replaces %s (%s).", l_time, F.when(stale_left, r_value).otherwise(l_value), F.when(stale_left, c("r_basis")).otherwise(c("l_basis")), F.when(stale_left, l_value).otherwise(r_value), F.when(stale_left, c("l_basis")).otherwise(c("r_basis"))),
+        "basis-differs": say("For %s, one value is %s and the other %s.", l_time, named(c("l_basis")), named(c("r_basis"))),
+        "values-agree": F.when(c("basis_differs"), say("%s Their bases differ: %s and %s.", same, named(c("l_basis")), named(c("r_basis")))).otherwise(same),
+        "values-disagree": say("For %s on one basis, %s and %s differ by %s.", l_time, l_value, r_value, share),
+    }
+    notes = {"no-measure": F.lit("a fact has no measure"), "textual": F.lit("no values to compare"), "period-unknown": F.lit("a period is unknown"), "too-far-apart": say("one measure, entity and period, but the values differ by %s", share)}
+    pick = lambda table: F.coalesce(*[F.when(c("rule_id") == k, v) for k, v in table.items()])
+    return relations.withColumns({"explanation": pick(texts), "note": pick(notes)})
+
+
+def informative(classified: DataFrame) -> DataFrame:
+    """FLT-13: decided relations, without those of a single document that only differ in period."""
+    return classified.where("relation_type not in ('escalate', 'dropped') and (cross_document or not (relation_type = 'reconciled' and dimension = 'period'))")
 
 
-def relations(facts: DataFrame) -> DataFrame:
-    """Decided relations: pairs that the rules settle, without the uninformative ones of a single document (FLT-13)."""
-    decided = classify(measure_pairs(facts)).where("relation_type not in ('escalate', 'dropped')")
-    return decided.where("cross_document or not (relation_type = 'reconciled' and dimension = 'period')")
+def relations(facts: DataFrame, cap: int | None = MOST_PARTNERS) -> DataFrame:
+    """Decided relations of every fact with up to `cap` others of its measure."""
+    return informative(classify(measure_pairs(facts, cap=cap)))

@@ -2,78 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from claimloom.functions import periods, text, units
 from claimloom.operators import read, reconcile
+from claimloom.plans.base import FACTS, PAIRS, VERDICTS, Query, query, registered, rows_of, sql_of
 from claimloom.sources import claims
 
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None):
-    """Registers a query under its function's name, with its SQL."""
-
-    def keep(f: Query) -> Query:
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return keep
-
-
-def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def _step(v: str) -> str:
-    whole, dec = f"floor(abs({v}))", f"length(rtrim(split_part(printf('%.10f', abs({v}) - floor(abs({v}))), '.', 2), '0'))"
-    zeros = f"CASE WHEN printf('%.0f', {whole}) = '0' THEN 0 ELSE length(printf('%.0f', {whole})) - length(rtrim(printf('%.0f', {whole}), '0')) END"
-    return f"CASE WHEN {dec} > 0 THEN CAST('5e-' || ({dec} + 1) AS DOUBLE) ELSE CAST('5e' || ({zeros} - 1) AS DOUBLE) END"
-
-
-_FWD, _BWD = ", ".join(f"'{x}'" for x in reconcile.FORWARD), ", ".join(f"'{x}'" for x in reconcile.BACKWARD)
-
-
-def _rank(b: str) -> str:
-    return "CASE " + b + " " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in reconcile.RANK.items()) + " END"
-
-
-FACTS = f"facts AS ({claims.FACTS_SQL})"
-_SIDES = ", ".join(f"{s}.{c} AS {s}_{c}" for s in "lr" for c in claims.COLUMNS)
-PAIRS = FACTS + f""", pairs AS (SELECT {_SIDES} FROM facts l JOIN facts r ON l.measure_id = r.measure_id
-  WHERE l.id < r.id AND NOT (l.document_id = r.document_id AND l.page_id = r.page_id))"""
-VERDICTS = PAIRS + f""", p1 AS (SELECT *,
-  CASE WHEN l_period_start IS NULL OR r_period_start IS NULL OR l_period_end IS NULL OR r_period_end IS NULL THEN 'unknown'
-       WHEN l_period_start = r_period_start AND l_period_end = r_period_end THEN 'identical'
-       WHEN l_period_start <= r_period_start AND l_period_end >= r_period_end THEN 'contains'
-       WHEN r_period_start <= l_period_start AND r_period_end >= l_period_end THEN 'contained_by'
-       WHEN l_period_start <= r_period_end AND r_period_start <= l_period_end THEN 'partial' ELSE 'disjoint' END AS pr,
-  CASE WHEN l_value_base = r_value_base THEN 0.0 ELSE abs(l_value_base - r_value_base) / CASE WHEN l_value_base IS NULL OR r_value_base IS NULL THEN NULL ELSE greatest(abs(l_value_base), abs(r_value_base)) END END AS delta,
-  greatest(CAST(5e-4 AS DOUBLE), least(greatest({_step("l_value_base")}, {_step("r_value_base")}) / greatest(abs(l_value_base), abs(r_value_base)), CAST(0.05 AS DOUBLE))) AS tol,
-  coalesce(l_basis, '') AS lb, coalesce(r_basis, '') AS rb FROM pairs),
-p2 AS (SELECT *, lb <> rb AS bd, delta <= tol AS agrees, {_rank("lb")} AS lk, {_rank("rb")} AS rk,
-  ((lb IN ({_FWD}) AND rb IN ({_BWD})) OR (rb IN ({_FWD}) AND lb IN ({_BWD})) OR lb IN ('revised', 'restated') OR rb IN ('revised', 'restated')) AS vint FROM p1),
-verdicts AS (SELECT *, l_document_id <> r_document_id AS cross_document,
-  CASE WHEN l_entity <> r_entity THEN 'entity' WHEN l_value_base IS NULL OR r_value_base IS NULL THEN CASE WHEN pr IN ('disjoint', 'partial') THEN 'period-differs-textual' ELSE 'textual' END
-       WHEN l_currency <> r_currency THEN 'currency-differs' WHEN l_unit_class <> r_unit_class THEN 'unit-class-differs' WHEN pr = 'unknown' THEN 'period-unknown'
-       WHEN pr IN ('contains', 'contained_by') THEN 'period-containment' WHEN pr IN ('disjoint', 'partial') THEN 'period-differs' WHEN l_segment IS DISTINCT FROM r_segment THEN 'qualifier-differs'
-       WHEN bd AND NOT agrees AND lk <> rk THEN 'basis-supersedes' WHEN bd AND NOT agrees THEN 'basis-differs' WHEN agrees THEN 'values-agree'
-       WHEN delta >= 0.5 OR l_confidence < 0.7 OR r_confidence < 0.7 THEN 'too-far-apart' ELSE 'values-disagree' END AS rule_id FROM p2),
-relations AS (SELECT *, CASE rule_id WHEN 'entity' THEN 'dropped' WHEN 'textual' THEN 'escalate' WHEN 'period-unknown' THEN 'escalate' WHEN 'too-far-apart' THEN 'escalate' WHEN 'period-containment' THEN 'refines'
-       WHEN 'basis-supersedes' THEN 'supersedes' WHEN 'values-agree' THEN 'corroborates' WHEN 'values-disagree' THEN 'contradicts' ELSE 'reconciled' END AS relation_type,
-  CASE WHEN rule_id IN ('period-differs-textual', 'period-containment', 'period-differs') THEN 'period' WHEN rule_id = 'currency-differs' THEN 'currency' WHEN rule_id = 'unit-class-differs' THEN 'definition' WHEN rule_id = 'qualifier-differs' THEN 'segment'
-       WHEN rule_id = 'basis-supersedes' THEN 'vintage' WHEN rule_id = 'basis-differs' OR (rule_id = 'values-agree' AND bd) THEN CASE WHEN vint THEN 'vintage' ELSE 'basis' END
-       WHEN rule_id = 'values-agree' THEN CASE WHEN l_unit_scale <> r_unit_scale THEN 'unit_scale' ELSE 'none' END WHEN rule_id = 'values-disagree' THEN 'none' END AS dimension,
-  CASE rule_id WHEN 'period-differs-textual' THEN 0.8 WHEN 'currency-differs' THEN 0.9 WHEN 'unit-class-differs' THEN 0.85 WHEN 'period-containment' THEN 0.9 WHEN 'period-differs' THEN 0.92 WHEN 'qualifier-differs' THEN 0.88
-       WHEN 'basis-supersedes' THEN 0.88 WHEN 'basis-differs' THEN 0.87 WHEN 'values-agree' THEN CASE WHEN delta = 0 THEN 0.95 ELSE 0.9 END WHEN 'values-disagree' THEN 0.82 END::DOUBLE AS rule_confidence FROM verdicts),
-decided AS (SELECT * FROM relations WHERE relation_type NOT IN ('escalate', 'dropped') AND (cross_document OR NOT (relation_type = 'reconciled' AND dimension = 'period')))"""
+_t = rows_of
 
 
 def _facts(spark, sf):
@@ -81,7 +18,7 @@ def _facts(spark, sf):
 
 
 def _classified(spark, sf):
-    return reconcile.classify(reconcile.measure_pairs(_facts(spark, sf)))
+    return reconcile.classify(reconcile.measure_pairs(_facts(spark, sf), cap=reconcile.MOST_PARTNERS))
 
 
 def _decided(spark, sf):
@@ -110,40 +47,47 @@ def supersedes(spark, sf):
     return _decided(spark, sf).where("relation_type = 'supersedes'").select("l_id", "r_id", "superseded_id")
 
 
-@query(f"""WITH {VERDICTS} SELECT l_id, r_id, round(least(1.0, least(delta, 1.0) * 0.55::DOUBLE + (l_evidence_score + r_evidence_score) / 200 * 0.2::DOUBLE + (l_confidence + r_confidence) / 2 * 0.25::DOUBLE) * CASE WHEN cross_document THEN 1.0::DOUBLE ELSE 0.75::DOUBLE END, 9) AS severity
+@query(f"""WITH {VERDICTS} SELECT l_id, r_id, round(least(1.0, least(delta, 1.0) * 0.55::DOUBLE + (l_evidence_score + r_evidence_score) / 200 * 0.2::DOUBLE + (l_confidence + r_confidence) / 2 * 0.25::DOUBLE) * CASE WHEN cross_document THEN 1.0::DOUBLE ELSE 0.75::DOUBLE END, 3) AS severity
 FROM decided WHERE relation_type = 'contradicts'""")
 def reconcile_severity(spark, sf):
     """REC-10."""
-    return _decided(spark, sf).where("relation_type = 'contradicts'").select("l_id", "r_id", F.round("severity", 9).alias("severity"))
+    return _decided(spark, sf).where("relation_type = 'contradicts'").select("l_id", "r_id", "severity")
 
 
-@query(f"WITH {PAIRS} SELECT l_id, r_id, l_measure_id AS measure_id FROM pairs")
+@query(f"WITH {PAIRS} SELECT l_id, r_id, l_measure_id AS measure_id FROM every")
 def measure_pairs(spark, sf):
     """JON-6, FLT-14."""
     return reconcile.measure_pairs(_facts(spark, sf)).select("l_id", "r_id", F.col("l_measure_id").alias("measure_id"))
 
 
-@query(f"WITH {PAIRS} SELECT l_id, r_id FROM pairs WHERE l_document_id IN (3, 4) OR r_document_id IN (3, 4)")
+@query(f"WITH {PAIRS} SELECT l_id, r_id FROM every WHERE l_document_id IN (3, 4) OR r_document_id IN (3, 4)")
 def incremental_pairs(spark, sf):
     """STR-1: only pairs that a newly ingested document takes part in."""
     return reconcile.measure_pairs(_facts(spark, sf), F.col("document_id").isin(3, 4)).select("l_id", "r_id")
 
 
-@query(f"WITH {PAIRS}, k AS (SELECT l_id, r_id, row_number() OVER (PARTITION BY l_id ORDER BY r_id, l_id) AS a, row_number() OVER (PARTITION BY r_id ORDER BY r_id, l_id) AS b FROM pairs) SELECT l_id, r_id FROM k WHERE a <= 5 AND b <= 5")
+@query(f"WITH {PAIRS} SELECT l_id, r_id FROM every WHERE (l_place - 1) // 6 = (r_place - 1) // 6")
 def pair_cap(spark, sf):
-    """WIN-2: at most so many pairs at either end."""
-    pairs = reconcile.measure_pairs(_facts(spark, sf)).select("l_id", "r_id")
-    return read.cap_pairs(pairs, "l_id", "r_id", [F.col("r_id"), F.col("l_id")], 5).select("l_id", "r_id")
+    """WIN-2 on the pairs of a measure: runs of cap + 1 facts, so that a fact has at most so many partners."""
+    return reconcile.measure_pairs(_facts(spark, sf), cap=5).select("l_id", "r_id")
 
 
-@query(f"""WITH {PAIRS}, u AS (SELECT l_id, r_id, 1 AS p, 'measure' AS source FROM pairs UNION ALL SELECT l.id, r.id, 2, 'period' FROM facts l JOIN facts r ON l.document_id = r.document_id AND l.measure_id = r.measure_id WHERE l.id < r.id)
-SELECT l_id, r_id, arg_min(source, p) AS source FROM u GROUP BY ALL""")
+@query(f"""WITH {PAIRS}, u AS (SELECT l_id, r_id, 0 AS p, 1.0::DOUBLE AS similarity, 'measure' AS source FROM every UNION ALL SELECT l.id, r.id, 1, 0.9::DOUBLE, 'vector' FROM facts l JOIN facts r ON l.id % 2 = 0 AND r.id = l.id + 1
+  UNION ALL SELECT l.id, r.id, 2, 0.0::DOUBLE, 'lexical' FROM facts l JOIN facts r ON l.id > 3 AND r.id = l.id - 3),
+f AS (SELECT least(l_id, r_id) AS l_id, greatest(l_id, r_id) AS r_id, arg_min(similarity, p) AS similarity, arg_min(source, p) AS source FROM u GROUP BY 1, 2),
+k AS (SELECT f.* FROM f JOIN facts l ON l.id = f.l_id JOIN facts r ON r.id = f.r_id WHERE NOT (l.document_id = r.document_id AND l.page_id = r.page_id)),
+a AS (SELECT *, row_number() OVER (PARTITION BY l_id ORDER BY similarity DESC, source <> 'measure', l_id, r_id) AS x FROM k), b AS (SELECT *, row_number() OVER (PARTITION BY r_id ORDER BY similarity DESC, source <> 'measure', l_id, r_id) AS y FROM a WHERE x <= 40)
+SELECT l_id, r_id, similarity, source FROM b WHERE y <= 40""")
 def pair_union_first_wins(spark, sf):
-    """SET-2, WIN-4: routes united, the first route names the pair."""
-    facts = _facts(spark, sf).select("id", "document_id", "measure_id")
-    one = reconcile.measure_pairs(_facts(spark, sf)).select("l_id", "r_id", F.lit(1).alias("p"), F.lit("measure").alias("source"))
-    two = facts.alias("l").join(facts.alias("r"), ["document_id", "measure_id"]).where("l.id < r.id").select(F.col("l.id").alias("l_id"), F.col("r.id").alias("r_id"), F.lit(2).alias("p"), F.lit("period").alias("source"))
-    return one.unionByName(two).groupBy("l_id", "r_id").agg(F.min_by("source", "p").alias("source"))
+    """CND-1, SET-2, WIN-4: three routes united, the first one that has a pair names it, capped at either end.
+
+    The vector and lexical routes stand for neighbours of an original and its restatement."""
+    facts = _facts(spark, sf)
+    one = reconcile.measure_pairs(facts).select("l_id", "r_id", F.lit(1.0).alias("similarity"), F.lit("measure").alias("source"))
+    own = facts.select(F.col("id").alias("l_id"))
+    two = own.where("l_id % 2 = 0").select("l_id", (F.col("l_id") + 1).alias("r_id"), F.lit(0.9).alias("similarity"), F.lit("vector").alias("source"))
+    three = own.where("l_id > 3").select("l_id", (F.col("l_id") - 3).alias("r_id"), F.lit(0.0).alias("similarity"), F.lit("lexical").alias("source"))
+    return reconcile.united(facts, [one, two, three])
 
 
 @query(f"WITH {FACTS} SELECT id, measure_id, value_base FROM facts WHERE currency = 'USD' AND period_end >= DATE '1997-01-01' AND period_start <= DATE '1997-06-30' AND confidence >= 0.7")
@@ -230,51 +174,6 @@ def graph_edges(spark, sf):
     return _decided(spark, sf).orderBy(F.desc("rule_confidence"), "l_id", "r_id").limit(200).select("l_id", "r_id", "relation_type")
 
 
-_CASES = {"corroborates": ("rule_confidence + CASE WHEN cross_document THEN 1.5 ELSE 0.0 END + CASE WHEN l_unit_scale <> r_unit_scale THEN 1.2 ELSE 0.0 END", "corroboration"), "reconciled": ("rule_confidence + CASE WHEN cross_document THEN 1.0 ELSE 0.0 END + CASE WHEN delta_relative IS NULL THEN 0.0 ELSE 2 * least(delta_relative, 1.0) END", "reconciled")}
-
-
-def _case_sql(kind: str) -> str:
-    score = _CASES[kind][0].replace("delta_relative", "delta")
-    return f"WITH {VERDICTS} SELECT l_id, r_id, round({score}, 6) AS case_score FROM decided WHERE relation_type = '{kind}' ORDER BY case_score DESC, cross_document DESC, rule_confidence DESC, l_id, r_id LIMIT 3"
-
-
-@query(_case_sql("corroborates"))
-def cases_corroboration(spark, sf):
-    """CAS-1, WIN-5, SRT-11."""
-    return read.top_cases(_decided(spark, sf).where("relation_type = 'corroborates'"), F.expr(_CASES["corroborates"][0].replace("1.5", "1.5D").replace("1.2", "1.2D"))).select("l_id", "r_id", "case_score")
-
-
-@query(_case_sql("reconciled"))
-def cases_reconciled(spark, sf):
-    """CAS-3, SET-5."""
-    return read.top_cases(_decided(spark, sf).where("relation_type = 'reconciled'"), F.expr(_CASES["reconciled"][0].replace("1.0", "1.0D").replace("0.0", "0.0D"))).select("l_id", "r_id", "case_score")
-
-
-@query("""WITH r AS (SELECT d.doc_id, CASE WHEN toxic = 1 THEN 'toxic' WHEN lang = 'en' THEN 'low_quality_en' ELSE 'low_quality' END AS reason FROM labels l JOIN documents d ON d.doc_id = l.doc_id WHERE quality = 0)
-SELECT reason, count(*) AS n, max(doc_id) AS newest FROM r GROUP BY 1 ORDER BY n DESC, reason LIMIT 4""")
-def cases_failure(spark, sf):
-    """CAS-4, WIN-6, FLT-10, AGG-3: rejections by reason with the newest sample."""
-    rows = _t(spark, sf, "labels").where("quality = 0").join(_t(spark, sf, "documents").select("doc_id", "lang"), "doc_id")
-    reason = F.when(F.col("toxic") == 1, "toxic").when(F.col("lang") == "en", "low_quality_en").otherwise("low_quality")
-    return rows.groupBy(reason.alias("reason")).agg(_count(), F.max("doc_id").alias("newest")).orderBy(F.desc("n"), "reason").limit(4)
-
-
-@query(f"WITH {FACTS} SELECT id, document_id, n_name AS document, value_base, round(confidence, 3) AS confidence, CASE WHEN segment IS NULL THEN '' ELSE 'segment=' || segment END AS qualifiers, strftime(period_start, '%Y-%m-%d') AS period_start FROM facts LEFT JOIN nation ON n_nationkey = document_id")
-def export_facts(spark, sf):
-    """SNK-1, PRJ-3, JON-3: a flat export row per fact; documents are a fixed 25-row dimension, left to the optimiser."""
-    q = F.array_join(F.transform(F.array_sort(F.map_entries(F.map_filter(F.create_map(F.lit("segment"), "segment"), lambda k, v: v.isNotNull()))), lambda e: F.concat(e["key"], F.lit("="), e["value"])), "; ")
-    rows = _facts(spark, sf).join(_t(spark, sf, "nation"), F.col("n_nationkey") == F.col("document_id"), "left")
-    return rows.select("id", "document_id", F.col("n_name").alias("document"), "value_base", F.round("confidence", 3).alias("confidence"), q.alias("qualifiers"), F.date_format("period_start", "yyyy-MM-dd").alias("period_start"))
-
-
-@query(f"WITH {VERDICTS} SELECT l_id, r_id, a.n_name AS left_document, b.n_name AS right_document, relation_type, rule_id FROM decided LEFT JOIN nation a ON a.n_nationkey = l_document_id LEFT JOIN nation b ON b.n_nationkey = r_document_id WHERE l_document_id = 5 OR r_document_id = 5")
-def export_relations(spark, sf):
-    """SNK-2, JON-4."""
-    n = _t(spark, sf, "nation")
-    one, two = (n.select(F.col("n_nationkey").alias(f"k{s}"), F.col("n_name").alias(f"{s}_document")) for s in ("left", "right"))
-    return _decided(spark, sf).where("l_document_id = 5 or r_document_id = 5").join(one, F.col("kleft") == F.col("l_document_id"), "left").join(two, F.col("kright") == F.col("r_document_id"), "left").select("l_id", "r_id", "left_document", "right_document", "relation_type", "rule_id")
-
-
 @query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN o_totalprice WHEN 1 THEN -o_totalprice WHEN 2 THEN -o_totalprice ELSE floor(o_totalprice) END AS value FROM orders""")
 def parse_number(spark, sf):
     """UNT-1 on surface strings derived from typed values."""
@@ -300,7 +199,9 @@ def interval_relate(spark, sf):
 @query(f"WITH {VERDICTS} SELECT l_id, r_id, delta AS delta_relative, tol AS tolerance FROM p1 WHERE l_value_base IS NOT NULL AND r_value_base IS NOT NULL")
 def rounding_tolerance(spark, sf):
     """UNT-10..13."""
-    return _classified(spark, sf).where("l_value_base is not null and r_value_base is not null").select("l_id", "r_id", "delta_relative", "tolerance")
+    pairs = reconcile.measure_pairs(_facts(spark, sf), cap=reconcile.MOST_PARTNERS).where("l_value_base is not null and r_value_base is not null")
+    a, b = F.col("l_value_base"), F.col("r_value_base")
+    return pairs.select("l_id", "r_id", units.relative_difference(a, b).alias("delta_relative"), units.rounding_tolerance(a, b, F.col("l_unit_class")).alias("tolerance"))
 
 
 @query("""WITH d AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, year(o_orderdate) + CASE WHEN month(o_orderdate) >= 4 THEN 1 ELSE 0 END AS fy, CAST((month(o_orderdate) + 8) % 12 // 3 + 1 AS INT) AS q FROM orders)
@@ -317,11 +218,10 @@ def parse_period(spark, sf):
     return _t(spark, sf, "orders").select("o_orderkey", periods.parse_period(label).alias("p")).select("o_orderkey", "p.kind", F.col("p.start").alias("period_start"), F.col("p.end").alias("period_end"))
 
 
-@query(f"WITH {FACTS} SELECT id, lower(concat_ws('|', entity, CAST(measure_id AS VARCHAR), 'segment=' || segment, strftime(period_start, '%Y-%m-%d'), basis)) AS claim_key FROM facts")
+@query(f"""WITH {FACTS} SELECT id, lower(concat_ws(' | ', nullif(entity, ''), CAST(measure_id AS VARCHAR), nullif(concat_ws(' ', 'definition=' || definition, 'geography=' || geography, 'segment=' || segment), ''), period_label, nullif(basis, ''))) AS claim_key FROM facts""")
 def claim_key(spark, sf):
     """NRM-17."""
-    q = F.map_filter(F.create_map(F.lit("segment"), "segment"), lambda k, v: v.isNotNull())
-    return _facts(spark, sf).select("id", text.claim_key(F.col("entity"), F.col("measure_id").cast("string"), q, F.date_format("period_start", "yyyy-MM-dd"), F.col("basis")).alias("claim_key"))
+    return _facts(spark, sf).select("id", text.claim_key(F.col("entity"), F.col("measure_id").cast("string"), F.col("qualifiers"), F.col("period_label"), F.col("basis")).alias("claim_key"))
 
 
 @query("""SELECT s_suppkey, trim(regexp_replace(lower(s_name), '[^a-z0-9]+', ' ', 'g')) AS alias_key, true AS same FROM supplier""")
@@ -338,16 +238,7 @@ def classify_page(spark, sf):
     """CLS-1, CLS-2, AGG-3."""
     s = text.page_signals(F.col("text"))
     rows = _t(spark, sf, "documents").select(*[c.alias(k) for k, c in s.items()])
-    return rows.groupBy(text.classify(F.col("words"), F.col("numeric_share"), F.col("sentence_density")).alias("page_type")).agg(_count())
-
-
-@query("""WITH q AS (SELECT doc_id, text, CASE WHEN doc_id % 3 = 0 THEN 'no such quote ' || doc_id ELSE substring(text, 5, 20) END AS quote FROM documents), c AS (SELECT doc_id, CAST((length(text) - length(replace(text, quote, ''))) / length(quote) AS INT) AS n, instr(text, quote) AS pos FROM q WHERE length(quote) > 0)
-SELECT doc_id, CASE WHEN n = 0 THEN 'quote_not_found' WHEN n > 1 THEN 'ambiguous_short_quote' ELSE 'grounded' END AS outcome, pos AS evidence_start FROM c""")
-def ground_exact(spark, sf):
-    """GRD-1, GRD-5, TXT-3 (exact branch)."""
-    d = _t(spark, sf, "documents").withColumn("quote", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("no such quote "), F.col("doc_id").cast("string"))).otherwise(F.substring("text", 5, 20))).where("length(quote) > 0")
-    n = text.occurrences(F.col("text"), F.col("quote"))
-    return d.select("doc_id", F.when(n == 0, "quote_not_found").when(n > 1, "ambiguous_short_quote").otherwise("grounded").alias("outcome"), F.instr("text", F.col("quote")).alias("evidence_start"))
+    return rows.groupBy(text.page_type({k: F.col(k) for k in s}).alias("page_type")).agg(_count())
 
 
 @query("""WITH v AS (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'contradicts' WHEN 1 THEN 'reconciled' WHEN 2 THEN 'corroborates' ELSE 'unrelated' END AS f, CASE o_orderkey % 3 WHEN 0 THEN 'contradicts' WHEN 1 THEN 'reconciled' ELSE 'corroborates' END AS s, (o_orderkey % 10)::DOUBLE / 10 AS c1, (o_orderkey % 7)::DOUBLE / 7 AS c2 FROM orders)
@@ -375,11 +266,14 @@ def registry_stats(spark, sf):
     return m.agg(n.alias("measures"), F.count_if(F.col("documents") > 1).alias("shared"), F.round(F.count_if(F.col("documents") > 1) / n, 4).alias("shared_rate"), F.max("facts").alias("most_facts"))
 
 
-@query(f"WITH {FACTS} SELECT 'segment' AS key, segment AS value, count(*) AS n FROM facts WHERE segment IS NOT NULL GROUP BY 2")
+@query(f"""WITH {FACTS}, q AS (SELECT 'segment' AS key, segment AS value FROM facts UNION ALL SELECT 'geography', geography FROM facts UNION ALL SELECT 'definition', definition FROM facts)
+SELECT key, count(*) AS facts, array_to_string(list_sort(list(DISTINCT value))[1:200], ', ') AS values, row_number() OVER (ORDER BY count(*) DESC, key) AS place FROM q WHERE value IS NOT NULL GROUP BY key""")
 def qualifier_values(spark, sf):
-    """AGG-12, JSN-5, SRT-6."""
-    q = F.map_filter(F.create_map(F.lit("segment"), "segment"), lambda k, v: v.isNotNull())
-    return _facts(spark, sf).select(F.explode(q)).groupBy("key", "value").agg(_count())
+    """AGG-11, AGG-12, JSN-5, JSN-6, SRT-6: each qualifier's facts and its sorted distinct values, 200 at most, most used first."""
+    used = _facts(spark, sf).select(F.explode("qualifiers")).groupBy("key", "value").agg(_count())
+    ranked = used.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("value")))
+    keys = ranked.groupBy("key").agg(F.sum("n").alias("facts"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("r") <= 200, F.col("value")))), ", ").alias("values"))
+    return keys.withColumn("place", F.row_number().over(Window.orderBy(F.desc("facts"), "key"))).orderBy("place")
 
 
 @query(f"WITH {VERDICTS}, o AS (SELECT l_id, r_id, 'old' AS relation_type FROM decided WHERE l_id % 3 = 0), n AS (SELECT l_id, r_id, relation_type FROM decided WHERE l_id % 2 = 0) SELECT * FROM n UNION ALL SELECT * FROM o WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.l_id = o.l_id AND n.r_id = o.r_id)")
@@ -417,8 +311,11 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return registered()
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return sql_of()
+
+
+from claimloom.plans import matching, normalised, views  # noqa: E402, F401  they register their queries

@@ -11,7 +11,7 @@ def values(spark, rows, build, schema):
 
 
 def test_numbers_scales_currencies(spark):
-    cases = {"8,142": 8142, "1,23,456": 123456, "81,419.7": 81419.7, "(1,234.5)": -1234.5, "12.5%": 12.5, "-3.2": -3.2, ".75": 0.75, "no digits here": None, "": None, "−7": -7, "(-7)": 7}
+    cases = {"6,318": 6318, "4,56,789": 456789, "63,177.4": 63177.4, "(1,234.5)": -1234.5, "12.5%": 12.5, "-3.2": -3.2, ".75": 0.75, "no digits here": None, "": None, "−7": -7, "(-7)": 7}
     assert values(spark, [(k,) for k in cases], units.parse_number(F.col("s")), "s string") == list(cases.values())
     scales = {"Crore": 1e7, "mn": 1e6, "Lakhs": 1e5, "250": 250.0, "none": None, "bn": 1e9}
     assert values(spark, [(k,) for k in scales], units.normalize_scale(F.col("s")), "s string") == list(scales.values())
@@ -19,7 +19,7 @@ def test_numbers_scales_currencies(spark):
     assert values(spark, [(k,) for k in money], units.normalize_currency(F.col("s")), "s string") == list(money.values())
 
 
-@pytest.mark.parametrize("a,b,kind,same", [(8142e7, 81419.7e6, "currency", True), (8142e7, 7224e7, "currency", False), (76e7, 758e6, "currency", True), (6.5, 6.6, "ratio", False), (8.2, 6.5, "ratio", False), (4.9, 4.94, "ratio", True), (0.0, 0.0, "count", True)])
+@pytest.mark.parametrize("a,b,kind,same", [(6318e7, 63177.4e6, "currency", True), (6318e7, 5521e7, "currency", False), (43e7, 427e6, "currency", True), (3.1, 3.2, "ratio", False), (9.4, 7.0, "ratio", False), (2.7, 2.73, "ratio", True), (0.0, 0.0, "count", True)])
 def test_tolerance(spark, a, b, kind, same):
     x, y = F.col("a"), F.col("b")
     assert values(spark, [(a, b, kind)], units.relative_difference(x, y) <= units.rounding_tolerance(x, y, F.col("k")), "a double, b double, k string") == [same]
@@ -57,7 +57,7 @@ def test_periods(spark):
 
 
 def test_names_and_claim_keys(spark):
-    pairs = [("Acme Limited", "Acme Ltd", True), ("The Acme Co.", "acme", True), ("Acme Limited", "Acme Corp Limited, United Kingdom", False), ("Acme Limited", "Acme USA Inc", False), ("Beta Acme", "Acme Beta Ltd", True)]
+    pairs = [("Acme Limited", "Acme Ltd", True), ("The Acme Co.", "acme", True), ("Acme Limited", "Acme Corp Limited, Northern Branch", False), ("Acme Limited", "Acme USA Inc", False), ("Beta Acme", "Acme Beta Ltd", True)]
     assert values(spark, [p[:2] for p in pairs], text.same_organisation(F.col("a"), F.col("b")), "a string, b string") == [p[2] for p in pairs]
     key = text.claim_key(F.lit("Acme"), F.lit("Revenue"), F.create_map(F.lit("segment"), F.lit("Retail"), F.lit("geography"), F.lit("X")), F.lit(None).cast("string"), F.lit("actual"))
-    assert values(spark, [(1,)], key, "x int") == ["acme|revenue|geography=x;segment=retail|actual"]
+    assert values(spark, [(1,)], key, "x int") == ["acme | revenue | geography=x segment=retail | actual"]

@@ -1,9 +1,10 @@
 import json
+import random
 
 import pytest
 
 from claimloom.functions import jsontext as J
-from claimloom.functions import unittext as U
+from claimloom.functions import fuzzy as Z
 
 
 @pytest.mark.parametrize("text,want", [
@@ -20,21 +21,36 @@ def test_salvage(text, want):
     assert (lambda s: s and json.loads(s))(J.salvage(text)) == want
 
 
-@pytest.mark.parametrize("text,want", [
-    ("(All amounts in Indian Rupees in million, unless otherwise stated)", ("INR", 1e6)), ("(₹ in crore)", ("INR", 1e7)), ("Rs. in lakhs", ("INR", 1e5)), ("(US$ billion)", ("USD", 1e9)), ("figures in thousands", (None, 1e3)),
-    ("Notes to the consolidated financial statements", (None, None)), ("a total of 5,000 done", (None, None)), (None, (None, None)), ("in thousands here, (₹ in crore) there", ("INR", 1e7)),
-])
-def test_declaration(text, want):
-    assert U.declaration(text) == want
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
 
 
-@pytest.mark.parametrize("unit,currency,want", [
-    ("Cr", "INR", ("currency", 1e7)), ("million", "INR", ("currency", 1e6)), ("%", None, ("ratio", 1.0)), ("bps", None, ("ratio_change", 0.01)), ("percentage points", None, ("ratio_change", 1.0)), ("'000 Tons", None, ("mass", 1e6)),
-    ("Mn shipments", None, ("count", 1e6)), ("days", None, ("duration", 1.0)), ("teu", None, ("other:teu", 1.0)), ("₹ lakh crore", None, ("currency", 1e12)), ("sq km", None, ("area", 1.0)), ("facilities", None, ("count", 1.0)), ("million", None, ("count", 1e6)),
-])
-def test_resolve(unit, currency, want):
-    assert U.resolve(unit, None, currency)[1:3] == want
+def subsequence(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+def test_distances_equal_the_plain_tables():
+    rng = random.Random(3)
+    for _ in range(400):
+        a, b = ("".join(rng.choice("abcd é") for _ in range(rng.randint(0, 90))) for _ in range(2))
+        assert Z.edit_distance(a, b) == distance(a, b) and Z.common_subsequence(a, b) == subsequence(a, b)
 
 
-def test_resolve_nothing():
-    assert U.resolve("", None, None) is None and U.resolve(None) is None
+def test_places_of_quotes():
+    page = "Income  from “Food – drink” rose.\nThe net-\nwork grew by 12% in the north, as planned."
+    assert page[slice(*Z.locate(page, 'income from "food - drink"')[:2])] == "Income  from “Food – drink”"
+    assert page[slice(*Z.locate(page, "THE NETWORK grew")[:2])] == "The net-\nwork grew"
+    start, end, score, exact = Z.locate(page, "network grewe by 12% in teh north")
+    assert 82 <= score < 100 and not exact and "12% in the nor" in page[start:end]
+    assert Z.locate(page, "nothing of the kind here at all") is None and Z.locate("", "x") is None and Z.locate(page, " ") is None
+    assert Z.locate_cell(page, "jjj qqq zzz | grew by 12% in", "12%")[3] and Z.locate_cell(page, "one cell", "x") is None
