@@ -21,10 +21,12 @@ BATCH_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir``, else a private one (tests)."""
+    """Folder that driver and executors share: ``spark.checkpoint.dir``, else a private one (local master only, as in tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="claimloom-")
@@ -103,6 +105,11 @@ def shielded(docs: DataFrame, *own: str) -> tuple[DataFrame, Callable[[DataFrame
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate (256 MB where it has none); widths and bucket counts follow from it, never results."""
+    """Size of df's (doc_id, text …) rows: Catalyst's estimate, or, where it has none, twice the texts' bytes as counted.
+
+    Widths and bucket counts follow from it, never results.
+    """
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return size if size < 1 << 60 else 256 << 20
+    if size < 1 << 60:
+        return size
+    return 2 * int(df.agg(F.sum(F.octet_length("text"))).first()[0] or 0)

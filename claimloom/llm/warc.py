@@ -39,6 +39,8 @@ LEAST_REVISIT = 100
 #: Bytes of a range, and of an archive file before the next is begun.
 RANGE_BYTES = 8 << 20
 FILE_BYTES = 256 << 20
+#: Tasks that ranges are dealt to, at most; a task takes several ranges then, one after the other.
+MOST_TASKS = 20_000
 
 MAGIC = b"\x1f\x8b\x08"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -172,9 +174,12 @@ _READ_ARROW = pa.schema([("page_id", pa.int64()), ("target_uri", pa.string()), (
 
 
 def read(spark: SparkSession, files: list[tuple[str, int]], range_bytes: int = RANGE_BYTES, payloads: bool = True) -> DataFrame:
-    """Records of the archives, one task a byte range."""
-    ranges = [(f, a, min(a + range_bytes, n), n) for f, n in files for a in range(0, n, range_bytes)]
-    source = spark.createDataFrame(ranges, "file string, start long, stop long, size long").repartition(max(1, len(ranges)))
+    """Records of the archives, each range of bytes read on its own; the driver lists files, ranges are made by the tasks."""
+    total = sum(-(-n // range_bytes) for _, n in files)
+    listed = spark.createDataFrame(files, "file string, size long")
+    ranges = listed.where("size > 0").select("file", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(range_bytes).cast("long"))).alias("start"))
+    ranges = ranges.select("file", "start", F.least(F.col("start") + range_bytes, F.col("size")).alias("stop"), "size")
+    source = ranges.repartition(max(1, min(total, MOST_TASKS)), "file", "start")
 
     def task(batches):
         for batch in batches:
@@ -184,7 +189,8 @@ def read(spark: SparkSession, files: list[tuple[str, int]], range_bytes: int = R
                     held = [f.read_at(min(r["stop"] + len(MAGIC), r["size"]) - r["start"], r["start"])]
 
                     def more(n, f=f, r=r, held=held):
-                        held[0] += f.read_at(min(1 << 20, r["size"] - r["start"] - n), r["start"] + n)
+                        # doubling: what was read is copied a bounded number of times, however long a record is
+                        held[0] += f.read_at(min(max(1 << 20, n), r["size"] - r["start"] - n), r["start"] + n)
                         return held[0]
 
                     rows, size = [], 0
