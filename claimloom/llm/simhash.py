@@ -10,7 +10,8 @@ shard emits a spanning forest (each member to its local root), never the pairs o
 forests are joined by connected components.
 
 Only distinct fingerprints enter the tree, so a group of exact copies is one point. The tree's
-leaf count is bounded by the sample; a leaf's rows are 16 bytes each, compared in blocks.
+leaf count is bounded by the sample; a leaf's rows are 16 bytes each. A shard that has outgrown the
+leaf size grows a tree of its own, so comparisons don't grow with the square of a shard.
 
 Defined cases: null, empty and word-free text has fingerprint zero, linked like any other; text of
 fewer words than a shingle is one shingle; repeated rows and equal ids are rows of their own; a
@@ -150,6 +151,23 @@ def forest(points: np.ndarray, within: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([none, *roots]), np.concatenate([none, *members])
 
 
+def leaf_forest(points: np.ndarray, within: int, leaf_size: int = LEAF) -> tuple[np.ndarray, np.ndarray]:
+    """forest() of a shard of any size: one that outgrew leaf_size gets a vantage-point tree of its own, over its own points.
+
+    Branches that border a vantage point's radius are searched on both sides again, so no pair is lost, and equal
+    pairs found twice are no harm to a spanning forest's components.
+    """
+    if len(points) <= 2 * leaf_size:
+        return forest(points, within)
+    tree = VantageTree(points, 1.0, within, leaf_size)
+    if tree.leaves < 2:
+        return forest(points, within)
+    at, leaf = tree.route(points)
+    order = np.argsort(leaf, kind="stable")
+    found = [forest(points[own], within) for own in np.split(at[order], np.flatnonzero(np.diff(leaf[order])) + 1)]
+    return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
+
+
 def links(fps: DataFrame, within: int = WITHIN, leaf_size: int = LEAF, sample: int = SAMPLE) -> DataFrame:
     """fps (fp: distinct, not null) → spanning edges (a, b) of all pairs within so many bits."""
     spark = fps.sparkSession
@@ -167,7 +185,7 @@ def links(fps: DataFrame, within: int = WITHIN, leaf_size: int = LEAF, sample: i
 
     def compare(shard: pa.Table) -> pa.Table:
         points = np.unique(shard.column("fp").to_numpy().view(np.uint64))
-        root, member = forest(points, within)
+        root, member = leaf_forest(points, within, leaf_size)
         return pa.table({"a": pa.array(root.view(np.int64)), "b": pa.array(member.view(np.int64))})
 
     shards = map_arrow(fps, route, "leaf int, fp long")

@@ -60,6 +60,19 @@ def test_tree_loses_no_pair():
         assert len(member) + len(set(root.tolist())) == linked
 
 
+def test_outgrown_shard_gets_its_own_tree():
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 2**63, 4000, dtype=np.uint64)
+    near = base[:1500] ^ (np.uint64(1) << rng.integers(0, 64, 1500, dtype=np.uint64))
+    points = np.unique(np.concatenate([base, near, near[:300] ^ (np.uint64(3) << rng.integers(0, 62, 300, dtype=np.uint64))]))
+    place = {int(p): i for i, p in enumerate(points)}
+    parts = []
+    for size in (100, 10_000):
+        a, b = S.leaf_forest(points, 2, size)
+        parts.append(connected([(place[int(x)], place[int(y)]) for x, y in zip(a, b)], len(points)))
+    assert parts[0] == parts[1] and len(set(parts[0])) < len(points) - 1500
+
+
 def test_components(spark):
     random.seed(3)
     edges = [(random.randrange(300), random.randrange(300)) for _ in range(180)] + [(1000, i) for i in range(1001, 1200)] + [(i, i + 1) for i in range(2000, 2060)] + [(5, None), (7, 7)]
