@@ -65,12 +65,29 @@ def test_real_rows_move_little(spark):
     for r in rows:
         sizes[r.old_shard].append(r.size)
     moved = sum(r.size for r in rows if r.moved)
-    assert moved <= 1.3 * least_bytes(sizes, 8)  # ranks in a size class aren't by size
+    assert moved == least_bytes(sizes, 8)
 
 
 def test_rewrite_leaves_untouched_shards(spark, tmp_path):
     rows = spark.createDataFrame([(i, i % 2, 10) for i in range(20)] + [(100 + i, 2, 10) for i in range(16)] + [(200 + i, 3, 10) for i in range(4)] + [(300 + i, 4, 10) for i in range(10)], "id long, old int, size long")
-    placed = R.reshard(rows, "old", "size", ["id"], 5)
-    assert R.rewrite(placed, "old", str(tmp_path / "out")) == [0, 1, 4]
+    made = R.plan(rows, "old", "size", ["id"], 5)
+    placed = R.place(rows, made, "old", "size", ["id"])
+    assert made.touched(5) == [2, 3]
+    R.rewrite(placed, made.touched(5), str(tmp_path / "out"))
     back = spark.read.parquet(str(tmp_path / "out"))
     assert {(r.shard, r["count"]) for r in back.groupBy("shard").count().collect()} == {(2, 10), (3, 10)}
+
+
+def test_cuts_are_exact_and_the_fewest_bytes_move(spark):
+    rng = random.Random(6)
+    for shards, n in ((3, 200), (5, 60), (2, 7)):
+        data = [(i, rng.randrange(5), rng.choice([rng.randint(1, 50), rng.randint(1, 3_000_000_000)])) for i in range(n)] + [(n + i, 0, 40) for i in range(n // 2)]
+        rows = spark.createDataFrame(data, "id long, old int, size long").repartition(3)
+        light = rows.selectExpr("old as _old", "size as _size")
+        ranks = {o: rng.randrange(len([1 for r in data if r[1] == o])) for o in {r[1] for r in data}}
+        assert R.cut_sizes(light, ranks) == {o: sorted(r[2] for r in data if r[1] == o)[k] for o, k in ranks.items()}
+        placed = R.reshard(rows, "old", "size", ["id"], shards).collect()
+        sizes = defaultdict(list)
+        for r in data:
+            sizes[r[1]].append(r[2])
+        assert sum(r.size for r in placed if r.moved) == least_bytes(sizes, shards) and len(placed) == len(data)
