@@ -7,8 +7,8 @@ such a place, nor does an added token.) The steps:
 1. each task reads a block of documents and lists the block's distinct words by hash bucket;
 2. a bucket's task holds the words of that bucket from all blocks, encodes each distinct word once,
    and answers every block with ids in the order of its list;
-3. documents and answers meet by block: word positions pick up their ids, and ids are decoded
-   through the table of id and piece, whose size the vocabulary bounds.
+3. documents and answers meet by block: word positions pick up their ids, and the ids of the block's
+   distinct words are decoded by a join with the table of id and piece, whose size the vocabulary bounds.
 
 What moves is one list entry per block and distinct word, the answers, and the documents once
 (compressed). A bucket's task streams its lists and holds one bucket's distinct words. Blocks are
@@ -28,6 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -41,6 +42,8 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 BLOCK_BYTES = 32 << 20
 BUCKET_BYTES = 8 << 20
 MOST_BUCKETS = 16_384
+#: Distinct words that one join decodes.
+JOINED_WORDS = 50_000
 _DOCS = -1
 _LATER_SPACE = re.compile(r"\s ")
 _PIECES = "block long, bucket int, data binary"
@@ -125,12 +128,32 @@ class Codec:
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.pieces = piece_table(self.tokenizer)
+        table = piece_table(self.tokenizer)
+        self.pieces = pa.table({"id": pa.array(list(table), pa.int64()), "piece": pa.array(list(table.values()), pa.binary())})
 
     def encode(self, words: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
 
+def decoded_words(pieces: pa.Table, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
+    """Text of each word (counts: its number of ids) by a join of ids and pieces on the id, put back in order."""
+    out: list[bytes] = []
+    at = 0
+    for lo in range(0, len(counts), JOINED_WORDS):
+        n = counts[lo : lo + JOINED_WORDS]
+        some = ids[at : at + int(n.sum())].astype(np.int64)
+        at += len(some)
+        joined = pa.table({"id": some, "place": np.arange(len(some))}).join(pieces, "id", join_type="inner").sort_by("place")
+        if joined.num_rows != len(some):
+            raise ValueError("an id has no piece")
+        piece = pa.concat_arrays(joined.column("piece").chunks) if joined.num_rows else pa.array([], pa.binary())
+        lengths = np.concatenate([[0], np.cumsum(pc.binary_length(piece).to_numpy(zero_copy_only=False))]).astype(np.int64)
+        data = b"".join(piece.to_pylist())
+        ends = lengths[np.cumsum(n)].tolist()
+        out += [data[a:z] for a, z in zip([0, *ends], ends)]
+    return out
+
+
 def piece_table(tokenizer: Tokenizer) -> dict[int, bytes]:
     """id → bytes of its piece; a token outside the byte alphabet stands for its own characters."""
     visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -229,13 +252,7 @@ def encoded(docs: DataFrame, path: str = TOKENIZER, output: str = "digests", blo
         count = np.concatenate(counts).astype(np.int64) if counts else np.zeros(0, np.int64)
         flat = np.concatenate(flats) if flats else np.zeros(0, "<u4")
         start = np.cumsum(count) - count
-        pieces = codec.pieces
-        decoded = []
-        for lo in range(0, len(count), 10_000):  # each distinct word is decoded once
-            first_id = int(start[lo])
-            last_id = int(start[min(lo + 10_000, len(count)) - 1] + count[min(lo + 10_000, len(count)) - 1])
-            listed, at_ids = flat[first_id:last_id].tolist(), (start[lo : lo + 10_000] - first_id).tolist()
-            decoded += [b"".join([pieces[i] for i in listed[a : a + n]]) for a, n in zip(at_ids, count[lo : lo + 10_000].tolist())]
+        decoded = decoded_words(codec.pieces, flat, count)  # each distinct word is decoded once
         n_tokens, first, second = [], [], []
         for t in texts_in(block):
             ws = words_of(t)
@@ -254,7 +271,9 @@ def encoded(docs: DataFrame, path: str = TOKENIZER, output: str = "digests", blo
     answers = lists.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(encode_once, _PIECES)
     packed = own.mapInArrow(pack_documents, _PIECES)
     last = "ids_sha256 string, decoded_sha256 string" if output == "digests" else "ids array<int>, decoded string"
-    return packed.unionByName(answers).groupBy("block").applyInArrow(put_back, f"doc_id long, n_tokens long, {last}")
+    # a block's pieces meet in one task, which has about one block
+    tasks = max(16, 2 * input_bytes(own) // block_bytes)
+    return packed.unionByName(answers).repartition(tasks, "block").groupBy("block").applyInArrow(put_back, f"doc_id long, n_tokens long, {last}")
 
 
 def decode(rows: DataFrame, ids: str = "ids", path: str = TOKENIZER, out: str = "decoded") -> DataFrame:
