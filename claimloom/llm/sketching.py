@@ -53,6 +53,11 @@ def bucket_count(size: int) -> int:
     return max(16, min(MOST_BUCKETS, size // BUCKET_BYTES))
 
 
+def block_tasks(size: int, block_bytes: int) -> int:
+    """Tasks that blocks are dealt to: about one block each, texts being twice as large as stored."""
+    return max(16, 2 * size // block_bytes)
+
+
 def width(size: int, shift: int) -> int:
     """Bits of a sketch row for so many input bytes and one anchor in 2**shift bytes or so."""
     return max(SLICE, min(MOST_BITS, (max(size, 1) >> shift).bit_length()))

@@ -1,8 +1,9 @@
 """Repeated word windows behind a count-min prefilter.
 
 First pass: every partition sketches the anchors of its windows (see sketching), and the sketches
-are merged. Second pass: only windows that the merged sketch estimates to be repeated are grouped
-exactly, by 96 bits of two rolling hashes over word hashes: each block lists its distinct window
+are merged; a window's anchor occurs as often as the window or oftener. Second pass: only windows that the merged
+sketch estimates to be repeated are grouped, by 96 bits: two rolling hashes, each over word hashes of its own,
+so that no single word's hash decides. Each block lists its distinct window
 hashes by bucket with "once" or "more", a bucket's task adds up the lists of all blocks and answers
 each with a bit per entry, and blocks apply their answers to their documents. Listing distinct
 windows per block is the pre-aggregation: a passage in a third of all documents is one entry a block.
@@ -26,24 +27,15 @@ from claimloom.llm.common import plain
 
 WINDOW = 35
 GRAM = 16
-#: Word hashes that a task remembers.
-MEMO_WORDS = 400_000
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 
 
-class _Memo(dict):
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(self) < MEMO_WORDS:
-            self[word] = h
-        return h
-
-
-_memo = _Memo()
-
-
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_memo.__getitem__, words), np.uint64, len(words))
+def word_hashes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of each word; every distinct word is hashed once."""
+    coded = pa.array(words, pa.binary()).dictionary_encode()
+    both = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, coded.dictionary.to_pylist())), ">u8").reshape(-1, 2).astype(np.uint64)
+    at = coded.indices.to_numpy(zero_copy_only=False)
+    return both[at, 0], both[at, 1]
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -60,11 +52,11 @@ def rolling(codes: np.ndarray, n: int, base: int) -> np.ndarray:
     return K.mix((total[n:] - total[:-n]) * down) if len(codes) >= n else np.zeros(0, np.uint64)
 
 
-def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes of the texts one after the other, and where each begins (with the end)."""
+def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two hashes of the texts' words one after the other, and where each text begins (with the end)."""
     words = [t.split() for t in texts]
     begin = np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int64)
-    return word_hashes([w for ws in words for w in ws]), begin
+    return *word_hashes([w for ws in words for w in ws]), begin
 
 
 def _whole(begin: np.ndarray, n: int, length: int) -> np.ndarray:
@@ -83,7 +75,7 @@ def _anchors(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def anchors_of(texts: list[bytes]) -> np.ndarray:
     """Anchors of all windows, each document on its own."""
     out = [np.zeros(0, np.uint64)]
-    codes, begin = _joined(texts)
+    codes, _, begin = _joined(texts)
     for a, z in zip(begin[:-1], begin[1:]):
         if z - a >= WINDOW:
             grams, anchors = _anchors(codes[a:z])
@@ -95,14 +87,14 @@ def _windows(texts: list[bytes], repeated: K.Repeated) -> tuple[np.ndarray, np.n
     """Windows estimated repeated: (document, first word, 64 bits, 32 bits)."""
     parts = [(np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint32))]
     for lo, hi in K.groups(texts):
-        codes, begin = _joined(texts[lo:hi])
+        codes, others, begin = _joined(texts[lo:hi])
         if len(codes) < WINDOW:
             continue
         _, anchors = _anchors(codes)
         at = np.flatnonzero(_whole(begin, WINDOW, len(codes)))
         at = at[repeated(anchors[at])]
         if len(at):
-            a, b = rolling(codes, WINDOW, _BASES[0])[at], rolling(codes, WINDOW, _BASES[1])[at]
+            a, b = rolling(codes, WINDOW, _BASES[0])[at], rolling(others, WINDOW, _BASES[1])[at]
             doc = np.searchsorted(begin, at, "right") - 1
             parts.append(((lo + doc).astype(np.int32), at - begin[doc], a, (b >> np.uint64(32)).astype(np.uint32)))
     return tuple(np.concatenate(c) for c in zip(*parts))
@@ -196,7 +188,7 @@ def removed(docs: DataFrame, finish, schema: str, buckets: int | None = None, bl
         return finish(ids, texts, masks)
 
     found = blocks.mapInArrow(lists, K.PIECES).repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_tally, K.PIECES)
-    return blocks.unionByName(found).groupBy("block").applyInArrow(apply, schema)
+    return blocks.unionByName(found).repartition(K.block_tasks(size, block_bytes), "block").groupBy("block").applyInArrow(apply, schema)
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:

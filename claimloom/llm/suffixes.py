@@ -374,7 +374,7 @@ def removed(docs: DataFrame, finish, schema: str, buckets: int | None = None, bl
         return finish(ids, texts, found.masks(np.concatenate([np.zeros(0, np.int64), *gains])))
 
     answers = blocks.mapInArrow(lists, K.PIECES).repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_merge_bucket, K.PIECES)
-    return blocks.unionByName(answers).groupBy("block").applyInArrow(apply, schema)
+    return blocks.unionByName(answers).repartition(K.block_tasks(size, block_bytes), "block").groupBy("block").applyInArrow(apply, schema)
 
 
 def kept(text: bytes, mask: np.ndarray) -> bytes:
