@@ -72,3 +72,14 @@ def extract_json(text: Column) -> Column:
 
 def salvage_json(text: Column) -> Column:
     return F.pandas_udf(lambda xs: xs.map(salvage), T.StringType())(text)
+
+
+def by_page(answers, first_page: str = "first_page", pages: str = "pages", text: str = "text"):
+    """JSN-4: answers to several pages at once (pages: their numbers) as rows page_number, fact.
+
+    text is JSON {"facts": [{"page_number": …, …}]}; a fact of no page, or of one that wasn't asked for, is the first page's.
+    """
+    facts = F.from_json(F.get_json_object(text, "$.facts"), "array<string>")
+    rows = answers.withColumn("_fact", F.explode(facts))
+    number = F.get_json_object("_fact", "$.page_number").try_cast("int")
+    return rows.select(F.when(F.array_contains(pages, number), number).otherwise(F.col(first_page)).alias("page_number"), F.col("_fact").alias("fact"))

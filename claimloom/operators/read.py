@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from claimloom.functions.text import plain_letters
+
 
 def filter_facts(facts: DataFrame, start: str | None = None, end: str | None = None, least_confidence: float | None = None, **equal) -> DataFrame:
     """FLT-1..3: equality filters (falsy: no filter), period overlap (null periods drop out), least confidence."""
@@ -30,9 +32,49 @@ def with_relations(facts: DataFrame, relations: DataFrame, has: bool = True) ->
     return facts.join(endpoints(relations), "id", "left_semi" if has else "left_anti")
 
 
+#: Words that a search query leaves out, and how many of the others it takes.
+STOP_WORDS = ("the", "and", "for", "with", "from", "that", "this", "its", "was", "were", "has", "had", "are", "per", "total", "limited", "ltd")
+QUERY_WORDS = 8
+
+
 def tokens(text: Column) -> Column:
-    """Search tokens: letters and digits, lower case."""
-    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
+    """Search tokens: letters and digits of any script, lower case, letters with marks as plain ones."""
+    return F.filter(F.split(plain_letters(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+
+
+def query_words(text: Column) -> Column:
+    """LEX-1: the first distinct words of three letters or more that say something."""
+    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}_]+"), lambda w: (F.length(w) > 2) & ~w.isin(*STOP_WORDS))
+    return F.slice(F.array_distinct(words), 1, QUERY_WORDS)
+
+
+def search_any_column(df: DataFrame, columns: list[str], query: str) -> DataFrame:
+    """FLT-5: rows in whose columns, taken together, every token of the query occurs."""
+    return search_all(df.withColumn("_all", F.concat_ws(" ", *columns)), "_all", query).drop("_all")
+
+
+def lexical_neighbours(facts: DataFrame, k: int = 8, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """JON-8, LEX-1, LEX-2: facts (id, text) with the k best others by BM25 of their query words: (l_id, r_id, score, rank).
+
+    Words meet words in an equi-join; distinct queries are scored once (LEX-4) and joined back.
+    """
+    own = facts.select("id", tokens(F.col("text")).alias("t")).select("id", F.size("t").alias("dl"), "t")
+    stats = own.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
+    tf = own.select("id", "dl", F.explode("t").alias("term")).groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    df_ = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    asked = facts.select(F.col("id").alias("l_id"), F.array_sort(query_words(F.col("text"))).alias("q"))
+    queries = asked.select("q").distinct().select("q", F.explode("q").alias("term"))
+    idf = F.greatest(F.lit(1e-6), F.ln((F.lit(float(stats["n"])) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(float(stats["avgdl"] or 1.0))))
+    scored = queries.join(tf.join(df_, "term"), "term").groupBy("q", "id").agg(F.round(F.sum(part), 6).alias("score"))
+    best = scored.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k + 1)
+    pairs = asked.join(best, "q").where("id <> l_id").select("l_id", F.col("id").alias("r_id"), "score")
+    return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("l_id").orderBy(F.desc("score"), "r_id"))).where(F.col("rank") <= k)
+
+
+def by_distinct_key(rows: DataFrame, key: str, compute) -> DataFrame:
+    """LEX-4: compute(distinct keys) joined back to every row: what is dear is done once a key."""
+    return rows.join(compute(rows.select(key).where(F.col(key).isNotNull()).distinct()), key, "left")
 
 
 def search_all(df: DataFrame, text: str, query: str) -> DataFrame:
@@ -134,7 +176,10 @@ def unpivot(table: DataFrame, label: str, columns: list[str]) -> DataFrame:
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """SNK-6: new rows replace old ones of the same key."""
+    """SNK-6: new rows replace old ones of the same pair of keys, whichever comes first; pairs are kept least first."""
+    a, b = keys
+    tidy = lambda df: df.withColumns({a: F.least(a, b), b: F.greatest(a, b)})
+    old, new = tidy(old), tidy(new)
     return old.join(new.select(*keys), keys, "left_anti").unionByName(new)
 
 

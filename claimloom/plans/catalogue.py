@@ -299,7 +299,7 @@ def vector_topk(spark, sf):
 _TERMS = ["thonti", "edthe", "anble"]
 
 
-@query(f"""WITH w AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS t FROM documents), s AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM w), p AS (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM w) WHERE term IN ({", ".join(f"'{t}'" for t in _TERMS)}) GROUP BY ALL), d AS (SELECT term, count(*) AS df FROM p GROUP BY 1)
+@query(f"""WITH w AS (SELECT doc_id, list_filter(string_split_regex(strip_accents(lower(text)), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS t FROM documents), s AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM w), p AS (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM w) WHERE term IN ({", ".join(f"'{t}'" for t in _TERMS)}) GROUP BY ALL), d AS (SELECT term, count(*) AS df FROM p GROUP BY 1)
 SELECT doc_id, round(sum(greatest(1e-6, ln((n - df + 0.5) / (df + 0.5))) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 6) AS score FROM p JOIN d USING (term) CROSS JOIN s GROUP BY 1 ORDER BY score DESC, doc_id LIMIT 8""")
 def bm25_topk(spark, sf):
     """JON-8, LEX-1, LEX-2."""

@@ -182,3 +182,43 @@ def vector_neighbours(spark, sf):
     v = rows_of(spark, sf, "embeddings").select("vec_id", "embedding")
     twins = v.unionByName(v.where("vec_id % 50 = 0").select((-F.col("vec_id") - 1).alias("vec_id"), "embedding"))
     return read.vector_topk(twins, 50, 1, 0.82).where("q_id >= 0 and vec_id = -q_id - 1").groupBy("q_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH w AS (SELECT p_partkey AS id, lower(p_type || ' ' || p_brand) AS t FROM part), x AS (SELECT id, list_filter(regexp_split_to_array(t, '[^a-z0-9]+'), lambda v: v <> '') AS ts FROM w), s AS (SELECT count(*) AS n, avg(len(ts)) AS avgdl FROM x),
+tf AS (SELECT id, dl, term, count(*) AS tf FROM (SELECT id, len(ts) AS dl, unnest(ts) AS term FROM x) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+q AS (SELECT DISTINCT id AS l_id, term FROM (SELECT id, unnest(ts) AS term FROM x) WHERE length(term) > 2 AND term NOT IN ('the', 'and', 'for', 'with', 'from', 'that', 'this', 'its', 'was', 'were', 'has', 'had', 'are', 'per', 'total', 'limited', 'ltd')),
+sc AS (SELECT l_id, tf.id AS r_id, round(sum(greatest(1e-6, ln((n - df + 0.5) / (df + 0.5))) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 6) AS score FROM q JOIN tf USING (term) JOIN df USING (term) CROSS JOIN s GROUP BY 1, 2),
+b AS (SELECT *, row_number() OVER (PARTITION BY l_id ORDER BY score DESC, r_id) AS k FROM sc), p AS (SELECT l_id, r_id, score FROM b WHERE k <= 9 AND l_id <> r_id) SELECT * FROM (SELECT l_id, r_id, score, row_number() OVER (PARTITION BY l_id ORDER BY score DESC, r_id) AS rank FROM p) WHERE rank <= 8""")
+def lexical_neighbours(spark, sf):
+    """JON-8, LEX-1, LEX-2, LEX-4: every part's eight nearest by its words."""
+    parts = rows_of(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_type", "p_brand").alias("text"))
+    return read.lexical_neighbours(parts)
+
+
+#: Texts → query words.
+ASKED = [("The total cost of sales, and sales per unit", "cost,sales,unit"), ("a an of to", ""), ("One two three four five six seven eight nine ten", "one,two,three,four,five,six,seven,eight"), ("Été-2024 revenue (net)", "été,2024,revenue,net"), ("", "")]
+
+
+@query(_known([(c[1],) for c in ASKED], ["words"], ["VARCHAR"]))
+def query_words(spark, sf):
+    """LEX-1."""
+    return _dealt(spark, sf, ASKED, ["s"], ["string"]).select("o_orderkey", F.array_join(read.query_words(F.col("s")), ",").alias("words"))
+
+
+@query("SELECT o_orderkey, CASE k WHEN 0 THEN 5 WHEN 1 THEN 6 WHEN 2 THEN 5 ELSE 5 END AS page_number, o_orderkey * 10 + k AS v FROM orders, (VALUES (0), (1), (2), (3)) t(k)")
+def answers_by_page(spark, sf):
+    """JSN-4: an answer's facts go to the page they name, to the first one if that wasn't asked for."""
+    from claimloom.functions import jsontext
+
+    k = F.col("o_orderkey")
+    fact = lambda page, n: F.concat(F.lit('{"page_number": ' + page + ', "o": '), k.cast("string"), F.lit(', "v": '), (k * 10 + n).cast("string"), F.lit("}"))
+    text = F.concat(F.lit('{"facts": ['), F.concat_ws(", ", fact("5", 0), fact("6", 1), fact("77", 2), fact("null", 3)), F.lit("]}"))
+    rows = rows_of(spark, sf, "orders").select(text.alias("text"), F.lit(5).alias("first_page"), F.array(F.lit(5), F.lit(6)).alias("pages"))
+    found = jsontext.by_page(rows)
+    return found.select(F.get_json_object("fact", "$.o").cast("long").alias("o_orderkey"), "page_number", F.get_json_object("fact", "$.v").cast("long").alias("v"))
+
+
+@query("""SELECT doc_id, list_has_all(string_split_regex(lower(text || ' ' || source || ' ' || lang), '[^\\p{L}\\p{N}]+'), ['en', 'tion']) AS found FROM documents WHERE lang = 'en' AND list_has_all(string_split_regex(lower(text || ' ' || source || ' ' || lang), '[^\\p{L}\\p{N}]+'), ['en', 'tion'])""")
+def fact_search_columns(spark, sf):
+    """FLT-5 over several columns."""
+    return read.search_any_column(rows_of(spark, sf, "documents").where("lang = 'en'"), ["text", "source", "lang"], "EN, tion").select("doc_id", F.lit(True).alias("found"))

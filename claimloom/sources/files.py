@@ -1,4 +1,4 @@
-"""File sources and sinks: document registration, cached responses, exports, replace-by-document (SRC-11..14, SNK-1..8)."""
+"""File sources and sinks: document registration, cached responses, exports, replace-by-document (SRC-2, SRC-11..15, SNK-1..8)."""
 
 from __future__ import annotations
 
@@ -13,6 +13,21 @@ def collect(spark: SparkSession, path: str, pattern: str = "*.pdf") -> DataFrame
     return rows.groupBy("sha256").agg(F.min("path").alias("path"), F.min_by("length", "path").alias("byte_size"))
 
 
+#: Largest upload in bytes.
+MOST_BYTES = 100 << 20
+
+
+def refusals(files: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """SRC-11: files (content, length) with refused: empty (400), too_large (413), no_pdf (415), or null."""
+    pdf = F.substring("content", 1, 4) == F.lit(b"%PDF")
+    return files.withColumn("refused", F.when(F.col("length") == 0, "empty").when(F.col("length") > most_bytes, "too_large").when(~pdf, "no_pdf"))
+
+
+def page_subset(pages: DataFrame, numbers: list[int] | None = None) -> DataFrame:
+    """SRC-2: the named pages, or all."""
+    return pages if numbers is None else pages.where(F.col("page_number").isin(numbers))
+
+
 def not_ingested(files: DataFrame, documents: DataFrame) -> DataFrame:
     return files.join(documents.select("sha256"), "sha256", "left_anti")
 
@@ -36,9 +51,41 @@ def export(df: DataFrame, path: str, fmt: str = "csv") -> None:
     writer.option("header", "true").option("escape", '"').csv(path) if fmt == "csv" else writer.json(path)
 
 
-def replace_documents(df: DataFrame, path: str) -> None:
-    """SNK-7: rows of the given documents replace what the table holds of them; other documents stay."""
+def json_array(df: DataFrame, out) -> int:
+    """SNK-3: writes df's rows to a text stream as one JSON array, a partition at a time; returns their number."""
+    n = 0
+    out.write("[\n")
+    for r in df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("j")).toLocalIterator():
+        out.write((",\n" if n else "") + r["j"])
+        n += 1
+    out.write("\n]\n")
+    return n
+
+
+def snapshot(lists: dict[str, DataFrame], path: str) -> dict[str, int]:
+    """SNK-4: each list as JSON lines below path, in its own order; returns their counts."""
+    for name, df in lists.items():
+        df.write.mode("overwrite").json(f"{path}/{name}")
+    return {name: next(iter(lists.values())).sparkSession.read.text(f"{path}/{name}").count() for name in lists}
+
+
+def restored(spark: SparkSession, path: str, schemas: dict[str, str]) -> dict[str, DataFrame]:
+    """SRC-15: the lists of a snapshot, with their schemas."""
+    return {name: spark.read.schema(schema).json(f"{path}/{name}") for name, schema in schemas.items()}
+
+
+def replace_documents(df: DataFrame, path: str, documents: list[int] | None = None) -> None:
+    """SNK-7: rows of the given documents replace what the table holds of them; other documents stay.
+
+    documents: those that are replaced, which may have no rows any more; without it, those that df has rows of.
+    """
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("document_id").parquet(path)
+    spark = df.sparkSession
+    left = {r["document_id"] for r in df.select("document_id").distinct().collect()} if documents else set()
+    for number in documents or []:  # a stated list: documents of one call
+        if number not in left:
+            gone = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/document_id={number}")
+            gone.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(gone, True)
 
 
 def delete_documents(facts: DataFrame, relations: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:

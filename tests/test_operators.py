@@ -1,4 +1,6 @@
 import datetime as dt
+import io
+import json
 
 from pyspark.sql import functions as F
 
@@ -106,6 +108,32 @@ def test_sources_and_sinks(spark, tmp_path):
     assert {(r.document_id, r.v) for r in spark.read.parquet(str(tmp_path / "t")).collect()} == {(1, 'a,"b"'), (2, "new")}
 
 
+def test_refusals_arrays_snapshots_and_deleted_documents(spark, tmp_path):
+    kinds = spark.createDataFrame([(b"", 0), (b"%PDFx", 5), (b"%PDF" + b"y" * 50, 54), (b"junk", 4)], "content binary, length long")
+    assert [r.refused for r in files.refusals(kinds, 20).collect()] == ["empty", None, "too_large", "no_pdf"]
+    assert files.page_subset(spark.range(5).selectExpr("id as page_number"), [1, 3]).count() == 2
+    df = spark.createDataFrame([(1, "a"), (2, None), (3, 'q"')], "document_id int, v string")
+    text = io.StringIO()
+    assert files.json_array(df, text) == 3 and json.loads(text.getvalue()) == [{"document_id": 1, "v": "a"}, {"document_id": 2, "v": None}, {"document_id": 3, "v": 'q"'}]
+    empty = io.StringIO()
+    assert files.json_array(df.limit(0), empty) == 0 and json.loads(empty.getvalue()) == []
+    assert files.snapshot({"facts": df, "none": df.limit(0)}, str(tmp_path / "s")) == {"facts": 3, "none": 0}
+    back = files.restored(spark, str(tmp_path / "s"), {"facts": "document_id int, v string"})["facts"]
+    assert sorted(map(tuple, back.collect()), key=str) == sorted(map(tuple, df.collect()), key=str)
+    files.replace_documents(df, str(tmp_path / "t"))
+    files.replace_documents(df.where("document_id = 2"), str(tmp_path / "t"), [1, 2])
+    assert {r.document_id for r in spark.read.parquet(str(tmp_path / "t")).collect()} == {2, 3}
+    rel = spark.createDataFrame([(1, 2, 1), (2, 3, 4), (3, 4, 3)], "id int, l_document_id int, r_document_id int")
+    facts, rest = files.delete_documents(df, rel, spark.createDataFrame([(1,)], "document_id int"))
+    assert {r.document_id for r in facts.collect()} == {2, 3} and {r.id for r in rest.collect()} == {2, 3}
+
+
+def test_upsert_takes_pairs_in_either_order(spark):
+    old = spark.createDataFrame([(1, 2, "old"), (5, 3, "old")], "l_id int, r_id int, t string")
+    new = spark.createDataFrame([(2, 1, "new")], "l_id int, r_id int, t string")
+    assert sorted(map(tuple, read.upsert(old, new, ["l_id", "r_id"]).collect())) == [(1, 2, "new"), (3, 5, "old")]
+
+
 def test_stream_equals_batch(spark, tmp_path):
     facts = claims.facts(spark, "/root/testdata/sf0.001").where("measure_id < 40")
     facts.where("document_id < 10").write.parquet(str(tmp_path / "corpus/batch=start"))
