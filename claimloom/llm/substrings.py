@@ -2,7 +2,7 @@
 
 First pass: every partition sketches the anchors of its windows (see sketching), and the sketches
 are merged; a window's anchor occurs as often as the window or oftener. Second pass: only windows that the merged
-sketch estimates to be repeated are grouped, by 96 bits: two rolling hashes, each over word hashes of its own,
+sketch estimates to be repeated are grouped, by 96 bits: two rolling hashes, each over hashes of words of its own,
 so that no single word's hash decides. Each block lists its distinct window
 hashes by bucket with "once" or "more", a bucket's task adds up the lists of all blocks and answers
 each with a bit per entry, and blocks apply their answers to their documents. Listing distinct
@@ -19,7 +19,6 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 
 from claimloom.llm import sketching as K
@@ -28,14 +27,40 @@ from claimloom.llm.common import plain
 WINDOW = 35
 GRAM = 16
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
-
-
-def word_hashes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent 64-bit hashes of each word; every distinct word is hashed once."""
-    coded = pa.array(words, pa.binary()).dictionary_encode()
-    both = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, coded.dictionary.to_pylist())), ">u8").reshape(-1, 2).astype(np.uint64)
-    at = coded.indices.to_numpy(zero_copy_only=False)
-    return both[at, 0], both[at, 1]
+_WORD_BASES = (0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
+
+
+def word_hashes(text: np.ndarray, step: int = K.GROUP_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(where each word of the bytes starts, and two independent 64-bit hashes of it), a stretch of whole words at a time."""
+    space = np.concatenate([[True], (text == 32) | ((text >= 9) & (text <= 13)), [True]])
+    starts = np.flatnonzero(space[:-1] & ~space[1:])
+    ends = np.flatnonzero(~space[:-1] & space[1:])
+    out = [np.empty(len(starts), np.uint64) for _ in _WORD_BASES]
+    lo = 0
+    while lo < len(starts):
+        hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + step, "right")))
+        first = starts[lo]
+        part = text[first : ends[hi - 1]] + np.uint64(1)
+        for values, base in zip(out, _WORD_BASES):
+            up, down = _factors(base, len(part))
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(part * up, dtype=np.uint64)])
+            a, z = starts[lo:hi] - first, ends[lo:hi] - first
+            values[lo:hi] = K.mix((sums[z] - sums[a]) * down[a] + (z - a).astype(np.uint64))
+        lo = hi
+    return starts, *out
+
+
+_kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _factors(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a base and of its inverse, kept for the usual length."""
+    if n > K.GROUP_BYTES:
+        return _powers(base, n), _powers(pow(base, -1, 1 << 64), n)
+    if base not in _kept:
+        _kept[base] = _powers(base, K.GROUP_BYTES), _powers(pow(base, -1, 1 << 64), K.GROUP_BYTES)
+    up, down = _kept[base]
+    return up[:n], down[:n]
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -54,9 +79,9 @@ def rolling(codes: np.ndarray, n: int, base: int) -> np.ndarray:
 
 def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Two hashes of the texts' words one after the other, and where each text begins (with the end)."""
-    words = [t.split() for t in texts]
-    begin = np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int64)
-    return *word_hashes([w for ws in words for w in ws]), begin
+    starts, one, two = word_hashes(np.frombuffer(b"\n".join(texts), np.uint8))
+    edges = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    return one, two, np.searchsorted(starts, edges)
 
 
 def _whole(begin: np.ndarray, n: int, length: int) -> np.ndarray:

@@ -65,3 +65,14 @@ def test_merged_sketch_never_underestimates():
     every = np.array(sorted(count), np.uint64)
     assert seen(every[[count[x] > 1 for x in every.tolist()]]).all()
     assert seen(every[[count[x] == 1 for x in every.tolist()]]).mean() < 0.02
+
+
+def test_words_and_their_hashes():
+    text = "a bb\ta\n\x0bé é\u00a0x  a bb " + "z" * 3000 + " a\x1cb"
+    for step in (1, 7, 1 << 20):
+        starts, one, two = S.word_hashes(np.frombuffer(text.encode(), np.uint8), step)
+        words = text.encode().split()
+        assert [text.encode()[s:].split()[0] for s in starts.tolist()] == words
+        for h in (one, two):
+            assert len(set(h.tolist())) == len(set(words)) and all((h[i] == h[j]) == (words[i] == words[j]) for i in range(len(words)) for j in range(len(words)))
+    assert S._joined([b"", b"x y", b" ", b"z"])[2].tolist() == [0, 0, 2, 2, 3]
