@@ -42,6 +42,7 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 BLOCK_BYTES = 32 << 20
 BUCKET_BYTES = 8 << 20
 MOST_BUCKETS = 16_384
+MOST_TASKS = 100_000
 #: Distinct words that one join decodes.
 JOINED_WORDS = 50_000
 _DOCS = -1
@@ -271,8 +272,8 @@ def encoded(docs: DataFrame, path: str = TOKENIZER, output: str = "digests", blo
     answers = lists.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(encode_once, _PIECES)
     packed = own.mapInArrow(pack_documents, _PIECES)
     last = "ids_sha256 string, decoded_sha256 string" if output == "digests" else "ids array<int>, decoded string"
-    # a block's pieces meet in one task, which has about one block
-    tasks = max(16, 2 * input_bytes(own) // block_bytes)
+    # a block's pieces meet in one task, which has few blocks; past MOST_TASKS it takes them one after the other
+    tasks = max(16, min(MOST_TASKS, 6 * input_bytes(own) // block_bytes))
     return packed.unionByName(answers).repartition(tasks, "block").groupBy("block").applyInArrow(put_back, f"doc_id long, n_tokens long, {last}")
 
 

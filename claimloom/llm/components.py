@@ -3,7 +3,7 @@
 Everything stays in tables: neither edges nor labels are collected. Each step groups by a vertex
 and takes a minimum (combined before the shuffle), then joins the minimum back; a vertex with very
 many neighbours only makes one join key large, which adaptive execution splits. Each round is
-written to the shared folder, so a lost executor costs one round at most.
+written to the shared folder, so a lost executor costs one round at most; the round before is removed then.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import staged
+from claimloom.llm.common import discard, staged
 
 
 def _star(directed: DataFrame, keep_larger_only: bool) -> DataFrame:
@@ -33,7 +33,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _star(both, True)
-        now = staged(_star(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), False), "edges")
+        before, now = now, staged(_star(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), False), "edges")
+        discard(before)
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(seen) == mark:
             return now.select(F.col("u").alias("v"), F.col("v").alias("root")).unionByName(now.select(F.col("v"), F.col("v").alias("root")).distinct())

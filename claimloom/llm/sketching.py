@@ -33,6 +33,7 @@ BLOCK_BYTES = 32 << 20
 GROUP_BYTES = 1 << 20
 BUCKET_BYTES = 8 << 20
 MOST_BUCKETS = 65_536
+MOST_TASKS = 100_000
 
 _codec = pa.Codec("zstd", 1)
 
@@ -54,8 +55,8 @@ def bucket_count(size: int) -> int:
 
 
 def block_tasks(size: int, block_bytes: int) -> int:
-    """Tasks that blocks are dealt to: about one block each, texts being twice as large as stored."""
-    return max(16, 2 * size // block_bytes)
+    """Tasks that blocks are dealt to: few blocks each, texts being twice as large as stored; past MOST_TASKS one after the other."""
+    return max(16, min(MOST_TASKS, 6 * size // block_bytes))
 
 
 def width(size: int, shift: int) -> int:

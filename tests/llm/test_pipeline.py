@@ -84,6 +84,7 @@ def test_each_stage_on_what_its_predecessor_kept(spark):
     t = Tokenizer.from_file(bpe.TOKENIZER)
     got = {r.doc_id: r.n_tokens for r in corpus_pipeline.STAGES[4][1](spark, held, SF).collect()}
     assert got == {r.doc_id: len(t.encode(r.text, add_special_tokens=False).ids) for r in rows}
+    assert {r.doc_id: r.n_tokens for r in corpus_pipeline.run(spark, SF).collect()} == got  # the whole chain, through its tables
 
 
 def test_run_chains_the_stages(spark, monkeypatch):
