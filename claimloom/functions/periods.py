@@ -162,7 +162,7 @@ def _simple(text: Column, convention: str | Column) -> Column:
     rule(rf"\bh ?([12]) ?[-/]? ?{_FY}? ?{_YEARS}", part("half", 6, lambda x: _number(x["1"]), "2", "3"))
 
     # a span that ends on a stated day begins with the first of its first month
-    ended = r"(?: period)? ended (?:on )?([a-z0-9, ]{6,30})"
+    ended = r"(?: period)? ended (.{1,34})"
 
     def until(kind: str, months: int):
         return lambda x: let(_day(x["1"]), lambda end: _interval(kind, F.add_months(F.trunc(end, "month"), 1 - months), end))
@@ -185,10 +185,10 @@ def _simple(text: Column, convention: str | Column) -> Column:
 
     rule(rf"\b({_CENTURY}) ?[-/] ?(\d{{4}}|\d\d)\b(?!-\d)", bare_span)
     rule(r"\b(?:cy|calendar year) ?[:\-]? ?((?:19|20)?\d\d)\b", lambda x: _months("calendar_year", _date(_year(_number(x["1"])), F.lit(1)), 12))
-    rule(r"\bas (?:at|of|on) (?:the end of )?([a-z0-9, ]{6,30})", lambda x: _point(_day(x["1"])))
+    rule(r"\bas (?:at|of|on) (.{1,40})", lambda x: _point(_day(x["1"])))
     rule(rf"\b{_CENTURY}-\d\d-\d\d\b", lambda x: _point(F.try_to_date(x["0"], "yyyy-MM-dd")))
     # a month beside its year; a further number means that the first one was a day
-    rule(rf"\b{_MONTH} ?[-, ] ?({_CENTURY}|\d\d)\b(?! ?(?:st|nd|rd|th)? ?,? ?\d)", lambda x: _months("month", _date(_year(_number(x["2"])), _month(x["1"])), 1))
+    rule(rf"\b{_MONTH} ?[-, ] ?({_CENTURY}|\d\d)\b(?!(?:st|nd|rd|th|[ ,])*\d)", lambda x: _months("month", _date(_year(_number(x["2"])), _month(x["1"])), 1))
     rule(rf"\b(?:{_MONTH})\b", lambda x: _point(_day(text)))
     rule(rf"\b({_CENTURY})\b", lambda x: _months("calendar_year", _date(_number(x["1"]), F.lit(1)), 12))
     return F.coalesce(*rules).cast(_KIND)

@@ -1,4 +1,4 @@
-"""Text keys, claim keys and page signals as Column expressions (TXT-7..13, NRM-17, CLS-1..3, SRC-8, SRC-9, GRD-5)."""
+"""Text keys, claim keys and page signals as Column expressions (TXT-7..13, NRM-17, CLS-1..3, SRC-8, SRC-9, GRD-5, GRD-10)."""
 
 from __future__ import annotations
 
@@ -132,3 +132,26 @@ def extractable(kind: Column) -> Column:
 def vision_candidate(kind: Column, image_ratio: Column, drawings: Column) -> Column:
     """CLS-3: a chart page with graphics that its text doesn't show."""
     return (kind == "chart") & ((image_ratio >= 0.08) | (drawings >= 40))
+
+
+def quote_boxes(words: Column, quote: Column) -> Column:
+    """GRD-10: boxes (x0, y0, x1, y1) of the first place where a page's words (text, x0, y0, x1, y1) are those of the quote.
+
+    Neighbours of one line (tops within 3, a gap below 12) become one box; no place gives no box.
+    """
+    tidy = lambda c: F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}%]+", "")
+    wanted = F.filter(F.transform(F.split(quote, r"\s+"), tidy), lambda w: w != "")
+    own = F.filter(words, lambda w: tidy(w["text"]) != "")
+    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(own) - F.size(wanted) + 1, F.lit(1))), lambda i: F.transform(F.slice(own, i, F.size(wanted)), lambda w: tidy(w["text"])) == wanted)
+    box = lambda x0, y0, x1, y1: F.struct(x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"))
+
+    def add(boxes: Column, w: Column) -> Column:
+        last = F.try_element_at(boxes, F.lit(-1))
+        near = (F.abs(last["y0"] - w["y0"]) < 3) & (w["x0"] - last["x1"] < 12)
+        wider = box(F.least(last["x0"], w["x0"]), F.least(last["y0"], w["y0"]), F.greatest(last["x1"], w["x1"]), F.greatest(last["y1"], w["y1"]))
+        joined = F.concat(F.slice(boxes, 1, F.greatest(F.size(boxes) - 1, F.lit(0))), F.array(wider))
+        return F.when(F.coalesce(near, F.lit(False)), joined).otherwise(F.concat(boxes, F.array(box(w["x0"], w["y0"], w["x1"], w["y1"]))))
+
+    none = F.array().cast("array<struct<x0:double,y0:double,x1:double,y1:double>>")
+    found = F.slice(own, F.coalesce(F.try_element_at(starts, F.lit(1)), F.lit(1)), F.size(wanted))
+    return F.when((F.size(starts) > 0) & (F.size(wanted) > 0), F.aggregate(found, none, add)).otherwise(none)

@@ -1,4 +1,4 @@
-"""Units read from text as Column expressions: declarations of a page, units beside a number (UNT-4, UNT-5, UNT-7).
+"""Units read from text as Column expressions: declarations of a page, units beside a number (UNT-4, UNT-5, UNT-7, SNK-10).
 
 Two habits of looser readers are left out on purpose: a scale must be a word of its own (so digits grouped by
 commas declare none), and a whole tail that names a unit is taken as that unit before scales are looked for.
@@ -75,3 +75,9 @@ def resolve_unit(text: Column, scale: Column | None = None, currency: Column | N
     start = F.struct(clean.alias("clean"), lead.alias("lead"), stated.alias("stated"), base.alias("base"))
     read = let(let(start, money_apart), scales_apart)
     return let(let(read, lambda x: F.struct(*[x[c].alias(c) for c in ("clean", "money", "whole", "base", "factor", "tail")], known_unit(x["tail"]).alias("known"))), chosen)
+
+
+def unit_note(currency: Column, scale: Column) -> Column:
+    """SNK-10: a declared unit in words for a prompt, such as "INR, million"; null if nothing is declared."""
+    word = F.coalesce(F.nullif(scale_label(scale), F.lit("")), F.lit(None).cast("string"))
+    return F.nullif(F.concat_ws(", ", currency, word), F.lit(""))

@@ -35,8 +35,8 @@ def value_supported(page: Column, start: Column, end: Column, value: Column, num
     first = F.greatest(start - NEAR, F.lit(0))
     around = F.substring(page, first + 1, end - first + NEAR)
     wanted = units.parse_number(value) if number is None else F.coalesce(number, units.parse_number(value))
-    close = lambda x: F.abs(x - wanted) <= 1e-6 * F.greatest(F.abs(x), F.abs(wanted))
-    near = F.exists(F.regexp_extract_all(around, F.lit(r"[-+−]?\d[\d,.\s]*\d|\d"), F.lit(0)), lambda m: close(units.parse_number(m)))
+    close = lambda x: F.abs(x - F.abs(wanted)) <= 1e-6 * F.greatest(x, F.abs(wanted))  # noqa: E731  a sign may stand apart
+    near = F.exists(F.regexp_extract_all(around, F.lit(r"\d(?:[\d,.\s]*\d)?"), F.lit(0)), lambda m: close(units.parse_number(m)))
     return F.contains(F.lower(T.collapse(around)), F.lower(T.collapse(value))) | F.coalesce(near, F.lit(False))
 
 

@@ -1,4 +1,4 @@
-"""Page layout from words with boxes: lines, columns, reading order, table cleaning, batches (SRC-6..10, LAY-1..4, LAY-6, WIN-8).
+"""Page layout from words with boxes: lines, columns, reading order, table cleaning, batches (SRC-6, SRC-7, SRC-10, LAY-1..6, WIN-8, WIN-9).
 
 A page is one row; its words are an array. The functions below work on one page and are applied in
 Arrow batches, so a page's work never leaves its task.
@@ -81,6 +81,25 @@ def flow(words: list[Word], width: float) -> str:
     return "\n".join(out)
 
 
+def chart(words: list[Word]) -> list[str]:
+    """LAY-5: "label: value" of a chart page. Every number takes the nearest label line, above or below, by the word whose middle is nearest."""
+    rows = lines(words)
+    middle = lambda w: (w["x0"] + w["x1"]) / 2
+    numbers = [[w for w in row if _NUMERIC.match(w["text"])] for row in rows]
+    labels = [[w for w in row if not _NUMERIC.match(w["text"])] for row in rows]
+    out = []
+    for i, own in enumerate(numbers):
+        for w in own:
+            beside = [x for x in labels[i] if x["x1"] <= w["x0"]]
+            if beside:  # a label on the value's own line, all of it
+                out.append(f"{' '.join(x['text'] for x in beside)}: {w['text']}")
+                continue
+            others = sorted((j for j in range(len(rows)) if j != i and labels[j]), key=lambda j: (abs(j - i), j))
+            near = min(labels[others[0]], key=lambda x: abs(middle(x) - middle(w))) if others else None
+            out.append(f"{near['text']}: {w['text']}" if near else w["text"])
+    return out
+
+
 def printed_label(words: list[Word], height: float) -> str | None:
     """SRC-10: a roman or plain page number in the top 8 % or bottom 10 %."""
     return next((w["text"] for w in words if len(w["text"]) <= 8 and (w["y1"] <= 0.08 * height or w["y0"] >= 0.9 * height) and _LABEL.match(w["text"])), None)
@@ -91,6 +110,11 @@ def likely_tabular(words: list[str], rules: int) -> bool:
     return len(words) >= 20 and (rules >= 3 or sum(bool(_NUMERIC.match(w)) for w in words) >= 0.18 * len(words))
 
 
+def kept_tables(tables: list[list[list[str | None]]]) -> list[list[list[str]]]:
+    """SRC-7: cleaned tables of two rows or more."""
+    return [t for t in map(clean_grid, tables) if len(t) >= 2]
+
+
 def clean_grid(grid: list[list[str | None]]) -> list[list[str]]:
     """SRC-7: cells with single spaces, rows of one width, empty columns and rows dropped."""
     rows = [[re.sub(r"\s+", " ", c or "").strip() for c in r] for r in grid]

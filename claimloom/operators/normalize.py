@@ -36,9 +36,10 @@ UNMEASURED = ("categorical", "relational", "definitional", "temporal")
 SCALE_WORDS = ("hundred", "thousand", "lakh", "lakhs", "lac", "lacs", "million", "millions", "mn", "crore", "crores", "cr", "billion", "billions", "bn", "trillion", "trillions", "tn")
 
 _SCALE = rf"(?i)\b({units.longest(SCALE_WORDS)})\b|['’](000)"
-_SYMBOL = r"(?i)([₹$€£¥])|\b(rs|inr|usd|us\$|eur|gbp|jpy|sdr)\b"
-_PER = r"\bper\b|\bface value\b|\bnominal value\b"
-_PREFIX = r"^(q[1-4] ?(?:fy)? ?\d{2,4}(?: ?- ?\d{2,4})?|h[12] ?(?:fy)? ?\d{2,4}|fy ?\d{2,4}(?: ?- ?\d{2,4})?|cy ?\d{4}|\d{4} ?- ?\d{2,4}) "
+_SYMBOL = rf"(?i)[{''.join(k for k in units.CURRENCIES if len(k) == 1)}]|\b({units.longest(k for k in units.CURRENCIES if k.isalpha() and len(k) < 4)})\b"
+_PER = r"\b(?:per|(?:face|nominal) value)\b"
+#: A period in front: a quarter, a half, a fiscal year or a span of years, or a calendar year.
+_PREFIX = r"^((?=q[1-4]|h[12]|fy|\d{4} ?-)(?:[qh]\d ?)?(?:fy ?)?\d{2,4}(?: ?- ?\d{2,4})?|cy ?\d{4}) "
 
 
 def _filled(c: Column) -> Column:
@@ -71,7 +72,7 @@ def currency_in(phrase: Column) -> Column:
 def unit_of_value(value_text: Column) -> Column:
     """NRM-11: what is written behind the digits of a value."""
     whole = F.trim(value_text)
-    return F.when(whole.endswith("%"), "%").otherwise(F.nullif(F.trim(F.regexp_extract(whole, r"[\d,.\s]+([A-Za-z%°'’/]+.*)$", 1)), F.lit("")))
+    return F.when(whole.endswith("%"), "%").otherwise(F.nullif(F.trim(F.regexp_extract(whole, r"[\d,.\s](?=[A-Za-z%°'’/])(.*)$", 1)), F.lit("")))
 
 
 def per_unit(predicate: Column) -> Column:

@@ -169,6 +169,15 @@ def containment(pages: DataFrame, group: str, item: str) -> DataFrame:
     return scored.withColumn("rn", first).where("rn = 1").drop("rn")
 
 
+def running_total(rows: DataFrame, order: str, value: str, out: str, stretch: int = 65_536) -> DataFrame:
+    """WIN-7: running total of value by a whole number, within stretches of it and then over the stretches: no task has all rows."""
+    at = rows.withColumn("_stretch", F.floor(F.col(order) / stretch))
+    totals = at.groupBy("_stretch").agg(F.sum(value).alias("_sum"))
+    before = totals.withColumn("_before", F.coalesce(F.sum("_sum").over(Window.orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_sum")
+    own = F.sum(value).over(Window.partitionBy("_stretch").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return at.withColumn(out, own).join(before, "_stretch").withColumn(out, F.col(out) + F.col("_before")).drop("_stretch", "_before")
+
+
 def unpivot(table: DataFrame, label: str, columns: list[str]) -> DataFrame:
     """LAY-6: one row per cell, "label | header = value"."""
     cells = F.array(*[F.struct(F.lit(c).alias("header"), F.col(c).cast("string").alias("value")) for c in columns])
@@ -191,3 +200,15 @@ def merge_verdicts(df: DataFrame) -> DataFrame:
     kind = F.when(same, F.col("first")).when(F.col("first") == "contradicts", F.col("second")).otherwise(F.col("first"))
     conf = F.when(same, (F.col("c1") + F.col("c2")) / 2).otherwise(F.least(F.lit(0.55), F.when(F.col("first") == "contradicts", F.col("c2")).otherwise(F.col("c1"))))
     return df.where(~lost).withColumns({"relation_type": kind, "confidence": conf, "order_sensitive": ~same})
+
+
+def adjudicated(pairs: DataFrame, answers: DataFrame) -> DataFrame:
+    """ADJ-4, ADJ-1: pairs (l_id, r_id) with what a model answered to them in both orders; answers: first_id, second_id, answer, confidence.
+
+    A pair whose other order wasn't asked is taken as answered alike in both; one without any answer drops out.
+    """
+    given = answers.select(F.col("first_id").alias("l_id"), F.col("second_id").alias("r_id"), F.col("answer").alias("one"), F.col("confidence").alias("c_one"))
+    turned = answers.select(F.col("second_id").alias("l_id"), F.col("first_id").alias("r_id"), F.col("answer").alias("two"), F.col("confidence").alias("c_two"))
+    both = pairs.join(given, ["l_id", "r_id"], "left").join(turned, ["l_id", "r_id"], "left").where("one is not null or two is not null")
+    filled = both.select(*pairs.columns, F.coalesce("one", "two").alias("first"), F.coalesce("two", "one").alias("second"), F.coalesce("c_one", "c_two").alias("c1"), F.coalesce("c_two", "c_one").alias("c2"))
+    return merge_verdicts(filled).drop("first", "second", "c1", "c2")

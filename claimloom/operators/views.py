@@ -23,12 +23,13 @@ def titled(documents: DataFrame) -> DataFrame:
 
 
 def _per_document(rows: DataFrame, name: str) -> DataFrame:
-    return rows.groupBy("document_id").agg(F.count(F.lit(1)).alias(name))
+    return rows.groupBy("document_id").agg((F.sum("n") if "n" in rows.columns else F.count(F.lit(1))).alias(name))
 
 
 def relation_ends(relations: DataFrame) -> DataFrame:
-    """JON-1: each relation once for each document it touches."""
-    return relations.select(F.explode(F.array_distinct(F.array("l_document_id", "r_document_id"))).alias("document_id"))
+    """JON-1: how many (n) relations touch a document, by their other document: counted before they are doubled."""
+    both = relations.groupBy("l_document_id", "r_document_id").agg(F.count(F.lit(1)).alias("n"))
+    return both.select("n", F.explode(F.array_distinct(F.array("l_document_id", "r_document_id"))).alias("document_id"))
 
 
 def document_summaries(documents: DataFrame, facts: DataFrame, relations: DataFrame, rejections: DataFrame) -> DataFrame:

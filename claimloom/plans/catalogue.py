@@ -137,7 +137,8 @@ SELECT f.document_id, f.facts, f.numeric_facts, (SELECT count(*) FROM e WHERE e.
 def coverage_by_document(spark, sf):
     """JON-1, JON-2, AGG-4, AGG-9: pre-aggregated sides, so nothing fans out."""
     own = _facts(spark, sf).groupBy("document_id").agg(F.count(F.lit(1)).alias("facts"), F.count("value_base").alias("numeric_facts"))
-    ends = _decided(spark, sf).select(F.explode(F.array_distinct(F.array("l_document_id", "r_document_id"))).alias("document_id")).groupBy("document_id").agg(F.count(F.lit(1)).alias("relations"))
+    both = _decided(spark, sf).groupBy("l_document_id", "r_document_id").agg(_count())
+    ends = both.select("n", F.explode(F.array_distinct(F.array("l_document_id", "r_document_id"))).alias("document_id")).groupBy("document_id").agg(F.sum("n").alias("relations"))
     return own.join(ends, "document_id", "left").select("document_id", "facts", "numeric_facts", F.coalesce("relations", F.lit(0)).alias("relations"), F.round(F.col("facts") / 7.0, 2).alias("facts_per_page"))
 
 
@@ -253,9 +254,9 @@ def adjudication_merge(spark, sf):
 
 @query(f"WITH {FACTS}, f AS (SELECT measure_id, min(document_id) AS document_id FROM facts GROUP BY 1) SELECT document_id, count(*) AS new_measures, CAST(sum(count(*)) OVER (ORDER BY document_id) AS BIGINT) AS running FROM f GROUP BY 1")
 def running_measures(spark, sf):
-    """AGG-14, WIN-7: over documents, of which there are 25; the running total is over the aggregate."""
+    """AGG-14, WIN-7: the running total is over the aggregate, in stretches of document ids."""
     per = _facts(spark, sf).groupBy("measure_id").agg(F.min("document_id").alias("document_id")).groupBy("document_id").agg(F.count(F.lit(1)).alias("new_measures"))
-    return per.withColumn("running", F.sum("new_measures").over(Window.orderBy("document_id").rowsBetween(Window.unboundedPreceding, 0)))
+    return read.running_total(per, "document_id", "new_measures", "running")
 
 
 @query(f"WITH {FACTS}, m AS (SELECT measure_id, count(*) AS facts, count(DISTINCT document_id) AS documents FROM facts GROUP BY 1) SELECT count(*) AS measures, count(*) FILTER (documents > 1) AS shared, round(count(*) FILTER (documents > 1) / count(*), 4) AS shared_rate, max(facts) AS most_facts FROM m")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from claimloom.functions import fuzzy, text
+from claimloom.functions import fuzzy, text, unittext
 from claimloom.operators import ground, read, registry
 from claimloom.plans.base import query, rows_of
 from claimloom.plans.normalised import _dealt, _known
@@ -222,3 +222,36 @@ def answers_by_page(spark, sf):
 def fact_search_columns(spark, sf):
     """FLT-5 over several columns."""
     return read.search_any_column(rows_of(spark, sf, "documents").where("lang = 'en'"), ["text", "source", "lang"], "EN, tion").select("doc_id", F.lit(True).alias("found"))
+
+
+_WORDS = "array(named_struct('text', 'Net', 'x0', 10D, 'y0', {y}, 'x1', 30D, 'y1', {y} + 10), named_struct('text', 'sales,', 'x0', 35D, 'y0', {y} + 1, 'x1', 70D, 'y1', {y} + 11), named_struct('text', 'rose', 'x0', 200D, 'y0', {y}, 'x1', 230D, 'y1', {y} + 10), named_struct('text', '12%', 'x0', 10D, 'y0', {y} + 20, 'x1', 30D, 'y1', {y} + 30))"
+
+
+@query("""SELECT p_partkey AS k, CASE p_partkey % 4 WHEN 0 THEN '10,' || y || ',70,' || (y + 11) WHEN 1 THEN '10,' || y || ',70,' || (y + 11) || ' 200,' || y || ',230,' || (y + 10) || ' 10,' || (y + 20) || ',30,' || (y + 30) WHEN 2 THEN '' ELSE '10,' || (y + 20) || ',30,' || (y + 30) END AS boxes FROM (SELECT p_partkey, p_partkey % 90 AS y FROM part)""")
+def quote_boxes(spark, sf):
+    """GRD-10: neighbours of a line are one box, a wide gap and a new line begin others."""
+    rows = rows_of(spark, sf, "part").select(F.col("p_partkey").alias("k"), (F.col("p_partkey") % 90).cast("double").alias("y"))
+    quote = F.get(F.array(F.lit("net SALES"), F.lit("Net sales rose 12%"), F.lit("net losses"), F.lit("12%")), (F.col("k") % 4).cast("int"))
+    found = rows.select("k", text.quote_boxes(F.expr(_WORDS.format(y="y")), quote).alias("b"))
+    whole = lambda b: F.concat_ws(",", *[b[c].cast("long").cast("string") for c in ("x0", "y0", "x1", "y1")])
+    return found.select("k", F.array_join(F.transform("b", whole), " ").alias("boxes"))
+
+
+@query("""WITH p AS (SELECT o_orderkey AS l_id, o_orderkey + 1 AS r_id, o_orderkey % 4 AS k FROM orders) SELECT l_id, r_id, CASE k WHEN 0 THEN 'corroborates' WHEN 1 THEN 'reconciled' ELSE 'contradicts' END AS relation_type, CASE k WHEN 0 THEN 0.7 WHEN 1 THEN 0.55 ELSE 0.9 END::DOUBLE AS confidence, k = 1 AS order_sensitive FROM p WHERE k < 3""")
+def adjudicated_pairs(spark, sf):
+    """ADJ-4: answers joined in both orders: agreeing, order sensitive, asked in one order only, not asked."""
+    k = F.col("l_id") % 4
+    pairs = rows_of(spark, sf, "orders").select(F.col("o_orderkey").alias("l_id"), (F.col("o_orderkey") + 1).alias("r_id"))
+    one = pairs.where(k < 2).select(F.col("l_id").alias("first_id"), F.col("r_id").alias("second_id"), F.when(k == 0, "corroborates").otherwise("contradicts").alias("answer"), F.lit(0.8).alias("confidence"))
+    two = pairs.where(k < 3).select(F.col("r_id").alias("first_id"), F.col("l_id").alias("second_id"), F.when(k == 0, "corroborates").when(k == 1, "reconciled").otherwise("contradicts").alias("answer"), F.when(k == 2, 0.9).otherwise(0.6).alias("confidence"))
+    return read.adjudicated(pairs, one.unionByName(two)).select("l_id", "r_id", "relation_type", F.round("confidence", 9).alias("confidence"), "order_sensitive")
+
+
+#: currency, scale → note.
+NOTES = [("INR", 1e6, "INR, million"), (None, 1e7, "crore"), ("USD", None, "USD"), (None, None, None), ("EUR", 1.0, "EUR")]
+
+
+@query(_known([(c[2],) for c in NOTES], ["note"], ["VARCHAR"]))
+def unit_notes(spark, sf):
+    """SNK-10, UNT-9."""
+    return _dealt(spark, sf, NOTES, ["c", "s"], ["string", "double"]).select("o_orderkey", unittext.unit_note(F.col("c"), F.col("s")).alias("note"))
