@@ -164,6 +164,31 @@ def render(pages: DataFrame) -> DataFrame:
     return pages.selectExpr("cast(document_id as long) as document_id", "cast(page_number as int) as page_number", "width", "height", "words").mapInArrow(run, "document_id long, page_number int, rendition string, printed_label string")
 
 
+def table_lines(pages: DataFrame) -> DataFrame:
+    """SRC-6, SRC-7, LAY-6: pages (page_id, words: array of texts, rules, tables: arrays of rows of cells) as rows page_id, line.
+
+    Only pages that look tabular are read; of their tables those that keep two rows are rendered.
+    """
+
+    def run(parts):
+        for b in parts:
+            rows = [(r["page_id"], line) for r in b.to_pylist() if likely_tabular(r["words"] or [], r["rules"] or 0) for t in kept_tables(r["tables"] or []) for line in addressed(t)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string())], names=["page_id", "line"])
+
+    return pages.selectExpr("cast(page_id as long) as page_id", "words", "cast(rules as int) as rules", "tables").mapInArrow(run, "page_id long, line string")
+
+
+def chart_lines(pages: DataFrame) -> DataFrame:
+    """LAY-5: pages (page_id, words array<struct<text,x0,y0,x1,y1>>) as rows page_id, line."""
+
+    def run(parts):
+        for b in parts:
+            rows = [(r["page_id"], line) for r in b.to_pylist() for line in chart(r["words"] or [])]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string())], names=["page_id", "line"])
+
+    return pages.selectExpr("cast(page_id as long) as page_id", "words").mapInArrow(run, "page_id long, line string")
+
+
 def plan_batches(pages: DataFrame) -> DataFrame:
     """pages (document_id, page_number, chars, image) with batch: a fold over each document's pages."""
 

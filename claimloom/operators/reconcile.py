@@ -74,7 +74,7 @@ def in_runs(facts: DataFrame, size: int) -> DataFrame:
 
 
 def united(facts: DataFrame, routes: list[DataFrame], cap: int = MOST_PARTNERS) -> DataFrame:
-    """CND-1, WIN-4: pairs of several routes (l_id, r_id, similarity, source), the first route that has a pair names it.
+    """CND-1, WIN-4, SRT-9: pairs of several routes (l_id, r_id, similarity, source), the first route that has a pair names it.
 
     Pairs of one page drop out. Of the others a fact keeps `cap` at either end, by similarity, then the measure route.
     """

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from claimloom.functions import fuzzy, text, unittext
-from claimloom.operators import ground, read, registry
+from claimloom.functions import fuzzy, jsontext, text, unittext
+from claimloom.operators import ground, layout, read, registry
 from claimloom.plans.base import query, rows_of
 from claimloom.plans.normalised import _dealt, _known
 
@@ -208,8 +208,6 @@ def query_words(spark, sf):
 @query("SELECT o_orderkey, CASE k WHEN 0 THEN 5 WHEN 1 THEN 6 WHEN 2 THEN 5 ELSE 5 END AS page_number, o_orderkey * 10 + k AS v FROM orders, (VALUES (0), (1), (2), (3)) t(k)")
 def answers_by_page(spark, sf):
     """JSN-4: an answer's facts go to the page they name, to the first one if that wasn't asked for."""
-    from claimloom.functions import jsontext
-
     k = F.col("o_orderkey")
     fact = lambda page, n: F.concat(F.lit('{"page_number": ' + page + ', "o": '), k.cast("string"), F.lit(', "v": '), (k * 10 + n).cast("string"), F.lit("}"))
     text = F.concat(F.lit('{"facts": ['), F.concat_ws(", ", fact("5", 0), fact("6", 1), fact("77", 2), fact("null", 3)), F.lit("]}"))
@@ -255,3 +253,57 @@ NOTES = [("INR", 1e6, "INR, million"), (None, 1e7, "crore"), ("USD", None, "USD"
 def unit_notes(spark, sf):
     """SNK-10, UNT-9."""
     return _dealt(spark, sf, NOTES, ["c", "s"], ["string", "double"]).select("o_orderkey", unittext.unit_note(F.col("c"), F.col("s")).alias("note"))
+
+
+#: Answers of a model → the JSON in them, and what is left of it where it is cut off.
+ANSWERS = [
+    ('{"a": 1}', '{"a": 1}', '{"a": 1}'), ('Here:\n```json\n{"b": [1, 2]}\n```\nDone', '{"b": [1, 2]}', '{"b": [1, 2]}'), ('Sure {"c": "}{"} bye {', '{"c": "}{"}', '{"c": "}{"}'), ("nothing", None, None), ("", None, None), (None, None, None),
+    ('{"facts": [{"v": 1}, {"v": 2}, {"v": 3', None, '{"facts": [{"v": 1}, {"v": 2}]}'), ('{"facts": [{"v": "x, y"}], "more": [', None, '{"facts": [{"v": "x, y"}]}'), ("[1, 2] and more", "[1, 2]", "[1, 2]"),
+]
+
+
+@query(_known([c[1:] for c in ANSWERS], ["found", "saved"], ["VARCHAR", "VARCHAR"]))
+def json_of_answers(spark, sf):
+    """JSN-1, JSN-2."""
+    return _dealt(spark, sf, ANSWERS, ["s"], ["string"]).select("o_orderkey", jsontext.extract_json(F.col("s")).alias("found"), jsontext.salvage_json(F.col("s")).alias("saved"))
+
+
+def _box(text_: str, x: str, y: str, width: int = 60) -> str:
+    return f"named_struct('text', {text_}, 'x0', CAST({x} AS DOUBLE), 'y0', CAST({y} AS DOUBLE), 'x1', CAST({x} + {width} AS DOUBLE), 'y1', CAST({y} + 10 AS DOUBLE))"
+
+
+_PAGE_WORDS = "concat(array(" + _box("concat('Title', p_partkey)", "150", "60", 300) + ", " + _box("CAST(p_partkey % 900 AS STRING)", "290", "775", 20) + "), flatten(transform(sequence(0, 7), r -> array(" + _box("concat('r', r)", "340", "(100 + 15 * r)", 200) + ", " + _box("concat('l', r)", "20", "(100 + 15 * r)", 200) + "))))"
+
+
+@query("""SELECT p_partkey AS document_id, 1 AS page_number, 'Title' || p_partkey || chr(10) || (SELECT string_agg('l' || r, chr(10) ORDER BY r) FROM range(8) t(r)) || chr(10) || (p_partkey % 900) || chr(10) || (SELECT string_agg('r' || r, chr(10) ORDER BY r) FROM range(8) t(r)) AS rendition, CAST(p_partkey % 900 AS VARCHAR) AS printed_label FROM part""")
+def page_renditions(spark, sf):
+    """LAY-1..4, SRC-10, WIN-9: a heading over two columns, read one by one, and the page's printed number below the left one."""
+    pages = rows_of(spark, sf, "part").selectExpr("p_partkey AS document_id", "1 AS page_number", "600D AS width", "800D AS height", f"{_PAGE_WORDS} AS words")
+    return layout.render(pages)
+
+
+@query("""SELECT p_partkey AS page_id, l || ' | ' || h || ' = ' || (p_partkey * k) AS line FROM part, (VALUES ('Tea', 'Plan', 1), ('Tea', 'Real', 2), ('Rice', 'Plan', 3), ('Rice', 'Real', 4)) t(l, h, k) WHERE p_partkey % 3 <> 0""")
+def table_lines(spark, sf):
+    """SRC-6, SRC-7, LAY-6: tables of pages with rules or many numbers; empty columns and tables of one row drop out."""
+    k = F.col("p_partkey")
+    cell = lambda n: (k * n).cast("string")
+    row = lambda *xs: F.array(*[F.lit(x) if isinstance(x, str) or x is None else x for x in xs])
+    table = F.array(row("Crop", "", " Plan ", "Real"), row("Tea", None, cell(1), cell(2)), row("Rice", "", cell(3), cell(4)))
+    words = F.array_repeat(F.lit("word"), 20)
+    rows = rows_of(spark, sf, "part").select(k.alias("page_id"), words.alias("words"), F.when(k % 3 == 0, 1).otherwise(4).alias("rules"), F.array(table, F.array(row("one", "row", "1"))).alias("tables"))
+    return layout.table_lines(rows)
+
+
+@query("SELECT p_partkey AS page_id, 'Tea: ' || p_partkey AS line FROM part UNION ALL SELECT p_partkey, 'Rice: 19' FROM part UNION ALL SELECT p_partkey, 'Total crop: 31' FROM part")
+def chart_lines(spark, sf):
+    """LAY-5: numbers over their labels, and a number beside its label."""
+    words = f"array({_box('CAST(p_partkey AS STRING)', '60', '100')}, {_box(chr(39) + '19' + chr(39), '160', '100')}, {_box(chr(39) + 'Tea' + chr(39), '58', '115')}, {_box(chr(39) + 'Rice' + chr(39), '162', '115')}, {_box(chr(39) + 'Total' + chr(39), '10', '300', 30)}, {_box(chr(39) + 'crop' + chr(39), '45', '300', 30)}, {_box(chr(39) + '31' + chr(39), '120', '300', 30)})"
+    return layout.chart_lines(rows_of(spark, sf, "part").selectExpr("p_partkey AS page_id", f"{words} AS words"))
+
+
+@query("SELECT n_nationkey AS document_id, p::INT AS page_number, (CASE n_nationkey % 3 WHEN 0 THEN (p - 1) // 3 WHEN 1 THEN (p - 1) // 4 ELSE p - 1 END)::INT AS batch FROM nation, range(1, 11) t(p)")
+def page_batches(spark, sf):
+    """WIN-8: ten pages of 3,000 characters, of 10, and of images."""
+    k = F.col("n_nationkey")
+    pages = rows_of(spark, sf, "nation").select(k.alias("document_id"), F.explode(F.sequence(F.lit(1), F.lit(10))).alias("page_number"), F.when(k % 3 == 0, 3000).otherwise(10).alias("chars"), (k % 3 == 2).alias("image"))
+    return layout.plan_batches(pages)
