@@ -179,8 +179,14 @@ def explained(relations: DataFrame) -> DataFrame:
 
 
 def informative(classified: DataFrame) -> DataFrame:
-    """FLT-13: decided relations, without those of a single document that only differ in period."""
-    return classified.where("relation_type not in ('escalate', 'dropped') and (cross_document or not (relation_type = 'reconciled' and dimension = 'period'))")
+    """FLT-13: decided relations, without those of a single document that only differ in period.
+
+    Both follow from the rule, so the filter names nothing else: what it names is computed before it as well as after.
+    """
+    decided = {k: v for k, v in OUTCOMES.items() if v[0] not in ("escalate", "dropped")}
+    across = [k for k, v in decided.items() if (v[0], v[1]) != ("reconciled", "period")]
+    rule = F.col("rule_id")
+    return classified.where(F.when(F.col("cross_document"), rule.isin(*decided)).otherwise(rule.isin(*across)))
 
 
 def relations(facts: DataFrame, cap: int | None = MOST_PARTNERS) -> DataFrame:
