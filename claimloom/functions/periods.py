@@ -205,17 +205,23 @@ def parse_period(label: Column, convention: str | Column = "india") -> Column:
     taken from the last to the first, each with what its right side amounts to.
     """
     text = F.lower(F.trim(F.regexp_replace(label, r"\s+", " ")))
-    parts = F.split(text, _BETWEEN)  # most labels have one part and take the short way below
+    parts = F.split(text, _BETWEEN)
     # where the k-th separator stands, everything from there on: the k-th right side
     rests = F.transform(parts, lambda p, i: F.regexp_replace(text, F.concat(F.lit("^(?:.*?"), F.lit(_BETWEEN), F.lit("){"), i.cast("string"), F.lit("}")), F.lit("")))
-    read = F.transform(F.arrays_zip(parts.alias("part"), rests.alias("rest")), lambda x, i: F.struct(_simple(F.trim(x["part"]), convention).alias("own"), F.when(i + 1 < F.size(parts), _simple(x["rest"], convention)).alias("all")))
+    # most labels are one piece; the rules stand in the plan once, whatever a label needs
+    pieces = F.when(text.rlike(_BETWEEN), F.concat(F.transform(parts, lambda p: F.trim(p)), rests)).otherwise(F.array(text))
 
-    def widen(right: Column, x: Column) -> Column:
-        own = x["own"]
-        start, end = F.least(own["start"], right["start"]), F.greatest(own["end"], right["end"])
-        both = own.isNotNull() & right.isNotNull() & ~((start == own["start"]) & (end == own["end"]))
-        return F.when(both, F.struct(F.lit("range").alias("kind"), start.alias("start"), end.alias("end"))).otherwise(x["all"])
+    def folded(read: Column) -> Column:
+        n = F.floor(F.size(read) / 2).cast("int")
 
-    several = F.aggregate(F.reverse(F.slice(read, 1, F.size(read) - 1)), F.element_at(read, -1)["own"], widen)
-    found = F.when(text.rlike(_BETWEEN), several).otherwise(_simple(text, convention))
+        def widen(right: Column, i: Column) -> Column:
+            own, whole = F.element_at(read, i), F.element_at(read, i + n)
+            start, end = F.least(own["start"], right["start"]), F.greatest(own["end"], right["end"])
+            both = own.isNotNull() & right.isNotNull() & ~((start == own["start"]) & (end == own["end"]))
+            return F.when(both, F.struct(F.lit("range").alias("kind"), start.alias("start"), end.alias("end"))).otherwise(whole)
+
+        several = F.aggregate(F.sequence(n - 1, F.lit(1)), F.element_at(read, n), widen)
+        return F.when(F.size(read) == 1, F.element_at(read, 1)).otherwise(several)
+
+    found = let(F.transform(pieces, lambda p: _simple(p, convention)), folded)
     return F.coalesce(found, F.struct(F.lit("unknown").alias("kind"), F.lit(None).cast("date").alias("start"), F.lit(None).cast("date").alias("end")).cast(_KIND))
