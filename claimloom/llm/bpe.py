@@ -72,6 +72,14 @@ def word_text(key: str) -> str:
     return key[1:] if key[:1] == " " else " " + key
 
 
+class _Numbers(dict):
+    """Words in the order they were first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        return n
+
+
 def _lists(keys, buckets: int) -> list[list[bytes]]:
     """The keys by bucket, each list sorted."""
     out: list[list[bytes]] = [[] for _ in range(buckets)]
@@ -238,30 +246,32 @@ def encoded(docs: DataFrame, path: str = TOKENIZER, output: str = "digests", blo
         codec = _codec_of(shared)
         rows = dict(zip(group.column("bucket").to_pylist(), group.column("data").to_pylist()))
         block = pa.ipc.open_stream(rows.pop(_DOCS)).read_all()
-        lists = _lists(keys_of(block), buckets)
-        at, counts, flats = {}, [], []
+        numbers = _Numbers()
+        places = [np.fromiter(map(numbers.__getitem__, words_of(t)), np.int32) for t in texts_in(block)]  # every text is split once
+        lists = _lists(numbers, buckets)
+        listed, counts, flats, at = np.empty(len(numbers), np.int64), [], [], 0
         for b, words in enumerate(lists):
             if words:
                 found = _read_answer(_swell(rows[b]), words) if b in rows else None
                 if found is None:
                     ids = codec.encode([word_text(w.decode()) for w in words])
                     found = np.array(list(map(len, ids)), "<u4"), np.array([i for one in ids for i in one], "<u4")
-                at.update(zip((w.decode() for w in words), range(len(at), len(at) + len(words))))
+                listed[[numbers[w.decode()] for w in words]] = np.arange(at, at + len(words))
+                at += len(words)
                 counts.append(found[0])
                 flats.append(found[1])
-        del lists, rows
+        del lists, rows, numbers
         count = np.concatenate(counts).astype(np.int64) if counts else np.zeros(0, np.int64)
         flat = np.concatenate(flats) if flats else np.zeros(0, "<u4")
         start = np.cumsum(count) - count
         decoded = decoded_words(codec.pieces, flat, count)  # each distinct word is decoded once
         n_tokens, first, second = [], [], []
-        for t in texts_in(block):
-            ws = words_of(t)
-            place = np.fromiter((at[w] for w in ws), np.int64, len(ws))
+        for own in places:
+            place = listed[own]
             n = count[place]
             step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             ids = flat[np.repeat(start[place], n) + step].astype("<u4")
-            text = b"".join([decoded[p] for p in place.tolist()]).decode("utf-8", "replace")
+            text = b"".join(map(decoded.__getitem__, place.tolist())).decode("utf-8", "replace")
             n_tokens.append(len(ids))
             first.append(hashlib.sha256(ids.tobytes()).hexdigest() if output == "digests" else ids.astype(np.int32))
             second.append(hashlib.sha256(text.encode()).hexdigest() if output == "digests" else text)
