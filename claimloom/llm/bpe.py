@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from claimloom.llm.common import BATCH_ROWS, input_bytes, plain
+from claimloom.llm.common import input_bytes, plain, small_batches
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 #: Text of a block, and input of which one hash bucket is made.
@@ -200,7 +200,7 @@ def _read_answer(data: bytes, words: list[bytes]) -> tuple[np.ndarray, np.ndarra
 def encoded(docs: DataFrame, path: str = TOKENIZER, output: str = "digests", block_bytes: int = BLOCK_BYTES, buckets: int | None = None) -> DataFrame:
     """One row per document of docs (doc_id, text): the ids and decoded text, or with output="digests" their digests."""
     spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    small_batches(spark)
     with open(path, encoding="utf-8") as f:  # the driver's file; tasks get its content, of a size that the vocabulary bounds
         shared = spark.sparkContext.broadcast(f.read())
     own = plain(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))

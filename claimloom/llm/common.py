@@ -16,8 +16,14 @@ from pyspark.sql import types as T
 _own_dirs: dict[str, str] = {}
 _cleaned: set[str] = set()
 
-#: Rows per Arrow batch handed to Python; keeps a batch of long documents small.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch handed to Python, at most (a single longer row excepted).
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the Arrow batches of plans made from now on. All operators ask for the same bounds, so plans don't race on them."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -74,8 +80,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch | None], schema: T.StructType | str) -> DataFrame:
     """mapInArrow with a function of one batch; small batches, so that memory stays bounded."""
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    small_batches(df.sparkSession)
 
     def run(batches):
         for batch in batches:

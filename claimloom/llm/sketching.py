@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from claimloom.llm.common import BATCH_ROWS, input_bytes, plain, scratch_path  # noqa: F401
+from claimloom.llm.common import input_bytes, plain, scratch_path, small_batches  # noqa: F401
 
 PIECES = "kind int, block long, bucket int, data binary"
 PIECES_ARROW = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("bucket", pa.int32()), ("data", pa.binary())])
@@ -154,7 +154,7 @@ def groups(texts: list[bytes]) -> Iterator[tuple[int, int]]:
 def stage_blocks(docs: DataFrame, anchors_of: Callable[[list[bytes]], np.ndarray], bits: int, name: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs (doc_id, text) as a stored table of compressed blocks (kind DOCS) and partition sketches (kind SKETCH)."""
     spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    small_batches(spark)
 
     def run(batches):
         partition, n, held, size, found = TaskContext.get().partitionId(), 0, [], 0, []

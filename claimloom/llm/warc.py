@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import BATCH_ROWS, scratch_path, texts_of
+from claimloom.llm.common import BATCH_ROWS, scratch_path, small_batches, texts_of
 
 LEAST_REVISIT = 100
 #: Bytes of a range, and of an archive file before the next is begun.
@@ -71,7 +71,7 @@ def with_revisits(pages: DataFrame) -> DataFrame:
 
 def write(records: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z", file_bytes: int = FILE_BYTES) -> list[tuple[str, int]]:
     """Writes rows of with_revisits as archives below path; returns the files and their sizes."""
-    records.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    small_batches(records.sparkSession)
 
     def task(batches):
         fs, base = pafs.FileSystem.from_uri(path)
