@@ -95,12 +95,31 @@ def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(size.sum()) + np.repeat(start - np.cumsum(size) + size, size)
 
 
+_powers: list[tuple[np.ndarray, np.ndarray]] = []
+
+
+def _factors(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """n powers of an odd number and n + 1 of its inverse; those of the usual length are kept."""
+
+    def made(n: int) -> tuple[np.ndarray, np.ndarray]:
+        up, down = np.full(n, _C[0]), np.full(n + 1, np.uint64(pow(int(_C[0]), -1, 1 << 64)))
+        up[:1], down[:1] = 1, 1
+        return np.multiply.accumulate(up), np.multiply.accumulate(down)
+
+    if n > K.GROUP_BYTES:
+        return made(n)
+    if not _powers:
+        _powers.append(made(K.GROUP_BYTES))
+    return _powers[0][0][:n], _powers[0][1][: n + 1]
+
+
 def _prefix(buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """What hashes of substrings are made of: (sums, factors), the hash of a to z being (sums[z] - sums[a]) * factors[a]."""
-    up, down = np.full(len(buffer), _C[0]), np.full(len(buffer) + 1, np.uint64(pow(int(_C[0]), -1, 1 << 64)))
-    up[:1], down[:1] = 1, 1
-    sums = np.cumsum((buffer + np.uint64(1)) * np.multiply.accumulate(up), dtype=np.uint64)
-    return np.concatenate([np.zeros(1, np.uint64), sums]), np.multiply.accumulate(down)
+    up, down = _factors(len(buffer))
+    sums = np.empty(len(buffer) + 1, np.uint64)
+    sums[0] = 0
+    np.cumsum((buffer + np.uint64(1)) * up, dtype=np.uint64, out=sums[1:])
+    return sums, down
 
 
 class Distinct:
