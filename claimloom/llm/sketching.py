@@ -29,6 +29,8 @@ SLICE = 20
 MOST_BITS = 28
 #: Text of a block.
 BLOCK_BYTES = 32 << 20
+#: zstd level of bucketed blocks: written once, read by every pass.
+BLOCK_LEVEL = 6
 #: Documents hashed together, in bytes: bounds the arrays of one step.
 GROUP_BYTES = 1 << 20
 BUCKET_BYTES = 8 << 20
@@ -38,8 +40,8 @@ MOST_TASKS = 100_000
 _codec = pa.Codec("zstd", 1)
 
 
-def squeeze(data: bytes) -> bytes:
-    return len(data).to_bytes(8, "little") + _codec.compress(data, asbytes=True)
+def squeeze(data: bytes, codec: pa.Codec = _codec) -> bytes:
+    return len(data).to_bytes(8, "little") + codec.compress(data, asbytes=True)
 
 
 def swell(data: bytes) -> bytes:
@@ -151,6 +153,49 @@ def groups(texts: list[bytes]) -> Iterator[tuple[int, int]]:
         yield lo, len(texts)
 
 
+def _closed(held: list[pa.RecordBatch], codec: pa.Codec | str) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression=codec)) as out:
+        out.write_table(pa.Table.from_batches(held))
+    return sink.getvalue().to_pybytes()
+
+
+def bucketed_blocks(docs: DataFrame, name: str, block_bytes: int, tasks: int) -> DataFrame:
+    """docs (doc_id, text) as a stored table (block, data) of compressed blocks, bucketed by block.
+
+    What is grouped with it by block is dealt to its buckets; the blocks themselves are never shuffled. The catalog
+    knows the table only until it is read: the returned plan holds its files and buckets.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+
+    def run(batches):
+        partition, n, held, size = TaskContext.get().partitionId(), 0, [], 0
+        codec = pa.Codec("zstd", BLOCK_LEVEL)
+
+        def block():
+            return pa.RecordBatch.from_arrays([pa.array([partition << 20 | n], pa.int64()), pa.array([_closed(held, codec)], pa.binary())], names=["block", "data"])
+
+        for batch in batches:
+            if held and size + batch.nbytes > block_bytes:
+                yield block()
+                n, held, size = n + 1, [], 0
+            held.append(batch)
+            size += batch.nbytes
+        if held:
+            yield block()
+
+    path = scratch_path(spark, name)
+    own = plain(docs, "doc_id", "text").selectExpr("cast(doc_id as long) as doc_id", "text")
+    known = "spark_catalog.default.claimloom_" + path.rsplit("-", 1)[1]
+    rows = own.mapInArrow(run, "block long, data binary")
+    rows.write.format("parquet").option("path", path).option("compression", "none").bucketBy(tasks, "block").saveAsTable(known)
+    try:
+        return spark.table(known)
+    finally:
+        spark.sql(f"drop table {known}")
+
+
 def stage_blocks(docs: DataFrame, anchors_of: Callable[[list[bytes]], np.ndarray], bits: int, name: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs (doc_id, text) as a stored table of compressed blocks (kind DOCS) and partition sketches (kind SKETCH)."""
     spark = docs.sparkSession
@@ -160,10 +205,7 @@ def stage_blocks(docs: DataFrame, anchors_of: Callable[[list[bytes]], np.ndarray
         partition, n, held, size, found = TaskContext.get().partitionId(), 0, [], 0, []
 
         def block():
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                out.write_table(pa.Table.from_batches(held))
-            return piece(DOCS, partition << 20 | n, -1, sink.getvalue().to_pybytes())
+            return piece(DOCS, partition << 20 | n, -1, _closed(held, "zstd"))
 
         for batch in batches:
             if held and size + batch.nbytes > block_bytes:

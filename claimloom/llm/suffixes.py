@@ -1,7 +1,10 @@
 """Substring dedup by merging Burrows-Wheeler transforms.
 
-A sketch of anchors (see sketching) first rules out windows whose anchor occurs once in the whole
-corpus. What remains is cut into spans, runs of windows with one anchor, and spans go to the bucket
+A window's anchor is the least hash of the short grams inside it. Every block sends the marks (leading
+bits of a hash) of its anchors, as many bits as the input asks for, to the slices of their range, and gets
+a bit back for each: whether two documents of the corpus have it. Nothing of this goes through the driver or is
+held whole by a task, so it rules out as much of a large corpus as of a small one. Windows whose anchor only
+one document has are dropped. What remains is cut into spans, runs of windows with one anchor, and spans go to the bucket
 of their anchor, so equal windows of any two documents meet. A bucket drops windows whose hash no other
 window has. The rest of its spans makes shards, each with a suffix order and a Burrows-Wheeler
 transform of its own. The transforms are merged by iterative interleave refinement: beginning with the
@@ -23,13 +26,14 @@ alone are kept; other columns don't take part.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from claimloom.llm import sketching as K
-from claimloom.llm.common import plain
+from claimloom.llm.common import plain, staged
 
 WINDOW = 50
 GRAM = 20
@@ -38,7 +42,14 @@ LAST = np.iinfo(np.int64).max
 BLOCK_BYTES = 12 << 20
 #: Text of a shard in a bucket, at least (the last one excepted), and windows that one step takes up.
 SHARD_BYTES, STEP = 128 << 10, 1 << 20
+#: Input whose anchors' marks make a slice.
+SLICE_BYTES = 32 << 20
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
+_codec = pa.Codec("zstd", 3)
+
+
+def _squeezed(data: bytes) -> bytes:
+    return K.squeeze(data, _codec)
 
 
 def _buffer(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -55,39 +66,98 @@ def _grams(buffer: np.ndarray) -> np.ndarray:
     return K.mix(eight[:n] * _C[0] + eight[8 : n + 8] * _C[1] + eight[GRAM - 8 : n + GRAM - 8] * _C[2])
 
 
-def _anchors(buffer: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(grams, anchor of each window, whether the window lies in one document)."""
-    grams = _grams(buffer)
-    if len(buffer) < WINDOW:
-        return grams, np.zeros(0, np.uint64), np.zeros(0, bool)
-    anchors = K.slide(grams, WINDOW - GRAM + 1)
-    whole = np.ones(len(anchors), bool)
-    for e in begin[1:-1]:
-        whole[max(0, e - WINDOW + 1) : e] = False
-    return grams, anchors, whole
+def runs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first byte, windows, anchor, text) of every run of neighbouring windows with one anchor, in the texts put together."""
+    none, base = np.zeros(0, np.int64), 0
+    parts = [(none, none, none.astype(np.uint64), none)]
+    for lo, hi in K.groups(texts):
+        buffer, begin = _buffer(texts[lo:hi])
+        if len(buffer) >= WINDOW:
+            anchors = K.slide(_grams(buffer), WINDOW - GRAM + 1)
+            whole = np.ones(len(anchors), bool)  # whether the window lies in one document
+            for e in begin[1:-1]:
+                whole[max(0, e - WINDOW + 1) : e] = False
+            at = np.flatnonzero(whole)
+            own = anchors[at]
+            first = np.flatnonzero(np.append(True, (at[1:] != at[:-1] + 1) | (own[1:] != own[:-1]))) if len(at) else none
+            # neighbouring windows of two documents are never neighbours here: the windows between aren't whole
+            start = at[first]
+            parts.append((base + start, np.diff(np.append(first, len(at))), own[first], lo + np.searchsorted(begin, start, "right") - 1))
+        base += len(buffer)
+    return tuple(map(np.concatenate, zip(*parts)))
+
+
+def marks_shape(size: int) -> tuple[int, int]:
+    """(bits of an anchor's mark, slices that marks are dealt to) for so many input bytes: some forty marks or more for every anchor."""
+    return max(24, min(48, size.bit_length() + 2)), max(1, min(K.MOST_BUCKETS, size // SLICE_BYTES))
+
+
+def _slice_edges(marks: np.ndarray, bits: int, slices: int) -> np.ndarray:
+    """Where each slice of ascending marks begins."""
+    return np.searchsorted((marks * np.uint64(slices)) >> np.uint64(bits), np.arange(slices + 1, dtype=np.uint64))
+
+
+def _bottom(k: int, bits: int, slices: int) -> int:
+    return -(-(k << bits) // slices)
+
+
+def marked(texts: list[bytes], bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(marks of a block's anchors, ascending and distinct, whether two of its documents have one)."""
+    _, _, anchor, doc = runs(texts)
+    mark, place = K.cells(anchor, 0, bits), np.append(False, doc[1:] != doc[:-1]).cumsum()[: len(doc)]
+    order = np.argsort(mark, kind="stable")  # documents stay in order
+    mark, place = mark[order], place[order]
+    mark = mark[np.append(True, (mark[1:] != mark[:-1]) | (place[1:] != place[:-1]))[: len(mark)]]
+    own, count = np.unique(mark, return_counts=True)
+    return own, count > 1
+
+
+def _mark_pieces(block: int, texts: list[bytes], bits: int, slices: int):
+    """A block's marks, slice by slice: gaps by byte planes, then a bit for each mark of two documents."""
+    own, two = marked(texts, bits)
+    edge = _slice_edges(own, bits, slices)
+    for k in np.flatnonzero(np.diff(edge)).tolist():
+        part = slice(edge[k], edge[k + 1])
+        gaps = np.diff(own[part] - np.uint64(_bottom(k, bits, slices)), prepend=np.uint64(0)).astype("<u4")
+        yield K.piece(K.SKETCH, block, k, _squeezed(len(gaps).to_bytes(4, "little") + gaps.view(np.uint8).reshape(-1, 4).T.tobytes() + np.packbits(two[part]).tobytes()))
+
+
+def _answer_marks(batches):
+    """Answers each block's marks with a bit: whether two documents, of any blocks, have it. Rows come sorted by slice."""
+
+    def answers(k, held):
+        every = np.sort(np.concatenate([own for _, own, _ in held]))
+        several = np.concatenate([every[1:][every[1:] == every[:-1]], *(own[two] for _, own, two in held)])
+        several = np.append(np.unique(several), np.uint64(1 << 63))
+        for block, own, _ in held:
+            yield K.piece(K.SKETCH, block, k, np.packbits(several[np.searchsorted(several, own)] == own).tobytes())
+
+    key, held = None, []
+    for batch in batches:
+        for block, k, data in zip(*(batch.column(c).to_pylist() for c in ("block", "bucket", "data"))):
+            if k != key:
+                if held:
+                    yield from answers(key, held)
+                key, held = k, []
+            raw = K.swell(data)
+            n = int.from_bytes(raw[:4], "little")
+            gaps = np.frombuffer(raw, np.uint8, 4 * n, 4).reshape(4, n).T.copy().view("<u4").ravel()
+            held.append((block, np.cumsum(gaps, dtype=np.uint64), np.unpackbits(np.frombuffer(raw, np.uint8, -1, 4 + 4 * n))[:n].astype(bool)))
+    if held:
+        yield from answers(key, held)
 
 
-def anchors_of(texts: list[bytes]) -> np.ndarray:
-    buffer, begin = _buffer(texts)
-    grams, anchors, whole = _anchors(buffer, begin)
-    if not len(anchors):
-        return np.zeros(0, np.uint64)
-    return K.selected(grams, np.where(whole, anchors, np.uint64(0)), WINDOW - GRAM + 1)
+class Several:
+    """Which anchors of a block's runs two documents or more have, by the answers to its marks."""
 
+    def __init__(self, answers: dict[int, bytes], bits: int, slices: int):
+        self.answers, self.bits, self.slices = answers, bits, slices
 
-def _spans(texts: list[bytes], repeated: K.Repeated) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(buffer, first byte of each text, span starts, windows in each span, anchors) of windows estimated repeated."""
-    buffer, begin = _buffer(texts)
-    _, anchors, whole = _anchors(buffer, begin)
-    at = np.flatnonzero(whole)
-    at = at[repeated(anchors[at])]
-    if not len(at):
-        none = np.zeros(0, np.int64)
-        return buffer, begin, none, none, np.zeros(0, np.uint64)
-    own = anchors[at]
-    first = np.flatnonzero(np.append(True, (at[1:] != at[:-1] + 1) | (own[1:] != own[:-1])))
-    # neighbouring windows of two documents are never neighbours here: the windows between aren't whole
-    return buffer, begin, at[first], np.diff(np.append(first, len(at))), own[first]
+    def __call__(self, anchors: np.ndarray) -> np.ndarray:
+        own, at = np.unique(K.cells(anchors, 0, self.bits), return_inverse=True)
+        n = np.diff(_slice_edges(own, self.bits, self.slices))
+        bits = [np.unpackbits(np.frombuffer(self.answers[k], np.uint8))[: n[k]] for k in np.flatnonzero(n).tolist()]
+        return np.concatenate([np.zeros(0, np.uint8), *bits]).astype(bool)[at]
 
 
 def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -152,17 +222,20 @@ class Distinct:
 class Listed:
     """The spans of a block: distinct ones as entries in the order of their buckets, and where each of them occurs."""
 
-    def __init__(self, ids: list[int | None], texts: list[bytes], repeated: K.Repeated, buckets: int):
-        none = np.zeros(0, np.int64)
-        parts, base = [(none, none, none, none, none.astype(np.uint64))], 0
+    def __init__(self, ids: list[int | None], texts: list[bytes], repeated: Callable[[np.ndarray], np.ndarray], buckets: int):
+        """repeated: which of the anchors of all the block's runs may be those of windows of two documents."""
+        self.buffer, self.edges = _buffer(texts)
+        start, size, anchor, doc = runs(texts)
+        held = repeated(anchor)
+        self.start, self.size, self.doc = start[held], size[held], doc[held]
+        bucket = (anchor[held] % np.uint64(buckets)).astype(np.int64)
+        del start, size, anchor, doc
+        hashed = np.empty(len(bucket), np.uint64)
         for lo, hi in K.groups(texts):
-            buffer, begin, start, size, anchor = _spans(texts[lo:hi], repeated)
-            sums, factors = _prefix(buffer)
-            parts.append((base + start, size, lo + np.searchsorted(begin, start, "right") - 1, (anchor % np.uint64(buckets)).astype(np.int64), (sums[start + size + WINDOW - 1] - sums[start]) * factors[start]))
-            base += len(buffer)
-        self.buffer = np.frombuffer(b"".join(texts), np.uint8)
-        self.edges = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-        self.start, self.size, self.doc, bucket, hashed = map(np.concatenate, zip(*parts))
+            own = slice(*np.searchsorted(self.start, self.edges[[lo, hi]]))
+            sums, factors = _prefix(self.buffer[self.edges[lo] : self.edges[hi]])
+            at = self.start[own] - self.edges[lo]
+            hashed[own] = (sums[at + self.size[own] + WINDOW - 1] - sums[at]) * factors[at]
         self.ids = np.array([LAST if i is None else i for i in ids], np.int64)
         spans = Distinct(self.buffer, self.start, self.size + WINDOW - 1, hashed, bucket)
         self.entry, first = spans.entry, spans.first
@@ -373,27 +446,40 @@ def removed(docs: DataFrame, finish, schema: str, buckets: int | None = None, bl
     spark = docs.sparkSession
     own = plain(docs, "doc_id", "text")
     size = K.input_bytes(own)
-    buckets, bits = buckets or min(K.MOST_BUCKETS, 4 * K.bucket_count(size)), K.width(size, 2)
-    stored = K.stage_blocks(own, anchors_of, bits, "suffixes", block_bytes)
-    repeated = spark.sparkContext.broadcast(K.merged(stored, bits))
-    blocks = stored.where(f"kind = {K.DOCS}")
+    buckets, (bits, slices) = buckets or min(K.MOST_BUCKETS, 4 * K.bucket_count(size)), marks_shape(size)
+    # fewer buckets than shuffle partitions would have Spark deal the blocks anew
+    tasks = max(K.block_tasks(size, block_bytes), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    blocks = K.bucketed_blocks(own, "suffixes", block_bytes, tasks)
 
-    def lists(batches):
+    def marks(batches):
         for batch in batches:
             for block, data in zip(batch.column("block").to_pylist(), batch.column("data").to_pylist()):
-                found = Listed(*K.opened(data), repeated.value, buckets)
-                for k in np.flatnonzero(np.diff(found.cut)).tolist():
-                    yield K.piece(K.ANSWER, block, k, K.squeeze(found.packed(k)))
-
-    def apply(group: pa.Table) -> pa.Table:
-        rows = dict(zip(group.column("bucket").to_pylist(), group.column("data").to_pylist()))
-        ids, texts = K.opened(rows.pop(-1))
-        found = Listed(ids, texts, repeated.value, buckets)
-        gains = [np.cumsum(np.frombuffer(K.swell(rows[k]), "<i8")) for k in np.flatnonzero(np.diff(found.cut)).tolist()]
+                yield from _mark_pieces(block, K.opened(data)[1], bits, slices)
+
+    def opened(block: pa.Table, rows: pa.Table) -> tuple[list[int | None], list[bytes], Listed, dict[int, bytes]]:
+        held = {K.SKETCH: {}, K.ANSWER: {}}
+        for kind, k, data in zip(*(rows.column(c).to_pylist() for c in ("kind", "bucket", "data"))):
+            held[kind][k] = data
+        ids, texts = K.opened(block.column("data")[0].as_py())
+        return ids, texts, Listed(ids, texts, Several(held[K.SKETCH], bits, slices), buckets), held[K.ANSWER]
+
+    def lists(block: pa.Table, rows: pa.Table) -> pa.Table:
+        found = opened(block, rows)[2]
+        n = block.column("block")[0].as_py()
+        pieces = [K.piece(K.ANSWER, n, k, _squeezed(found.packed(k))) for k in np.flatnonzero(np.diff(found.cut)).tolist()]
+        return pa.Table.from_batches(pieces, K.PIECES_ARROW).combine_chunks()
+
+    def apply(block: pa.Table, rows: pa.Table) -> pa.Table:
+        ids, texts, found, answers = opened(block, rows)
+        gains = [np.cumsum(np.frombuffer(K.swell(answers.pop(k)), "<i8")) for k in np.flatnonzero(np.diff(found.cut)).tolist()]
         return finish(ids, texts, found.masks(np.concatenate([np.zeros(0, np.int64), *gains])))
 
-    answers = blocks.mapInArrow(lists, K.PIECES).repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_merge_bucket, K.PIECES)
-    return blocks.unionByName(answers).repartition(K.block_tasks(size, block_bytes), "block").groupBy("block").applyInArrow(apply, schema)
+    by = lambda df: df.groupBy("block")
+    sliced = blocks.mapInArrow(marks, K.PIECES).repartition(slices, "bucket").sortWithinPartitions("bucket")
+    several = staged(sliced.mapInArrow(_answer_marks, K.PIECES), "suffix-marks")
+    listed = by(blocks).cogroup(by(several)).applyInArrow(lists, K.PIECES)
+    answers = listed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_merge_bucket, K.PIECES)
+    return by(blocks).cogroup(by(several.unionByName(answers))).applyInArrow(apply, schema)
 
 
 def kept(text: bytes, mask: np.ndarray) -> bytes:

@@ -99,3 +99,45 @@ def test_spans_of_one_hash_stay_apart_if_their_bytes_differ(monkeypatch):
     found = S.Listed([1, 2, 3, None], texts, lambda anchors: np.ones(len(anchors), bool), 1)
     taken = {found.buffer[a : a + n + 49].tobytes() for a, n in zip(found.entry_start.tolist(), found.entry_size.tolist())}
     assert taken == {b"a" * 60, b"b" * 60, b"c" * 60} and len(found.masks(np.zeros(int(found.entry_size.sum()), np.int64))) == 4
+
+
+def test_blocks_learn_which_anchors_two_documents_have():
+    random.seed(6)
+    s = lambda n: "".join(random.choice("abcdefgh ") for _ in range(n)).encode()
+    shared, line = [s(90) for _ in range(40)], s(70)
+    blocks = [[s(random.randint(0, 3000)) + random.choice(shared) + s(30) for _ in range(30)] for _ in range(5)]
+    blocks += [[line * 9, b"", s(20)], [s(4000), shared[0], shared[0]]]  # the line repeats in one document alone
+    owners = {}
+    for b, texts in enumerate(blocks):
+        _, _, anchor, doc = S.runs(texts)
+        for a, d in zip(anchor.tolist(), doc.tolist()):
+            owners.setdefault(a, set()).add((b, d))
+    for bits, slices in ((48, 65536), (34, 7), (32, 1)):
+        pieces = [p for b, texts in enumerate(blocks) for p in S._mark_pieces(b, texts, bits, slices)]
+        pieces.sort(key=lambda p: p.column("bucket")[0].as_py())
+        answers = {}
+        for p in S._answer_marks(pieces):
+            r = p.to_pylist()[0]
+            answers.setdefault(r["block"], {})[r["bucket"]] = r["data"]
+        for b, texts in enumerate(blocks):
+            anchor = S.runs(texts)[2]
+            assert S.Several(answers[b], bits, slices)(anchor).tolist() == [len(owners[a]) > 1 for a in anchor.tolist()]
+
+
+def test_marks_grow_with_the_input_and_slices_stay_small():
+    for size in (0, 1 << 20, 6 * 10**9, 30 * 10**9, 10**12, 10**14):
+        bits, slices = S.marks_shape(size)
+        assert 1 << bits >= 4 * min(size, 1 << 46) and max(S._bottom(k + 1, bits, slices) - S._bottom(k, bits, slices) for k in {0, slices // 2, slices - 1}) <= 1 << 32
+        assert slices == S.K.MOST_BUCKETS or size <= (slices + 1) * S.SLICE_BYTES
+
+
+def test_texts_are_stored_once_and_not_shuffled(spark):
+    docs = spark.createDataFrame(made(), "doc_id long, text string").repartition(6)
+    df = S.report(docs, block_bytes=4000)
+    assert sum(r[1] for r in df.collect()) == sum(len((t or "").encode()) for _, t in made())
+    plan = df._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+    plan = plan.split("== Initial Plan ==")[0]
+    scans = [i for i, line in enumerate(plan.split("\n")) if "data#" in line and "Bucketed: true" in line]
+    above = [plan.split("\n")[i - 3 : i] for i in scans]
+    assert len(scans) == 2 and not any("Exchange" in x for lines in above for x in lines)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("claimloom_")]
