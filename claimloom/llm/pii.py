@@ -12,8 +12,11 @@ and a candidate they refuse can be taken. A credential has no base kind: there t
 its value has six digits or more, and the digits aren't among the features.
 
 Native: matching, features, scores, selection and redaction are DataFrame functions over arrays in
-the row of the text; no shuffle. Matches get positions by marking them with a noncharacter and
-splitting there. Only the trees are fitted on the driver, on a bounded sample of candidates.
+the row of the text; no text is shuffled. Matches get positions by marking them with a noncharacter and
+splitting there. Trees and thresholds come from the candidates of every document: those with equal features
+and label are counted, by distinct texts, and the driver fits on the counts. Where a kind has more than
+MOST_VECTORS of them, its lengths and counts are rounded down to a coarser step, when fitted and when scored, until it
+has fewer; every candidate still counts.
 
 Quantifiers are possessive where that cannot change a match: Java then loops instead of recursing,
 so texts of any length are safe.
@@ -25,20 +28,20 @@ candidates to learn from nothing is added; other columns pass through, whatever
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimloom.llm.boosting import Boosted, threshold
-from claimloom.llm.common import plain, shielded
+from claimloom.llm.common import plain, shielded, staged
 
 KINDS = ("email", "ip", "card", "phone")
 #: Kinds of which only candidates exist; they follow the base kinds.
 MORE_KINDS = ("secret",)
-#: Documents with candidates that the trees are fitted on, and the precision that thresholds must reach.
+#: Documents that sample() draws, and the precision that thresholds must reach.
 SAMPLE_DOCS = 2_000
 PRECISION = 0.97
-#: Candidates of a kind that the trees are fitted on, the least by a hash, and matches a text may have before their places are summed by doubling.
-SAMPLE_CANDIDATES, FEW = 20_000, 64
+#: Distinct features of a kind that the driver gets, and matches a text may have before their places are summed by doubling.
+MOST_VECTORS, FEW = 20_000, 64
 
 # The base patterns.
 BASE = {
@@ -129,13 +132,13 @@ def _valid_of(kind: str):
     return lambda x: _valid(kind, x["m"])
 
 
-def with_base(df: DataFrame) -> DataFrame:
-    """df with _text (no mark inside) and base_<kind>: array of struct(s, e, m)."""
+def with_base(df: DataFrame, context: bool = False) -> DataFrame:
+    """df with _text (no mark inside) and base_<kind>: array of struct(s, e, m) and, with context, b and a (text around)."""
     df = df.withColumn("_text", F.translate(F.coalesce(F.col("text"), F.lit("")), MARK, STAND_IN))
     df = df.withColumn("_digit", F.col("_text").rlike("[0-9]"))
     for kind in KINDS:
         needs = F.contains("_text", F.lit(NEEDS[kind])) if kind in NEEDS else F.col("_digit")
-        df = _found(df, f"_all_{kind}", BASE[kind], needs, False)
+        df = _found(df, f"_all_{kind}", BASE[kind], needs, context)
         df = df.withColumn(f"base_{kind}", F.filter(f"_all_{kind}", _valid_of(kind))).drop(f"_all_{kind}")
     return df
 
@@ -153,6 +156,7 @@ def _features(kind: str, c: Column) -> list[Column]:
     ]
 
 
+_COUNTS = [FEATURES.index(f) for f in ("length", "digits", "letters", "marks", "groups", "dots_after_at")]
 _DIGIT_FEATURES = [FEATURES.index("digits"), FEATURES.index("luhn"), FEATURES.index("octets")]
 
 
@@ -182,45 +186,68 @@ def with_candidates(df: DataFrame) -> DataFrame:
     return df.withColumn("cand", F.concat(*pieces)).drop(*pieces)
 
 
-def _disguised(df: DataFrame) -> DataFrame:
-    """(_o, k, x) of every base span in df, as it is and disguised, with the text around it."""
-    out = None
-    for kind in KINDS:
-        needs = F.contains("_text", F.lit(NEEDS[kind])) if kind in NEEDS else F.col("_digit")
-        found = _found(df.select("_o", "_text", "_digit"), "_m", BASE[kind], needs, True).select("_o", F.explode_outer(F.filter("_m", _valid_of(kind))).alias("c")).where("c is not null")
-        forms = F.array_distinct(F.array(F.col("c.m"), *[F.regexp_replace("c.m", p, r) for p, r in DISGUISES[kind]]))
-        each = found.select("_o", "c", F.explode(forms).alias("m")).select("_o", F.struct("m", "c.b", "c.a").alias("c"))
-        part = each.select("_o", F.lit(kind).alias("k"), F.array(*_features(kind, F.col("c"))).alias("x"))
-        out = part if out is None else out.unionByName(part)
-    return out
+def _disguised_of(kind: str):
+    """Function from a base span to examples of it, as it is and disguised, with the text around it."""
+
+    def shaped(c: Column) -> Column:
+        forms = F.array_distinct(F.array(c["m"], *[F.regexp_replace(c["m"], p, r) for p, r in DISGUISES[kind]]))
+        return F.transform(forms, lambda m: _example(F.lit(kind), F.lit(True), F.array(*_features(kind, {"m": m, "b": c["b"], "a": c["a"]}))))
+
+    return shaped
+
+
+def _example(kind: Column, label: Column, x: Column) -> Column:
+    return F.struct(kind.alias("k"), label.alias("label"), x.cast("array<int>").alias("x"))  # all features are whole numbers
 
 
 def sample(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """(_o, text) of at most sample_docs distinct texts that may hold candidates: those of least hash."""
+    """(_o, text) of at most sample_docs distinct texts that may hold candidates: those of least hash. For quick looks; fit() takes all."""
     some = docs.where(F.col("text").rlike("[0-9]|@|(?i)pass|token|secret")).select(F.xxhash64("text").alias("_o"), "text")
     least = some.select("_o").distinct().orderBy("_o").limit(sample_docs).agg(F.max("_o")).first()[0]
     return some.where(F.col("_o") <= F.lit(least)).dropDuplicates(["_o"])
 
 
-def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, precision: float = PRECISION, most: int = SAMPLE_CANDIDATES) -> dict[str, tuple[Boosted, float]]:
-    """Trees and threshold of each kind, from at most `most` candidates of at most sample_docs distinct texts."""
-    based = with_base(sample(docs, sample_docs))
+def counted(docs: DataFrame) -> DataFrame:
+    """(k, held, label, x, n) of every document's examples: n distinct texts have one of these features; a third of the texts is held out."""
+    rows = with_candidates(with_base(docs.select("text", F.xxhash64("text").alias("_o")), context=True))
+    secret = lambda c: c["k"].isin(*MORE_KINDS)
+    own = F.transform(F.filter("cand", lambda c: secret(c) | ~c["any"]), lambda c: _example(c["k"], secret(c) & c["label"], c["x"]))
+    base = [F.flatten(F.transform(f"base_{k}", _disguised_of(k))) for k in KINDS]
     # outer: a plain explode would have its array computed once more, in a filter of its own
-    found = with_candidates(based).select("_o", F.explode_outer("cand").alias("c")).where("c is not null").select("_o", "c.k", "c.base", "c.any", "c.label", "c.x")
-    secret = F.col("k").isin(*MORE_KINDS)
-    own = found.where(secret | ~F.col("any")).select("_o", "k", (secret & F.col("label")).alias("label"), "x")
-    rows = own.unionByName(_disguised(based).withColumn("label", F.lit(True)).select("_o", "k", "label", "x"))
-    place = F.row_number().over(Window.partitionBy("k").orderBy(F.xxhash64("_o", "x"), "_o", "x"))
-    rows = rows.withColumn("place", place).where(F.col("place") <= most).collect()
+    each = rows.select("_o", F.explode_outer(F.concat(own, *base)).alias("c")).where("c is not null")
+    return each.select("_o", (F.pmod("_o", F.lit(3)) == 0).alias("held"), "c.k", "c.label", "c.x").groupBy("k", "held", "label", "x").agg(F.countDistinct("_o").alias("n"))
+
+
+def _rounded(value: Column, feature: int, step: int) -> Column:
+    """A length or count rounded down to a step; flags stay."""
+    return F.floor(value / step) * step if step > 1 and feature in _COUNTS else value
+
+
+def _collected(examples: DataFrame, most: int) -> dict[str, tuple[int, list]]:
+    """{kind: (step, examples of it at this step)}, at most `most` of a kind."""
+    examples, steps = staged(examples, "pii-examples"), dict.fromkeys(LOOSE, 1)
+    while True:
+        step = F.create_map(*[F.lit(v) for kv in steps.items() for v in kv])[F.col("k")]
+        x = F.array(*[F.floor(F.get("x", F.lit(i)) / step) * step if i in _COUNTS else F.get("x", F.lit(i)) for i in range(len(FEATURES))])
+        rounded = examples.withColumn("x", x).groupBy("k", "held", "label", "x").agg(F.sum("n").alias("n"))
+        over = [r["k"] for r in rounded.groupBy("k").count().where(F.col("count") > most).collect()]
+        if not over:
+            rows = rounded.collect()
+            return {k: (steps[k], [r for r in rows if r["k"] == k]) for k in LOOSE}
+        steps |= {k: 2 * steps[k] for k in over}
+
+
+def fit(docs: DataFrame, precision: float = PRECISION, most: int = MOST_VECTORS) -> dict[str, tuple[Boosted, float]]:
+    """Trees and threshold of each kind, from the candidates of all documents."""
     out = {}
-    for kind in LOOSE:
-        kept = [r for r in rows if r["k"] == kind]
-        x, y = np.array([r["x"] for r in kept]).reshape(len(kept), len(FEATURES)), np.array([r["label"] for r in kept], float)
-        held = np.array([r["_o"] % 3 == 0 for r in kept], bool)
-        if y.sum() < 5 or not held.any() or held.all():
+    for kind, (step, kept) in _collected(counted(docs), most).items():
+        x, y = np.array([r["x"] for r in kept], float).reshape(len(kept), len(FEATURES)), np.array([r["label"] for r in kept], float)
+        held, n = np.array([r["held"] for r in kept], bool), np.array([r["n"] for r in kept], float)
+        if n @ y < 5 or not held.any() or held.all():
             continue
-        model = Boosted.fit(x[~held], y[~held])
-        out[kind] = model, threshold(model.predict(x[held]), y[held], precision)
+        model = Boosted.fit(x[~held], y[~held], weight=n[~held])
+        model.step = step
+        out[kind] = model, threshold(model.predict(x[held]), y[held], precision, n[held])
     return out
 
 
@@ -236,7 +263,7 @@ def with_spans(docs: DataFrame, models: dict[str, tuple[Boosted, float]] | None
     def passing(k: str, model: Boosted, cut: float):
         def test(c: Column) -> Column:
             new = (c["k"] == k) & ~c["base"]  # where a base span is, that span stands
-            return F.when(new, model.column(lambda f: F.get(c["x"], F.lit(f))) >= cut).otherwise(False)
+            return F.when(new, model.column(lambda f: _rounded(F.get(c["x"], F.lit(f)), f, model.step)) >= cut).otherwise(False)
 
         return test
 

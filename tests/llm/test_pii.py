@@ -133,3 +133,33 @@ def test_boosting_as_column_and_threshold(spark):
     assert np.allclose(got, m.predict(x[:50]))
     assert threshold(np.array([0.9, 0.8, 0.8, 0.1]), np.array([1, 1, 0, 0]), 0.6) == 0.8
     assert threshold(np.array([0.9, 0.2]), np.array([0, 1]), 0.9) == 2.0
+
+
+def test_trees_and_thresholds_come_from_every_document(spark):
+    docs = spark.range(1000, 6000).selectExpr("concat('write mail to u', id, '@h.org or pay ', id) as text")
+    docs = docs.unionByName(docs.limit(50))  # copies count once
+    by = Counter()
+    step, rows = P._collected(P.counted(docs), P.MOST_VECTORS)["email"]
+    for r in rows:
+        by[tuple(r.x)] += r.n
+    assert step == 1 and len(by) > 2 and set(by.values()) == {5000}
+    # a kind of too many distinct features is rounded, and still counts every document
+    step, rows = P._collected(P.counted(docs), 4)["email"]
+    by = Counter()
+    for r in rows:
+        by[tuple(r.x)] += r.n
+    assert step > 1 and len(rows) <= 4 and sum(by.values()) >= 5000
+    models = P.fit(docs, most=4)
+    assert models["email"][0].step == step
+    near = "write mail to u77 (at) h.org"
+    assert P.with_spans(spark.createDataFrame([(1, near)], "doc_id long, text string"), models).select("spans").first()[0][0].k == "email"
+
+
+def test_weights_count_as_repeated_rows():
+    rng = np.random.default_rng(2)
+    x, n = rng.integers(0, 9, (60, 2)).astype(float), rng.integers(1, 6, 60)
+    y = (x[:, 0] > 4).astype(float)
+    a, b = Boosted.fit(x, y, weight=n.astype(float)), Boosted.fit(np.repeat(x, n, axis=0), np.repeat(y, n))
+    assert np.allclose(a.predict(x), b.predict(x))
+    score = np.round(rng.random(60), 1)
+    assert threshold(score, y, 0.5, n.astype(float)) == threshold(np.repeat(score, n), np.repeat(y, n), 0.5)
