@@ -208,8 +208,9 @@ def report(docs: DataFrame) -> DataFrame:
 
 # Near-duplicates of a stated Jaccard similarity, for pipelines. At 0.8 two full fingerprints differ
 # in ten bits or more of 64, a radius at which no branch of a vantage-point tree can be pruned. So
-# candidates come from SimHashes of small samples of the shingles, which are equal (radius zero) with
-# probability similarity**PER_SAMPLE each: a pair of 0.8 shares one of SAMPLES with 0.99999. They are
+# candidates come by two routes. Texts whose full fingerprints are linked by the vantage-point tree, as
+# above, are a candidate group. And SimHashes of small samples of the shingles are equal (radius zero) with
+# probability similarity**PER_SAMPLE each: a pair of 0.8 shares one of SAMPLES with 0.99999. All are
 # verified on whole shingle sets. Stars first: every text is compared once, with the most central
 # partner it has (the one that shares samples with most texts, as an original does with its copies).
 # Then, in groups which that leaves in several pieces, every text outside the largest piece is
@@ -353,23 +354,36 @@ def _row_key() -> Column:
 
 
 def _signed(docs: DataFrame, k: int) -> DataFrame:
-    """(v, _h1, _h2, doc_id: the least, fps) of each distinct text; v is unique and no hash."""
+    """(v, _h1, _h2, doc_id: the least, fps, whole: fingerprint) of each distinct text; v is unique and no hash. Texts without words have no whole."""
     own = plain(docs, "doc_id", "text").select("doc_id", "text", *_identity())
 
     def sign(batch: pa.RecordBatch) -> pa.RecordBatch:
-        fps = [sampled(np.unique(hashes(t, k))).view(np.int64) for t in texts_of(batch, "text")]
-        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "_h1", "_h2")), pa.array(fps, pa.list_(pa.int64()))], names=["doc_id", "_h1", "_h2", "fps"])
+        fps, whole = [], []
+        for t in texts_of(batch, "text"):
+            h = hashes(t, k)
+            fps.append(sampled(np.unique(h)).view(np.int64))
+            whole.append(int(np.uint64(fingerprint(h)).view(np.int64)) if len(h) else None)
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "_h1", "_h2")), pa.array(fps, pa.list_(pa.int64())), pa.array(whole, pa.int64())], names=["doc_id", "_h1", "_h2", "fps", "whole"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = map_arrow(own, sign, f"doc_id {kind}, _h1 long, _h2 long, fps array<long>")
-    texts = rows.groupBy("_h1", "_h2").agg(F.min("doc_id").alias("doc_id"), F.first("fps").alias("fps"))
+    rows = map_arrow(own, sign, f"doc_id {kind}, _h1 long, _h2 long, fps array<long>, whole long")
+    texts = rows.groupBy("_h1", "_h2").agg(F.min("doc_id").alias("doc_id"), F.first("fps").alias("fps"), F.first("whole").alias("whole"))
     return staged(texts.withColumn("v", F.monotonically_increasing_id()), "near-signed")
 
 
+def _linked_by_tree(signed: DataFrame, within: int = WITHIN) -> DataFrame:
+    """(v, g, fp) of texts whose fingerprints the vantage-point tree links: g follows the samples' numbers, fp is the component."""
+    own = signed.select("v", "whole").where("whole is not null")
+    reps = staged(own.select(F.col("whole").alias("fp")).distinct(), "near-fingerprints")
+    roots = connected_components(links(reps, within)).select(F.col("v").alias("whole"), "root")
+    return own.join(roots, "whole", "left").select("v", F.lit(SAMPLES).alias("g"), F.coalesce("root", "whole").alias("fp"))
+
+
 def similar_groups(docs: DataFrame, k: int = NEAR_SHINGLE, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """(texts (v, _h1, _h2, doc_id), links (v, root) of those that are like another); texts without words are linked to none."""
     signed = _signed(docs, k)
-    entries = signed.select("v", F.posexplode("fps").alias("g", "fp"))
+    tree = staged(_linked_by_tree(signed), "near-tree")
+    entries = signed.select("v", F.posexplode("fps").alias("g", "fp")).unionByName(tree)
     shared = entries.groupBy("g", "fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = staged(entries.join(shared, ["g", "fp"]), "near-members")
     wanted = staged(members.select("v").distinct().join(signed.select("v", "_h1", "_h2", "doc_id"), "v").withColumn("key", _row_key()), "near-wanted")
@@ -388,7 +402,7 @@ def similar_groups(docs: DataFrame, k: int = NEAR_SHINGLE, similarity: float = S
     sets = staged(passed.select("v", "set").dropDuplicates(["v"]), "near-sets")
     roots = staged(connected_components(_star_links(_stars(members), sets, similarity)), "near-roots")
     more = _remaining_links(members, sets, roots, similarity)
-    return signed.drop("fps"), connected_components(roots.select(F.col("v").alias("a"), F.col("root").alias("b")).unionByName(more))
+    return signed.drop("fps", "whole"), connected_components(roots.select(F.col("v").alias("a"), F.col("root").alias("b")).unionByName(more))
 
 
 def near_deduplicated(docs: DataFrame, k: int = NEAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:

@@ -3,6 +3,7 @@ from collections import Counter
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from claimloom.llm import simhash as S
 from claimloom.llm.components import connected_components
@@ -167,3 +168,22 @@ def test_no_near_copy_is_missed(spark):
     assert kept.columns == docs.columns
     same_words = {i for i, s in enumerate(sets) if not s}
     assert sorted(r.doc_id for r in kept.select("doc_id").collect() if r.doc_id not in {rows[i][0] for i in same_words}) == [d for d in want if d not in {rows[i][0] for i in same_words}]
+
+
+def test_near_dedup_takes_candidates_from_the_tree(spark, monkeypatch):
+    """Without any samples in common, texts that the vantage-point tree links are still compared, and only similar ones go."""
+    random.seed(12)
+    words = [f"w{i}" for i in range(4000)]
+    base = random.sample(words, 3000)
+    edited = base[:1500] + ["other"] + base[1501:]  # ten shingles of some 3,000 differ
+    rows = [(1, " ".join(base)), (2, " ".join(edited)), (3, " ".join(random.sample(words, 3000))), (4, "a b"), (5, ""), (6, " "), (7, "a  b")]
+    differ = lambda a, b: (S.fingerprint(S.hashes(a.encode(), 5)) ^ S.fingerprint(S.hashes(b.encode(), 5))).bit_count()
+    assert differ(rows[0][1], rows[1][1]) <= S.WITHIN < differ(rows[0][1], rows[2][1])
+    signed = S._signed
+    monkeypatch.setattr(S, "_signed", lambda docs, k: signed(docs, k).withColumn("fps", F.array().cast("array<bigint>")))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in S.near_deduplicated(docs).collect()) == [1, 3, 4, 5, 6]
+    # linked by the tree, unlike as sets: the whole comparison decides
+    monkeypatch.setattr(S, "WITHIN", 64)
+    linked = S._linked_by_tree(S._signed(docs, 5), 64)
+    assert linked.select("fp").distinct().count() == 1 and linked.count() == 5
