@@ -13,3 +13,19 @@ def test_search_takes_the_letters_of_its_sql(spark):
     assert sorted(r.id for r in read.search_all(df, "text", "The, tion AND").collect()) == [0, 1, 2, 3, 5, 7]
     more = spark.createDataFrame([(0, "én tion"), (1, "en tion"), (2, "en tión"), (3, "x en_tion"), (4, "eń tion en")], "id int, text string")
     assert sorted(r.id for r in read.search_any_column(more, ["text"], "EN, tion").collect()) == [1, 3, 4]
+
+
+def test_topk_holds_tiles_and_is_exact(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    v = np.round(rng.normal(size=(600, 4)), 1)
+    v[300:330] = v[0]  # ties
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "vec_id long, embedding array<float>").repartition(3)
+    f = v.astype(np.float32).astype(np.float64)
+    unit = f / np.sqrt((f**2).sum(axis=1, keepdims=True))
+    score = np.round(unit @ unit.T, 6)
+    for queries, rows in ((1024, 2048), (5, 7), (3, 2)):
+        monkeypatch.setattr(read, "TILE_QUERIES", queries)
+        monkeypatch.setattr(read, "TILE_ROWS", rows)
+        got = sorted((r.q_id, r["rank"], r.vec_id) for r in read.vector_topk(df, 20, 4).collect())
+        want = [(q, n + 1, i) for q in range(0, 600, 20) for n, i in enumerate(sorted((j for j in range(600) if j != q), key=lambda j: (-score[q, j], j))[:4])]
+        assert got == want
