@@ -29,3 +29,19 @@ def test_topk_holds_tiles_and_is_exact(spark, monkeypatch):
         got = sorted((r.q_id, r["rank"], r.vec_id) for r in read.vector_topk(df, 20, 4).collect())
         want = [(q, n + 1, i) for q in range(0, 600, 20) for n, i in enumerate(sorted((j for j in range(600) if j != q), key=lambda j: (-score[q, j], j))[:4])]
         assert got == want
+
+
+def test_neighbours_of_equal_texts(spark):
+    words = ["red tea", "tea red", "green tea leaf", "leaf green", "red red leaf", "blue"]
+    facts = spark.createDataFrame([(i, words[i * 7 % 6]) for i in range(200)], "id long, text string")
+    got = read.lexical_neighbours(facts, 8)
+    rows = got.collect()
+    n = Counter(r.l_id for r in rows)
+    assert len(n) == 200 and set(n.values()) == {8}
+    for r in rows:
+        if facts and words[r.l_id * 7 % 6] == "blue":
+            assert words[r.r_id * 7 % 6] == "blue" and r.r_id != r.l_id
+    blue = [i for i in range(200) if words[i * 7 % 6] == "blue"]
+    assert sorted(r.r_id for r in rows if r.l_id == blue[-1]) == blue[:8] and sorted(r.r_id for r in rows if r.l_id == blue[0]) == blue[1:9]
+    # texts are scored, not facts: no join makes more rows than pairs of distinct texts and words, whatever their copies
+    assert "least" in got._jdf.queryExecution().optimizedPlan().toString()
