@@ -45,3 +45,8 @@ def test_neighbours_of_equal_texts(spark):
     assert sorted(r.r_id for r in rows if r.l_id == blue[-1]) == blue[:8] and sorted(r.r_id for r in rows if r.l_id == blue[0]) == blue[1:9]
     # texts are scored, not facts: no join makes more rows than pairs of distinct texts and words, whatever their copies
     assert "least" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pages_are_dealt_to_tasks(spark, monkeypatch):
+    monkeypatch.setattr(matching, "TASK_PAGES", 20)
+    assert matching.page_renditions(spark, "/root/testdata/sf0.001").select(F.spark_partition_id()).distinct().count() > 4
