@@ -63,7 +63,7 @@ def ground(candidates: DataFrame) -> DataFrame:
     folded = lambda c: F.lower(T.collapse(c))
     times = T.occurrences(folded(page), folded(quote))
     short = F.size(F.split(quote, r"\s+")) < 2
-    df = df.withColumn("reason", F.coalesce("reason", F.when(short & (times == 0), "quote_not_found").when(short & (times > 1), "ambiguous_short_quote")))
+    df = df.withColumn("reason", F.coalesce("reason", F.when(short, F.when(times == 0, "quote_not_found").when(times > 1, "ambiguous_short_quote"))))
     at = F.instr(page, quote)
     df = df.withColumns({"start": F.when(at > 0, at - 1), "end": F.when(at > 0, at - 1 + F.length(quote)), "score": F.when(at > 0, 100.0), "exact": at > 0})
     fine, rest = df.where("reason is not null or start is not null"), df.where("reason is null and start is null")
